@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, packing, quality, sharding, url_filter
+from tessera.llm import bpe, html_text, line_dedup, neighbours, packing, quality, sharding, url_filter
 from tessera.llm.common import table
 
 
@@ -16,10 +16,18 @@ def _vocabulary(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
     """Captures with a fetch day, which the tables lack: the page id's day of 2024."""
     return pages.select(
@@ -98,6 +106,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op4_neighbours": op4_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
