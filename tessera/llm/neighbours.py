@@ -113,7 +113,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, depth: int = 6, share: float = 0.15, sample_rows: int = 10_000, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, depth: int = 6, share: float = 0.2, sample_rows: int = 10_000, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found, by largest inner product.
 
     The index holds every usable row and is fitted on about sample_rows of them, chosen by a hash of the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, line_dedup, neighbours, packing, quality, sharding, url_filter
+from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, quality, sharding, url_filter
 from tessera.llm.common import table
 
 
@@ -105,6 +105,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op4_neighbours": op4_neighbours,
@@ -114,5 +119,6 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL = {"op5_url_filter": OP5_SQL}
