@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, quality, sharding, url_filter
+from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, quality, sharding, substring_dedup, url_filter
 from tessera.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "n_words", F.col("source").alias("source_doc_id"), "source_start").distinct()
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -112,6 +117,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_repeated_passages": op2_repeated_passages,
     "op4_neighbours": op4_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op5_url_filter": op5_url_filter,
