@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import corpus_queries, ledger_queries, retrieval_queries
+from tessera.session import visible
+
+_MODULES = (corpus_queries, retrieval_queries, ledger_queries)
+
+
+def _ready(f):
+    return lambda spark, sf_dir: f(visible(spark), sf_dir)
+
+
+QUERIES = {name: _ready(f) for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
