@@ -126,7 +126,7 @@ SELECT delivery_id, event, CASE WHEN json_type(j, '$.action') = 'VARCHAR' THEN j
  CAST(json_extract_string(j, '$.installation.id') AS BIGINT) AS installation_id FROM p""")
 def webhook_payloads(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = spark.sql(f"SELECT 'd' || event_id AS delivery_id, 'pull_request' AS event, {_PAYLOAD} AS payload FROM {{e}}", e=events)
+    rows = events.selectExpr("'d' || event_id AS delivery_id", "'pull_request' AS event", f"{_PAYLOAD} AS payload")
     return ledgers.from_webhook(rows)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25, dense, fusion, metrics
-from tessera.plans.views import ctes, view
+from tessera.plans.views import TOKENS, ctes, view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,15 +25,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# DuckDB has no lookahead: a break is put between an acronym and the word after it first.
-_TOKENS = """list_filter(flatten(list_transform(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), lambda w: list_concat([trim(lower(w), '_')],
-  CASE WHEN len(regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) > 1 AND trim(lower(w), '_') <> ''
-  THEN list_transform(regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p)) ELSE [] END))), lambda t: t <> '')"""
-_BM25 = f"""WITH tok AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents),
+_BM25 = f"""WITH tok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents),
 stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS mean),
 len AS (SELECT doc_id, count(*) AS length FROM tok GROUP BY 1), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 post AS (SELECT tf.doc_id, tf.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS weight FROM tf JOIN len USING (doc_id) JOIN df USING (term), stats),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark),
 scored AS (SELECT query_id, doc_id, round(sum(weight), 9) AS score FROM asked JOIN post USING (term) GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 100),
 gold AS (SELECT item_id AS query_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)"""

@@ -74,6 +74,12 @@ SELECT doc_id, 'r' || (doc_id % 7) AS repo, doc_id % 50 AS pr,
 FROM documents"""
 
 
+# DuckDB has no lookahead: a break is put between an acronym and the word after it first.
+TOKENS = """list_filter(flatten(list_transform(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), lambda w: list_concat([trim(lower(w), '_')],
+  CASE WHEN len(regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) > 1 AND trim(lower(w), '_') <> ''
+  THEN list_transform(regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p)) ELSE [] END))), lambda t: t <> '')"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over sf_dir's tables."""
     sql = SQL[name]
