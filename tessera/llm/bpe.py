@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import utf8
+from tessera.llm.common import slices, utf8
 
 _NONE = 1 << 30
 #: Chunks kept in a worker's table, and the longest chunk kept there.
@@ -258,7 +258,7 @@ def encode_column(docs: DataFrame, id_col: str, text_col: str, path: str, patter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             ids = list(own.encode_many([(text or b"").decode() for text in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
@@ -270,7 +270,7 @@ def decode_column(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found = [own.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "bytes"])
 
@@ -283,7 +283,7 @@ def round_trip_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         decimal = list(map(str, range(len(own.tokens))))
-        for batch in batches:
+        for batch in slices(batches, 1024):
             n, ids_sha, back_sha = [], [], []
             for found in own.encode_many([text.decode() for text in batch.column(1).to_pylist()]):
                 ids = found.tolist()

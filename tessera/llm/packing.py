@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialized, utf8
+from tessera.llm.common import materialized, slices, utf8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, room int, group long"
 
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: in
         task = TaskContext.get().partitionId()
         bins = BestFit(capacity, bound)
         held: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = array("I", encode(text.decode()))
