@@ -35,13 +35,19 @@ def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
 def walk(loads: list[tuple[int, int]], large: list[tuple[int, int]], shards: int, vnodes: int, slack: float, arc_bits: int = ARC_BITS) -> tuple[list[tuple[int, int, int, int]], list[int]]:
     """Give keys to shards, each shard holding at most its capacity, (1 + slack) times the mean.
 
+    Keys that are larger than the mean, with the shards they fill, are left out of it.
+
     loads: (arc, bytes) of the small keys of an arc, which may be split between shards: the first result
     has (arc, from_byte, to_byte, shard). large: (arc, bytes) of single keys, placed before the others
     and the largest first; the second result has their shards. A key that fits nowhere goes to the
     emptiest shard.
     """
-    total = sum(size for _, size in loads) + sum(size for _, size in large)
-    capacity = math.ceil(total * (1 + slack) / shards)
+    left, taking = sum(size for _, size in loads) + sum(size for _, size in large), shards
+    for _, size in sorted(large, key=lambda x: -x[1]):  # a key above the mean fills a shard of its own
+        if taking == 1 or size * taking <= left:
+            break
+        left, taking = left - size, taking - 1
+    capacity = math.ceil(left * (1 + slack) / taking)
     spots = ring(shards, vnodes)
     positions = [p for p, _ in spots]
     known: dict[int, list[int]] = {}
