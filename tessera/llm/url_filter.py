@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialized
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user info, port and a trailing dot; empty where there is none."""
@@ -55,7 +57,7 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     category. A null url or fetch time is never blocked. Repeated captures are each returned.
     """
     own = captures.select("capture_id", "url", "fetched_at")
-    intervals = validity_intervals(entries)
+    intervals = materialized(validity_intervals(entries))  # its size is then known, and a hot key's captures can be dealt anew
     looked_up = own.where("url is not null and fetched_at is not null").distinct().select("*", F.explode(lookup_keys(F.col("url"))).alias("key"))
     hits = (
         looked_up.join(intervals, "key")
