@@ -128,3 +128,18 @@ def run_row(spark: SparkSession, repo: str, ref: str | None, report: DataFrame,
     counts = report.where(F.col("repo") == repo).select("inserted", "updated", "unchanged", "pruned")
     one = spark.range(1).select(F.lit(repo).alias("repo"), F.lit(ref).alias("ref"), F.lit(error).alias("error"), F.current_timestamp().alias("finished_at"))
     return one.crossJoin(F.broadcast(counts)) if error is None else one
+
+
+def ingest(units: DataFrame, index: DataFrame, root: str, now, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One ingest in order: shards, then the index, then the prune. Returns (manifest, index, report).
+
+    units (unit_id, repo, kind, content_hash, ref, nth and the unit's fields): all units fetched, nth their
+    order. Where an identity comes twice the first is kept. The report counts each repository's changes and
+    pruned units, and says whether nothing was written; a second run over the same units writes nothing.
+    """
+    once = corpus.first_of_each(units, "nth").drop("nth", "copies")
+    kept = write_corpus(once.drop("ref", "identity"), root, manifest)
+    actions = corpus.upsert_actions(index, once).join(once.select("unit_id", "repo"), "unit_id")
+    gone = corpus.prunable(index, once)
+    report = corpus.ingest_report(actions, gone)
+    return kept, corpus.upserted(index, once, now).join(gone.select("unit_id"), "unit_id", "left_anti"), report

@@ -193,3 +193,19 @@ def test_streams(spark, tmp_path):
 
     assert feed("1.json", [4, 4, 5]) == [(4, 1), (5, 2)]
     assert feed("2.json", [5, 6, 7]) == [(4, 1), (5, 2), (6, 3)]
+
+
+def test_ingest_twice_writes_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}"
+
+    def fetched(ref):
+        rows = units(spark, TREE, ref)
+        return rows.withColumn("nth", F.lit(1)).unionByName(rows.where("symbol = 'f'").withColumn("nth", F.lit(2)))
+
+    manifest, index, report = corpus_files.ingest(fetched("a"), spark.createDataFrame([], INDEX), root, F.lit(1))
+    manifest, index = manifest.cache(), index.cache()
+    first = report.first()
+    assert first.inserted == index.count() > 3 and not first.wrote_nothing and {r.change for r in manifest.collect()} == {"written"}
+    again, after, report = corpus_files.ingest(fetched("b"), index, root, F.lit(2), manifest)
+    assert {r.change for r in again.collect()} == {"unchanged"} and report.first().wrote_nothing and sorted(map(tuple, after.collect())) == sorted(map(tuple, index.collect()))
+    assert corpus_files.read_corpus(spark, root, manifest).count() == first.inserted
