@@ -5,8 +5,8 @@ minima, and a signature of the minima's low bits packed in bit planes. Documents
 are compared by bit counts on their signatures, corrected for chance collisions, inside chunks of bounded
 size that all hold the band's smallest class; each chunk proposes a few edge-disjoint maximum spanning
 forests, never all its pairs. Proposed links are confirmed on full shingle sets, and connected
-components follow by label propagation. Where a round joined components, bands that still hold several
-are searched again.
+components follow by label propagation. Bands that still hold several components are searched again, every
+chunk with every other, until all pairs between components whose estimate is high enough have failed.
 """
 
 from __future__ import annotations
@@ -89,12 +89,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc"), row_hash(F.col(text_col)).alias("rid"), utf8(F.col(text_col)).alias("text_bytes")).mapInArrow(run, _SIG_SQL)
 
 
-def forests(ids: np.ndarray, sigs: np.ndarray, groups: np.ndarray, cut: float, n_forests: int) -> list[tuple[int, int]]:
-    """Edges of edge-disjoint maximum spanning forests over pairs of different groups with similarity of cut or more."""
-    if len(ids) == 2:
+def forests(ids: np.ndarray, sigs: np.ndarray, groups: np.ndarray, cut: float, n_forests: int, failed: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of edge-disjoint maximum spanning forests over pairs of different groups with similarity of cut or more.
+
+    failed has rows of two ids whose pair is left out.
+    """
+    if len(ids) == 2 and (failed is None or not len(failed)):
         return [(0, 1)] if groups[0] != groups[1] and similarity(sigs[0], sigs[1]) >= cut else []
     near = similarity(sigs[:, None], sigs[None])
     near[(near < cut) | (groups[:, None] == groups[None])] = -1.0
+    if failed is not None and len(failed):
+        order = np.argsort(ids)
+        x, y = order[np.searchsorted(ids, failed, sorter=order)].T
+        near[x, y] = near[y, x] = -1.0
     own = [np.flatnonzero(groups == g) for g in groups] if len(set(groups.tolist())) < len(groups) else [np.array([i]) for i in range(len(groups))]
     out: list[tuple[int, int]] = []
     for _ in range(n_forests):
@@ -128,25 +135,63 @@ def proposals(members: DataFrame, cut: float, chunk: int, n_forests: int) -> Dat
     sizes = materialized(sizes.where("least <> most").drop("least", "most"))  # a join of its own can be dealt anew where a band is hot
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)).cast("int")
     dealt = materialized(members.join(sizes, "band").select("band", "node", "sig", "label", F.when(F.col("n") > chunk, F.col("pivot")).alias("pivot"), part.alias("chunk")))  # written, so that a hot band is grouped by chunk and not by band
-    grouped = dealt.groupBy("band", "chunk").agg(F.any_value("pivot").alias("pivot"), F.collect_list(F.struct("node", "sig", "label")).alias("nodes"))  # about `chunk` nodes
+    entry = F.struct("node", F.lit(None).cast("long").alias("other"), "sig", "label")
+    grouped = dealt.groupBy("band", "chunk").agg(F.any_value("pivot").alias("pivot"), F.collect_list(entry).alias("nodes"))  # about `chunk` nodes
     lacks = F.col("pivot").isNotNull() & ~F.exists("nodes", lambda x: x["node"] == F.col("pivot.node"))  # only bands of several chunks have one
-    nodes = F.when(lacks, F.concat("nodes", F.array("pivot"))).otherwise(F.col("nodes"))
+    pivot = F.struct(F.col("pivot.node").alias("node"), F.lit(None).cast("long").alias("other"), F.col("pivot.sig").alias("sig"), F.col("pivot.label").alias("label"))
+    nodes = F.when(lacks, F.concat("nodes", F.array(pivot))).otherwise(F.col("nodes"))
+    return searched(grouped.select(nodes.alias("nodes")), cut, n_forests)
+
+
+def remaining(members: DataFrame, failed: DataFrame, cut: float, chunk: int, n_forests: int) -> DataFrame:
+    """Distinct candidate links (a, b), a < b, that are not in failed, among all pairs of a band's nodes with different labels.
+
+    Only the nodes of a band's largest label need not meet each other. They and the others are dealt into
+    chunks of their own, and every two chunks of which one is of the others meet in a block. No rows means
+    that every such pair with an estimate of cut or more is in failed.
+    """
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    n_main = F.ceil(F.col("main.n") / chunk).alias("n_main")
+    sizes = materialized(sizes.select("band", F.col("main.label").alias("main"), n_main, F.ceil((F.col("n") - F.col("main.n")) / chunk).alias("n_other")))
+    in_main, deal = F.col("label") == F.col("main"), F.xxhash64("node")
+    own = F.when(in_main, F.col("n_other") + F.pmod(deal, "n_main")).otherwise(F.pmod(deal, "n_other"))
+    last = F.when(in_main, F.col("n_other")).otherwise(F.col("n_other") + F.col("n_main")) - 1
+    joined = members.join(sizes, "band").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("own <> met")
+    placed = materialized(joined.select("band", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), "node", "sig", "label"))  # written, so that a hot band is grouped by block and not by band
+    at = placed.select("band", "x", "y", "node")
+    known = failed.join(at.withColumnRenamed("node", "a"), "a").join(at.withColumnRenamed("node", "b"), ["band", "x", "y", "b"])
+    entry = F.struct("node", F.lit(None).cast("long").alias("other"), "sig", "label").alias("entry")
+    out = F.struct(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("array<long>").alias("sig"), F.lit(None).cast("long").alias("label")).alias("entry")
+    entries = placed.select("band", "x", "y", entry).union(known.select("band", "x", "y", out))
+    return searched(entries.groupBy("band", "x", "y").agg(F.collect_list("entry").alias("nodes")).select("nodes"), cut, n_forests)  # about two chunks' nodes, and pairs of them
+
+
+def searched(grouped: DataFrame, cut: float, n_forests: int) -> DataFrame:
+    """Distinct links (a, b) that the forests of each row's nodes propose; entries with another node are pairs to leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(0)
             flat = lists.flatten()
             offsets = lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
+            pair = flat.field("other").is_valid().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(pair)])[offsets]
+            failed = flat.filter(pa.array(pair))
+            failed = np.stack([failed.field("node").to_numpy(), failed.field("other").to_numpy()], 1)
+            flat = flat.filter(pa.array(~pair))
+            offsets = offsets - before
             ids, labels = flat.field("node").to_numpy(), flat.field("label").to_numpy()
             sigs = flat.field("sig").flatten().to_numpy().reshape(-1, _LONGS)
             out = []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 if e - s > 1:
-                    out += [(int(ids[s + x]), int(ids[s + y])) for x, y in forests(ids[s:e], sigs[s:e], labels[s:e], cut, n_forests)]
+                    found = forests(ids[s:e], sigs[s:e], labels[s:e], cut, n_forests, failed[before[i] : before[i + 1]])
+                    out += [(int(ids[s + x]), int(ids[s + y])) for x, y in found]
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
 
-    return grouped.select(nodes.alias("nodes")).mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -160,6 +205,10 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wid
     return own.join(nodes, ["node", "rid"]).dropDuplicates(["node"]).select("node", "text_bytes").mapInArrow(run, "node long, shingles binary")
 
 
+def ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+
+
 def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) whose full sets have 100 * intersection >= percent * union."""
 
@@ -212,19 +261,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     cut = share - 4 * (share * (1 - share) / MINIMA) ** 0.5  # a link's estimate is less than this once in 30,000
     banded = classes.select("node", "sig", F.col("node").alias("label"), F.explode("bands").alias("band"))
     links = materialized(proposals(banded, cut, chunk, n_forests))
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    nodes = materialized(ends(links))
     sets = materialized(full_sets(docs, classes.select("node", "rid").join(nodes, "node"), id_col, text_col, width))
     tried, sure = links, materialized(confirmed(links, sets, percent))
     labels = components(sure)
-    known = nodes.join(classes, "node").select("node", "sig", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("band", F.lit(True).alias("crowded"))
+    linked = nodes.withColumn("linked", F.lit(True))
+    known = banded.join(crowded, "band", "left").join(linked, "node", "left").where("crowded or linked").select("node", "sig", "band")  # in other bands, a node without a link has no candidate
     while True:
         again = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        links = materialized(proposals(again, cut, chunk, n_forests).join(tried, ["a", "b"], "left_anti"))
-        more = materialized(confirmed(links, sets, percent))
-        if more.isEmpty():
+        n_forests *= 4  # so that the rounds are few even where many proposals fail
+        links = materialized(remaining(again, tried.join(sure, ["a", "b"], "left_anti"), cut, chunk, n_forests))
+        if links.isEmpty():
             break
+        new = materialized(ends(links).join(nodes, "node", "left_anti"))
+        if not new.isEmpty():
+            nodes = nodes.union(new)
+            sets = sets.union(materialized(full_sets(docs, classes.select("node", "rid").join(new, "node"), id_col, text_col, width)))
+        more = materialized(confirmed(links, sets, percent))
         tried, sure = tried.unionByName(links), sure.unionByName(more)
         labels = components(sure)
+        known = nodes.join(classes, "node").select("node", "sig", F.explode("bands").alias("band"))
     found = classes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"))
     return rows.select("doc", "rid", "n_shingles", "s1", "s2").join(found, ["s1", "s2"], "left").select(
         "doc", "rid", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component_id")

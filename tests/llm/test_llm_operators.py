@@ -411,6 +411,21 @@ def test_near_duplicates_match_brute_force(spark, odd, width, percent):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in truth.items() if c == i} and kept.columns == clashing(spark, []).columns
 
 
+def test_copies_of_an_original_that_is_not_the_smallest_meet_it(spark):
+    r = random.Random(6)
+    original = words(105, 60).split()
+    rows = []
+    for i in range(70):  # each near to the original, but not to the other copies
+        copy = list(original)
+        for place in r.sample(range(3, 100, 4), 2):
+            copy[place] = f"new{i}x{place}"
+        rows.append((i, " ".join(copy)))
+    rows.append((70, " ".join(original)))
+    truth = near_truth(rows, 3, 85)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85, chunk=8).collect()
+    assert {r.doc: (r.n_shingles, r.component_id) for r in got} == truth == {i: (103, 0) for i in range(71)}
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B  c\nd"), (3, None), (4, "")], DOCS)
     got = collections.Counter((r.doc, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 3, 85).collect())
