@@ -35,18 +35,19 @@ def lookup_keys(url: Column) -> Column:
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(key, category, valid_from, valid_to) from dated entries (key, listed_at, action, category).
 
-    action is add or remove; a key's state holds from an entry to its next one. At one instant a
-    removal beats an addition, and among additions the last category in order wins. Rows with a null key or time are ignored; the last interval is open (null end).
+    action is add or remove; the state of a key's category holds from an entry to its next one. At one
+    instant a removal beats an addition. A removal without a category is one of each of the key's
+    categories. Rows with a null key or time are ignored; the last interval is open (null end).
     """
-    known = entries.where("key is not null and listed_at is not null and action in ('add', 'remove')")
-    at_once = known.groupBy("key", "listed_at").agg(
-        F.max(F.struct((F.col("action") == "remove").alias("removed"), "category")).alias("last")
-    )
-    later = Window.partitionBy("key").orderBy("listed_at")
+    known = entries.where("key is not null and listed_at is not null and action in ('add', 'remove')").select("key", "listed_at", (F.col("action") == "remove").alias("removed"), "category")
+    whole = F.col("removed") & F.col("category").isNull()
+    ended = known.where(whole).select("key", "listed_at", "removed").distinct().join(known.where(~whole).select("key", "category").distinct(), "key")
+    at_once = known.where(~whole).unionByName(ended).groupBy("key", "category", "listed_at").agg(F.max("removed").alias("removed"))
+    later = Window.partitionBy("key", "category").orderBy("listed_at")
     return (
         at_once.withColumn("valid_to", F.lead("listed_at").over(later))
-        .where(~F.col("last.removed"))
-        .select("key", F.col("last.category").alias("category"), F.col("listed_at").alias("valid_from"), "valid_to")
+        .where(~F.col("removed"))
+        .select("key", "category", F.col("listed_at").alias("valid_from"), "valid_to")
     )
 
 
@@ -54,7 +55,7 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Judge captures (capture_id, url, fetched_at) against dated entries.
 
     Returns capture_id, url, fetched_at, blocked and the longest active key (ties by text) with its
-    category. A null url or fetch time is never blocked. Repeated captures are each returned.
+    category, the last in order where several are active. A null url or fetch time is never blocked. Repeated captures are each returned.
     """
     own = captures.select("capture_id", "url", "fetched_at")
     intervals = materialized(validity_intervals(entries))  # its size is then known, and a hot key's captures can be dealt anew

@@ -214,6 +214,17 @@ def test_url_filter(spark):
     assert url_filter.url_filter(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_keeps_a_state_for_each_category(spark):
+    entries = spark.createDataFrame(
+        [("bad.org", "2024-01-01", "add", "spam"), ("bad.org", "2024-01-05", "add", "malware"), ("bad.org", "2024-01-10", "remove", "spam"), ("bad.org", "2024-01-20", "remove", None), ("both.org", "2024-01-01", "add", "a"), ("both.org", "2024-01-01", "add", "b"), ("both.org", "2024-01-03", "remove", "b")],
+        "key string, listed_at string, action string, category string",
+    ).withColumn("listed_at", F.to_date("listed_at"))
+    days = [("bad.org", 4, "spam"), ("bad.org", 6, "spam"), ("bad.org", 10, "malware"), ("bad.org", 20, None), ("both.org", 2, "b"), ("both.org", 3, "a")]
+    captures = spark.createDataFrame([(i, f"http://{h}", f"2024-01-{d:02}") for i, (h, d, _) in enumerate(days)], "capture_id long, url string, fetched_at string").withColumn("fetched_at", F.to_date("fetched_at"))
+    got = {r.capture_id: (r.blocked, r.category) for r in url_filter.url_filter(captures, entries).collect()}
+    assert got == {i: (c is not None, c) for i, (_, _, c) in enumerate(days)}
+
+
 # ---- 6
 
 
