@@ -39,6 +39,20 @@ def test_big_class_becomes_methods():
     assert [s for _, _, s in cut] == ["Big", "Big.m0", "Big.m1", "Big.m2", "Big.m3"] or [s for _, _, s in cut][1:] == ["Big.m1", "Big.m2", "Big.m3"]
 
 
+@pytest.mark.parametrize("source", ["-" * 100_000 + "1", "(" * 5000, "x = 1\0", "def f(:\n    pass", "lambda: " * 20_000 + "1"])
+def test_files_that_do_not_parse_become_windows(source):
+    file, cut = chunking.spans("a.py", source)
+    assert [n for a, b, _ in cut for n in range(a, b + 1)] == list(range(1, len(file.lines) + 1)) and {s for _, _, s in cut} == {None}
+
+
+def test_headings_follow_their_documentation():
+    assert [chunking.atx_heading(x) for x in ("# a", "### b ##", "####### c", "#d", "## C#", "    # code", "   # e")] == [(1, "a"), (3, "b"), None, None, (2, "C#"), None, (1, "e")]
+    assert [chunking.code_fence(x) for x in ("```py", "~~~~", "``", "    ```", "text")] == ["```", "~~~~", "", "", ""]
+    assert [chunking.is_underline(*x) for x in (("====", "abcd"), ("===", "abcd"), ("=-==", "abcd"), ("aaaa", "abcd"), ("--", "ab"))] == [True, False, False, False, False]
+    _, cut = chunking.spans("a.md", "# One\n````\n```\n# no\n````\ntext that is long enough to stay alone\n## Two\nmore text that is long enough to stay alone\n")
+    assert [s for _, _, s in cut] == ["One", "One > Two"]
+
+
 def test_upsert_is_idempotent(spark):
     empty = spark.createDataFrame([], INDEX)
     first = units(spark, TREE, "ref1")

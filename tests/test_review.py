@@ -50,10 +50,13 @@ def test_rendering_with_a_window(spark):
     assert got[2].count("\n") == 81 and got[2].endswith("      ... 20 more lines of this hunk not shown") and " [cut]" in got[2]
 
 
-def test_imports():
-    lines = ["'''doc'''", "import os", "from a import (", "    b,", ")", "x = 1", "def f():", "    import late", "import later"]
-    assert [n for n, _ in assembly.import_lines(lines)] == [2, 3, 4, 5]
-    assert assembly.import_lines(["const a = require('b')", "export { x } from 'y'", "export const z = 1"]) == [(1, "const a = require('b')"), (2, "export { x } from 'y'")]
+def test_imports(spark):
+    module = ["# doc", "import os", "from a import (", "    b,", ")", "x = 1", "from c import d, \\", "    e", "def f():", "    import late", "import later"]
+    script = ["const a = require('b')", "export { x } from 'y'", "export const z = 1"]
+    files = spark.createDataFrame([("a.py", module), ("b.js", script), ("c.md", module), ("d.py", []), ("e.py", None)], "path string, lines array<string>")
+    got = {r.path: [(x.number, x.line) for x in r.imports] for r in assembly.imports(files).collect()}
+    assert [n for n, _ in got["a.py"]] == [2, 3, 4, 5, 7, 8] and got["b.js"] == [(1, script[0]), (2, script[1])]
+    assert got["c.md"] == got["d.py"] == got["e.py"] == []
 
 
 def test_import_budget(spark):
