@@ -57,3 +57,11 @@ def utf8(text: Column) -> Column:
 def row_hash(text: Column) -> Column:
     """Tells rows of one id with different texts apart; null and empty agree."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df lacks, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,12 +1,16 @@
 """Near-duplicate documents by b-bit MinHash.
 
 One pass over the texts gives every document a hash of its shingle set, band keys made of its full
-minima, and a signature of the minima's low bits packed in bit planes. Documents of one set are one class. Classes that share a band key
-are compared by bit counts on their signatures, corrected for chance collisions, inside chunks of bounded
-size that all hold the band's smallest class; each chunk proposes a few edge-disjoint maximum spanning
-forests, never all its pairs. Proposed links are confirmed on full shingle sets, and connected
-components follow by label propagation. Bands that still hold several components are searched again, every
-chunk with every other, until all pairs between components whose estimate is high enough have failed.
+minima, and a signature of the minima's low bits packed in bit planes. Documents of one set are one class.
+Classes that share a band key are compared by bit counts on their signatures, corrected for chance
+collisions, in chunks of bounded size; each chunk proposes maximum spanning forests of the estimates, and
+the proposed links are confirmed on full shingle sets. Connected components follow by label propagation.
+
+What the forests do not settle is settled exactly. Every two chunks of a band meet in a block, and
+documents with an estimate near enough to one of another component, in a pair not yet refused, bring their
+full sets into it; shared shingles are counted for all pairs of the block at once, and a spanning
+forest of the true links goes out. Nothing is left open then: two documents that share a band and are
+similar enough end in one component, however many look-alikes surround them.
 """
 
 from __future__ import annotations
@@ -15,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialized, row_hash, slices, utf8
+from tessera.llm.common import fresh, materialized, row_hash, slices, utf8
 from tessera.llm.shingles import shingle_hashes, word_hashes
 
 #: Minima of a signature, bits kept of each, bands and minima in a band.
@@ -89,38 +93,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc"), row_hash(F.col(text_col)).alias("rid"), utf8(F.col(text_col)).alias("text_bytes")).mapInArrow(run, _SIG_SQL)
 
 
-def forests(ids: np.ndarray, sigs: np.ndarray, groups: np.ndarray, cut: float, n_forests: int, failed: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges of edge-disjoint maximum spanning forests over pairs of different groups with similarity of cut or more.
-
-    failed has rows of two ids whose pair is left out.
-    """
-    if len(ids) == 2 and (failed is None or not len(failed)):
-        return [(0, 1)] if groups[0] != groups[1] and similarity(sigs[0], sigs[1]) >= cut else []
+def forests(sigs: np.ndarray, cut: float, n_forests: int) -> list[tuple[int, int]]:
+    """Edges of edge-disjoint maximum spanning forests over pairs with an estimated similarity of cut or more."""
+    n = len(sigs)
+    if n == 2:
+        return [(0, 1)] if similarity(sigs[0], sigs[1]) >= cut else []
     near = similarity(sigs[:, None], sigs[None])
-    near[(near < cut) | (groups[:, None] == groups[None])] = -1.0
-    if failed is not None and len(failed):
-        order = np.argsort(ids)
-        x, y = order[np.searchsorted(ids, failed, sorter=order)].T
-        near[x, y] = near[y, x] = -1.0
-    own = [np.flatnonzero(groups == g) for g in groups] if len(set(groups.tolist())) < len(groups) else [np.array([i]) for i in range(len(groups))]
+    near[near < cut] = -1.0
+    np.fill_diagonal(near, -1.0)
     out: list[tuple[int, int]] = []
     for _ in range(n_forests):
         edges = []
-        best, nearest, done = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-        for _ in range(len(ids)):  # Prim's algorithm over groups
-            u = int(best.argmax())
+        best, nearest, left = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
+        for _ in range(n):  # Prim's algorithm
+            u = int(np.where(left, best, -2.0).argmax())
             if best[u] >= 0:
                 edges.append((int(nearest[u]), u))
-            else:
-                left = np.flatnonzero(~done)
-                if not len(left):
-                    break
-                u = int(left[0])
-            done[own[u]] = True
-            best[own[u]] = -1.0
-            for g in own[u].tolist():
-                closer = (near[g] > best) & ~done
-                best[closer], nearest[closer] = near[g][closer], g
+            left[u] = False
+            closer = (near[u] > best) & left
+            best[closer], nearest[closer] = near[u][closer], u
         if not edges:
             break
         out += edges
@@ -129,80 +120,157 @@ def forests(ids: np.ndarray, sigs: np.ndarray, groups: np.ndarray, cut: float, n
     return out
 
 
+def _parts(n: Column, shingles: Column, chunk: int) -> Column:
+    """Chunks that n nodes with that many shingles in all are dealt into: about `chunk` nodes and 16 MB of hashes each."""
+    return F.greatest(F.ceil(n / chunk), F.ceil(shingles / (1 << 21))).cast("int")
+
+
+def _lists(nodes: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each list's entries in the flattened column."""
+    offsets = nodes.offsets.to_numpy()
+    offsets = (offsets - offsets[0]).tolist()
+    return zip(offsets[:-1], offsets[1:])
+
+
 def proposals(members: DataFrame, cut: float, chunk: int, n_forests: int) -> DataFrame:
-    """Distinct candidate links (a, b), a < b, from (band, node, sig, label): links between labels only."""
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct("node", "sig", "label")).alias("pivot"))
-    sizes = materialized(sizes.where("least <> most").drop("least", "most"))  # a join of its own can be dealt anew where a band is hot
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)).cast("int")
-    dealt = materialized(members.join(sizes, "band").select("band", "node", "sig", "label", F.when(F.col("n") > chunk, F.col("pivot")).alias("pivot"), part.alias("chunk")))  # written, so that a hot band is grouped by chunk and not by band
-    entry = F.struct("node", F.lit(None).cast("long").alias("other"), "sig", "label")
-    grouped = dealt.groupBy("band", "chunk").agg(F.any_value("pivot").alias("pivot"), F.collect_list(entry).alias("nodes"))  # about `chunk` nodes
-    lacks = F.col("pivot").isNotNull() & ~F.exists("nodes", lambda x: x["node"] == F.col("pivot.node"))  # only bands of several chunks have one
-    pivot = F.struct(F.col("pivot.node").alias("node"), F.lit(None).cast("long").alias("other"), F.col("pivot.sig").alias("sig"), F.col("pivot.label").alias("label"))
-    nodes = F.when(lacks, F.concat("nodes", F.array(pivot))).otherwise(F.col("nodes"))
-    return searched(grouped.select(nodes.alias("nodes")), cut, n_forests)
-
-
-def remaining(members: DataFrame, failed: DataFrame, cut: float, chunk: int, n_forests: int) -> DataFrame:
-    """Distinct candidate links (a, b), a < b, that are not in failed, among all pairs of a band's nodes with different labels.
-
-    Only the nodes of a band's largest label need not meet each other. They and the others are dealt into
-    chunks of their own, and every two chunks of which one is of the others meet in a block. No rows means
-    that every such pair with an estimate of cut or more is in failed.
+    """Distinct candidate links (a, b), a < b, inside the chunks of bands, from (band, node, n_shingles, sig)."""
+    sizes = materialized(members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1"))  # a join of its own can be dealt anew where a band is hot
+    part = F.pmod(F.xxhash64("node"), _parts(F.col("n"), F.col("shingles"), chunk)).alias("chunk")
+    dealt = materialized(members.join(sizes, "band").select("band", part, "node", "sig"))  # written, so that a hot band is grouped by chunk and not by band
+    grouped = dealt.groupBy("band", "chunk").agg(F.collect_list(F.struct("node", "sig")).alias("nodes"))  # about `chunk` nodes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            flat, out = batch.column(0).flatten(), []
+            ids, sigs = flat.field("node").to_numpy(), flat.field("sig").flatten().to_numpy().reshape(-1, _LONGS)
+            for s, e in _lists(batch.column(0)):
+                if e - s > 1:
+                    out += [(int(ids[s + x]), int(ids[s + y])) for x, y in forests(sigs[s:e], cut, n_forests)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+
+    return grouped.select("nodes").mapInArrow(run, "a long, b long").distinct()
+
+
+def blocks(members: DataFrame, chunk: int) -> DataFrame:
+    """(band, x, y, node, label, sig): every two chunks of a band with several labels as a block, from (band, node, n_shingles, label, sig).
+
+    Nodes of a band's largest label need not meet each other, so they and the others are dealt into chunks
+    of their own, and blocks of two chunks of the largest label are left out.
     """
-    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    n_main = F.ceil(F.col("main.n") / chunk).alias("n_main")
-    sizes = materialized(sizes.select("band", F.col("main.label").alias("main"), n_main, F.ceil((F.col("n") - F.col("main.n")) / chunk).alias("n_other")))
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    main = F.max(F.struct("n", "label", "shingles"))
+    sizes = counts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), main.alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    n_main = _parts(F.col("main.n"), F.col("main.shingles"), chunk).alias("n_main")
+    n_other = _parts(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles"), chunk).alias("n_other")
+    sizes = materialized(sizes.select("band", F.col("main.label").alias("main"), n_main, n_other))
     in_main, deal = F.col("label") == F.col("main"), F.xxhash64("node")
-    own = F.when(in_main, F.col("n_other") + F.pmod(deal, "n_main")).otherwise(F.pmod(deal, "n_other"))
+    own = F.when(in_main, F.col("n_other") + F.pmod(deal, "n_main")).otherwise(F.pmod(deal, "n_other")).cast("int")
     last = F.when(in_main, F.col("n_other")).otherwise(F.col("n_other") + F.col("n_main")) - 1
-    joined = members.join(sizes, "band").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("own <> met")
-    placed = materialized(joined.select("band", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), "node", "sig", "label"))  # written, so that a hot band is grouped by block and not by band
-    at = placed.select("band", "x", "y", "node")
-    known = failed.join(at.withColumnRenamed("node", "a"), "a").join(at.withColumnRenamed("node", "b"), ["band", "x", "y", "b"])
-    entry = F.struct("node", F.lit(None).cast("long").alias("other"), "sig", "label").alias("entry")
-    out = F.struct(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("array<long>").alias("sig"), F.lit(None).cast("long").alias("label")).alias("entry")
-    entries = placed.select("band", "x", "y", entry).union(known.select("band", "x", "y", out))
-    return searched(entries.groupBy("band", "x", "y").agg(F.collect_list("entry").alias("nodes")).select("nodes"), cut, n_forests)  # about two chunks' nodes, and pairs of them
+    met = members.join(sizes, "band").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), last)))
+    return met.where("own <> met").select("band", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), "node", "label", "sig")
 
 
-def searched(grouped: DataFrame, cut: float, n_forests: int) -> DataFrame:
-    """Distinct links (a, b) that the forests of each row's nodes propose; entries with another node are pairs to leave out."""
+def unsettled(placed: DataFrame, refused: DataFrame, cut: float) -> DataFrame:
+    """(band, x, y, node, label): the nodes of each block that have, in a pair not refused, an estimate of cut or more with another label."""
+    at = placed.select("band", "x", "y", "node")
+    known = refused.join(at.withColumnRenamed("node", "a"), "a").join(at.withColumnRenamed("node", "b"), ["band", "x", "y", "b"])
+    entry = F.struct("node", F.lit(None).cast("long").alias("other"), "label", "sig").alias("entry")
+    out = F.struct(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<long>").alias("sig")).alias("entry")
+    entries = placed.select("band", "x", "y", entry).union(known.select("band", "x", "y", out))
+    grouped = entries.groupBy("band", "x", "y").agg(F.collect_list("entry").alias("entries"))  # about two chunks' nodes, and the pairs refused so far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lists = batch.column(0)
-            flat = lists.flatten()
-            offsets = lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
+            flat = batch.column(3).flatten()
             pair = flat.field("other").is_valid().to_numpy(zero_copy_only=False)
-            before = np.concatenate([[0], np.cumsum(pair)])[offsets]
-            failed = flat.filter(pa.array(pair))
-            failed = np.stack([failed.field("node").to_numpy(), failed.field("other").to_numpy()], 1)
-            flat = flat.filter(pa.array(~pair))
-            offsets = offsets - before
-            ids, labels = flat.field("node").to_numpy(), flat.field("label").to_numpy()
+            ids = flat.field("node").to_numpy()
+            others, labels = (flat.field(c).fill_null(0).to_numpy() for c in ("other", "label"))
             sigs = flat.field("sig").flatten().to_numpy().reshape(-1, _LONGS)
-            out = []
-            for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                if e - s > 1:
-                    found = forests(ids[s:e], sigs[s:e], labels[s:e], cut, n_forests, failed[before[i] : before[i + 1]])
-                    out += [(int(ids[s + x]), int(ids[s + y])) for x, y in found]
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
-
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+            of = np.cumsum(~pair) - 1  # where an entry's signature is
+            rows, live = [], []
+            for i, (s, e) in enumerate(_lists(batch.column(3))):
+                own = s + np.flatnonzero(~pair[s:e])
+                gone = s + np.flatnonzero(pair[s:e])
+                own = own[np.argsort(ids[own])]
+                near = similarity(sigs[of[own], None], sigs[None, of[own]]) >= cut
+                near &= labels[own, None] != labels[None, own]
+                if len(gone):
+                    x, y = np.searchsorted(ids[own], ids[gone]), np.searchsorted(ids[own], others[gone])
+                    near[x, y] = near[y, x] = False
+                found = own[near.any(1)]
+                rows.append(np.full(len(found), i))
+                live.append(found)
+            rows, live = np.concatenate(rows), np.concatenate(live)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in range(3)), pa.array(ids[live]), pa.array(labels[live])], names=["band", "x", "y", "node", "label"])
+
+    return grouped.mapInArrow(run, "band long, x int, y int, node long, label long")
+
+
+def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, as a matrix.
+
+    Shingles that few sets hold are counted pair by pair, the others as a product of 0/1 matrices.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    row, col = row[order], np.concatenate(sets)[order]
+    new = np.append(True, col[1:] != col[:-1])
+    col = np.cumsum(new) - 1
+    held = np.bincount(col)
+    both = np.zeros(n * n, np.int64)
+    rare = held[col] <= 8
+    r, c = row[rare], col[rare]
+    for d in range(1, 8):
+        same = c[d:] == c[:-d]
+        if not same.any():
+            break
+        both += np.bincount(r[:-d][same] * n + r[d:][same], minlength=n * n)
+    both = both.reshape(n, n)
+    both = both + both.T
+    r, c = row[~rare], col[~rare]
+    c = np.cumsum(np.append(True, c[1:] != c[:-1])) - 1 if len(c) else c
+    for a in range(0, int(c[-1]) + 1 if len(c) else 0, 4096):
+        i, j = np.searchsorted(c, (a, a + 4096))
+        held_by = np.zeros((n, 4096), np.float32)
+        held_by[r[i:j], c[i:j] - a] = 1
+        both += (held_by @ held_by.T).astype(np.int64)
+    return both
+
+
+def true_links(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b): in each block of (band, x, y, node, label), a spanning forest of the pairs of different labels whose full sets are similar enough."""
+
+    def run(block: pa.Table) -> pa.Table:  # about two chunks' nodes
+        ids, labels, out = block["node"].to_numpy(), block["label"].to_numpy(), []
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["shingles"]]
+        sizes = np.array([len(x) for x in own])
+        both = shared_shingles(own)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+        linked &= labels[:, None] != labels[None]
+        left = np.ones(len(ids), bool)
+        for root in np.flatnonzero(linked.any(1)).tolist():  # breadth first
+            reached = [root] if left[root] else []
+            left[root] = False
+            for u in reached:
+                new = np.flatnonzero(linked[u] & left)
+                left[new] = False
+                reached += new.tolist()
+                out += [(min(ids[u], ids[v]), max(ids[u], ids[v])) for v in new]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return open_nodes.join(sets, "node").groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, shingles) of the given (node, rid): full sets as sorted 64-bit hashes."""
+    """(node, shingles) of the given (node, doc, rid): full sets as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("node"), row_hash(F.col(text_col)).alias("rid"), utf8(F.col(text_col)).alias("text_bytes"))
-    return own.join(nodes, ["node", "rid"]).dropDuplicates(["node"]).select("node", "text_bytes").mapInArrow(run, "node long, shingles binary")
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), row_hash(F.col(text_col)).alias("rid"), utf8(F.col(text_col)).alias("text_bytes"))
+    return own.join(nodes, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("node", "text_bytes").mapInArrow(run, "node long, shingles binary")
 
 
 def ends(links: DataFrame) -> DataFrame:
@@ -248,49 +316,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Links documents whose sets of `width`-word shingles (A-Z lower-cased; the whole sequence where there
     are fewer words) have a Jaccard similarity of percent / 100 or more. component_id is the smallest id
     reachable. A text without words, or a null id, is linked with nothing; its component is its own id.
-    Rows that repeat an id with one text are one document. An empty table gives no rows.
+    Rows that repeat an id with one text are one document; with different texts they are documents of
+    their own, each compared by its own text. An empty table gives no rows. Other columns are not read.
+
+    chunk: nodes of a band compared at once. n_forests: forests proposed before the exact comparison;
+    both change the work, not the links.
     """
     rows = materialized(signatures(docs, id_col, text_col, width))
     classes = materialized(
         rows.where("n_shingles > 0 and doc is not null")
         .groupBy("s1", "s2")
-        .agg(F.min(F.struct("doc", "rid")).alias("least"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
-        .select("s1", "s2", F.col("least.doc").alias("node"), F.col("least.rid").alias("rid"), "sig", "bands")
+        .agg(F.min(F.struct("doc", "rid")).alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+        .select("s1", "s2", F.monotonically_increasing_id().alias("node"), "least.doc", "least.rid", "n_shingles", "sig", "bands")
     )
     share = percent / 100
     cut = share - 4 * (share * (1 - share) / MINIMA) ** 0.5  # a link's estimate is less than this once in 30,000
-    banded = classes.select("node", "sig", F.col("node").alias("label"), F.explode("bands").alias("band"))
+    banded = classes.select("node", "n_shingles", "sig", F.explode("bands").alias("band"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = materialized(classes.select("node", "doc", "rid").join(nodes, "node"))  # its size is then known: few are broadcast, and the texts stay where they are
+        return materialized(full_sets(docs, wanted, id_col, text_col, width))
+
     links = materialized(proposals(banded, cut, chunk, n_forests))
     nodes = materialized(ends(links))
-    sets = materialized(full_sets(docs, classes.select("node", "rid").join(nodes, "node"), id_col, text_col, width))
-    tried, sure = links, materialized(confirmed(links, sets, percent))
+    sets = sets_of(nodes)
+    sure = materialized(confirmed(links, sets, percent))
     labels = components(sure)
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("band", F.lit(True).alias("crowded"))
-    linked = nodes.withColumn("linked", F.lit(True))
-    known = banded.join(crowded, "band", "left").join(linked, "node", "left").where("crowded or linked").select("node", "sig", "band")  # in other bands, a node without a link has no candidate
-    while True:
-        again = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        n_forests *= 4  # so that the rounds are few even where many proposals fail
-        links = materialized(remaining(again, tried.join(sure, ["a", "b"], "left_anti"), cut, chunk, n_forests))
-        if links.isEmpty():
-            break
-        new = materialized(ends(links).join(nodes, "node", "left_anti"))
-        if not new.isEmpty():
-            nodes = nodes.union(new)
-            sets = sets.union(materialized(full_sets(docs, classes.select("node", "rid").join(new, "node"), id_col, text_col, width)))
-        more = materialized(confirmed(links, sets, percent))
-        tried, sure = tried.unionByName(links), sure.unionByName(more)
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where(_parts(F.col("n"), F.col("shingles"), chunk) > 1).select("band", F.lit(True).alias("crowded"))
+    known = banded.join(crowded, "band", "left").join(nodes.withColumn("linked", F.lit(True)), "node", "left").where("crowded or linked")  # in other bands, a node that no forest holds has no candidate
+    labelled = known.join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("label", "node").alias("label"), "sig")
+    open_nodes = materialized(unsettled(materialized(blocks(labelled, chunk)), links.join(sure, ["a", "b"], "left_anti"), cut))
+    new = open_nodes.select("node").distinct().join(nodes, "node", "left_anti")
+    if not open_nodes.isEmpty():
+        sure = sure.unionByName(materialized(true_links(open_nodes, sets.union(sets_of(new)), percent)))
         labels = components(sure)
-        known = nodes.join(classes, "node").select("node", "sig", F.explode("bands").alias("band"))
-    found = classes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"))
-    return rows.select("doc", "rid", "n_shingles", "s1", "s2").join(found, ["s1", "s2"], "left").select(
+    least = labels.join(classes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("component"))
+    labels = labels.join(least, "label").select("node", "component")
+    found = classes.select("s1", "s2", "node", "doc").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "doc").alias("component"))
+    judged = rows.join(found, ["s1", "s2"], "left").select(
         "doc", "rid", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component_id")
     )
+    return judged
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their component, or have a null id, with all their columns."""
+    """The rows of docs whose id is the smallest of their component, or null, with all their columns.
+
+    Several rows of that id all stay, whether they repeat one text or have different ones.
+    """
     found = near_duplicates(docs, width, percent, id_col, text_col)
-    gone = found.where("doc <> component_id").select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid")).distinct()
-    on = (docs[id_col].cast("long") == F.col("__doc")) & (row_hash(docs[text_col]) == F.col("__rid"))
-    return docs.join(gone, on, "left_anti")
+    doc, rid = fresh(docs, "doc"), fresh(docs, "rid")
+    gone = found.where("doc <> component_id").select(F.col("doc").alias(doc), F.col("rid").alias(rid)).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == F.col(doc)) & (row_hash(docs[text_col]) == F.col(rid)), "left_anti")

@@ -437,6 +437,52 @@ def test_copies_of_an_original_that_is_not_the_smallest_meet_it(spark):
     assert {r.doc: (r.n_shingles, r.component_id) for r in got} == truth == {i: (103, 0) for i in range(71)}
 
 
+def test_no_link_is_lost_among_look_alikes(spark):
+    """One template of 1,800 documents that are nearly, but not quite, alike, with 300 true pairs among them."""
+    r = random.Random(12)
+    template = words(300, 77).split()
+    texts = []
+    for i in range(1500):
+        own = list(template)
+        for place in r.sample(range(300), 6):
+            own[place] = f"own{i}x{place}"
+        texts.append(own)
+    for i in range(300):
+        own = list(texts[i])
+        for place in r.sample(range(300), 7):
+            own[place] = f"new{i}x{place}"
+        texts.append(own)
+    number: dict[tuple, int] = {}
+    sets = [{number.setdefault(tuple(t[j : j + 3]), len(number)) for j in range(298)} for t in texts]
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, list(s)] = 1
+    both = held @ held.T
+    sizes = held.sum(1)
+    linked = 100 * both >= 85 * (sizes[:, None] + sizes[None] - both)
+    label = np.arange(len(sets))
+    while not np.array_equal(label, new := np.where(linked, label[None], len(sets)).min(1)):
+        label = new
+    assert (label[1500:] < 1500).sum() >= 290 and (label[:1500] == np.arange(1500)).sum() >= 1400
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    for chunk in (128, 512):
+        got = {x.doc: x.component_id for x in near_dup.near_duplicates(docs, 3, 85, chunk=chunk).collect()}
+        assert [got[i] for i in range(len(sets))] == label.tolist()
+
+
+def test_shared_shingles():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 60 if i % 2 else 5000, 80, dtype=np.uint64)) for i in range(30)]
+    assert near_dup.shared_shingles(sets).tolist() == [[len(np.intersect1d(a, b)) if i != j else near_dup.shared_shingles(sets)[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
+def test_one_id_with_different_texts(spark):
+    near = words(60, 3)
+    rows = [(5, words(60, 1)), (5, near), (9, near + " more"), (7, words(60, 1))]
+    got = collections.Counter((x.doc, x.component_id) for x in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect())
+    assert got == collections.Counter({(5, 5): 2, (9, 5): 1, (7, 5): 1})
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B  c\nd"), (3, None), (4, "")], DOCS)
     got = collections.Counter((r.doc, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 3, 85).collect())
