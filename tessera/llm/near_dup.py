@@ -263,7 +263,7 @@ def true_links(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, shingles) of the given (node, doc, rid): full sets as sorted 64-bit hashes."""
+    """(node, shingles) of the given (node, doc, rid): full sets as sorted 64-bit hashes. Texts are shuffled once unless nodes are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -333,13 +333,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     cut = share - 4 * (share * (1 - share) / MINIMA) ** 0.5  # a link's estimate is less than this once in 30,000
     banded = classes.select("node", "n_shingles", "sig", F.explode("bands").alias("band"))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = materialized(classes.select("node", "doc", "rid").join(nodes, "node"))  # its size is then known: few are broadcast, and the texts stay where they are
-        return materialized(full_sets(docs, wanted, id_col, text_col, width))
+    def sets_of(nodes: DataFrame, all_at_once: bool) -> DataFrame:
+        wanted = materialized(classes.select("node", "doc", "rid").join(nodes, "node"))  # its size is then known
+        return materialized(full_sets(docs, wanted.hint("merge") if all_at_once else wanted, id_col, text_col, width))
 
     links = materialized(proposals(banded, cut, chunk, n_forests))
     nodes = materialized(ends(links))
-    sets = sets_of(nodes)
+    sets = sets_of(nodes, True)  # grows with docs: one plan at every size
     sure = materialized(confirmed(links, sets, percent))
     labels = components(sure)
     crowded = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where(_parts(F.col("n"), F.col("shingles"), chunk) > 1).select("band", F.lit(True).alias("crowded"))
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     open_nodes = materialized(unsettled(materialized(blocks(labelled, chunk)), links.join(sure, ["a", "b"], "left_anti"), cut))
     new = open_nodes.select("node").distinct().join(nodes, "node", "left_anti")
     if not open_nodes.isEmpty():
-        sure = sure.unionByName(materialized(true_links(open_nodes, sets.union(sets_of(new)), percent)))
+        sure = sure.unionByName(materialized(true_links(open_nodes, sets.union(sets_of(new, False)), percent)))
         labels = components(sure)
     least = labels.join(classes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("component"))
     labels = labels.join(least, "label").select("node", "component")
