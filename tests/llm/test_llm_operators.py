@@ -86,7 +86,8 @@ def test_compact_windows_match_brute_force():
         h = r.integers(0, 2**60, n, dtype=np.uint64)
         if n > 20:
             h[n // 2] = h[3]
-        got = set(zip(*(x.tolist() for x in substring_dedup.compact_windows(h, t))))
+        row, *own = substring_dedup.compact_windows(np.stack([h[::-1], h]), t)
+        got = set(zip(*(x[row == 1].tolist() for x in own)))
         bits = int(n).bit_length()
         key = [(int(v) >> bits, i) for i, v in enumerate(h)]
         want = set()
@@ -121,6 +122,45 @@ def test_repeated_passages(spark, odd):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def edited(passage, n, r):
+    """The passage with n words put in, taken out or replaced."""
+    own = list(passage)
+    for _ in range(n):
+        at = r.randrange(5, len(own) - 5)
+        kind = r.choice("iod")
+        own[at : at + (kind != "i")] = [] if kind == "d" else [f"edit{r.random()}"]
+    return own
+
+
+def test_passages_with_words_put_in_and_taken_out(spark):
+    one, two = words(90, 801).split(), words(150, 802).split()
+    rows = [(1, " ".join([*words(40, 803).split(), *one, *two, *words(30, 804).split()])), (2, " ".join([*one[:45], "extra", *one[45:], *words(60, 805).split()])), (3, " ".join([*words(80, 806).split(), *two[:50], "x", *two[50:100], "y", *two[100:]])), (4, " ".join([*one[:44], *one[45:], *words(99, 807).split()]))]
+    got = {r.doc: (r.source, r.start, r.n_words, r.source_start) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {2: (1, 0, 91, 40), 3: (1, 80, 152, 130), 4: (1, 0, 89, 40)}
+
+
+def test_edited_passages_are_recalled(spark):
+    """200 documents that repeat 40 passages with edits, and 100 others: which words are found, against where they were planted."""
+    r = random.Random(21)
+    passages = [words(r.randint(60, 200), 900 + i).split() for i in range(40)]
+    rows = [(i, " ".join([*words(r.randint(0, 80), 1000 + i).split(), *p, *words(r.randint(0, 80), 2000 + i).split()])) for i, p in enumerate(passages)]
+    planted = {}
+    for i in range(100, 300):
+        p = r.choice(passages)
+        own = edited(p, i % 5 * len(p) // 200, r)  # a similarity of 0.8 or more
+        head = words(r.randint(0, 120), 3000 + i).split()
+        rows.append((i, " ".join([*head, *own, *words(r.randint(0, 120), 4000 + i).split()])))
+        planted[i] = (len(head), len(head) + len(own))
+    rows += [(i, words(200, 5000 + i)) for i in range(400, 500)]
+    found = collections.defaultdict(set)
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        found[x.doc] |= set(range(x.start, x.start + x.n_words))
+    right = sum(len(found[i] & set(range(*p))) >= 0.9 * (p[1] - p[0]) for i, p in planted.items())
+    assert right >= 0.95 * len(planted) and not [i for i in found if i not in planted]
+    extra = sum(len(found[i] - set(range(p[0] - 1, p[1] + 1))) for i, p in planted.items())
+    assert extra <= 0.01 * sum(p[1] - p[0] for p in planted.values())
+
+
 def test_many_copies_are_each_found(spark):
     passage = words(60, 70)
     rows = [(i, f"{words(20, 1000 + i)} {passage} {words(20, 5000 + i)}") for i in range(300)]
