@@ -2,7 +2,8 @@
 
 The trees are fitted on a bounded sample and hold every row: a row goes down each tree to a leaf, and
 leaves of any size are cut into blocks of bounded size. A query searches all trees through one priority
-queue ordered by the distance to the splitting planes until the leaves taken hold enough rows; leaves
+queue, ordered by the squared distances to the planes crossed so far, until the leaves taken hold enough
+rows, a number that grows more slowly than the rows do; leaves
 then meet their queries by an equi-join on (leaf, block, query block), each pair of blocks is reranked
 exactly with one matrix product, and the best of the blocks are merged. For the largest inner product,
 vectors get one more component that makes their norms equal.
@@ -54,14 +55,14 @@ class Forest:
         return out
 
     def search(self, queries: np.ndarray, counts: np.ndarray, enough: int) -> list[list[int]]:
-        """For each query the leaves to look into: best margin first over all trees, until they hold enough rows."""
+        """For each query the leaves to look into: nearest first over all trees, until they hold enough rows."""
         q = np.hstack([queries, np.zeros((len(queries), 1))])
         inner = self.leaves - 1
         out = []
-        for a in range(0, len(q), 1024):
-            margins = np.einsum("ij,tnj->itn", q[a : a + 1024], self.normals, optimize=True) - self.offsets
+        for a in range(0, len(q), 128):
+            margins = np.einsum("ij,tnj->itn", q[a : a + 128], self.normals, optimize=True) - self.offsets
             for own in margins:
-                heap = [(-np.inf, t, 0) for t in range(len(self.normals))]
+                heap = [(0.0, t, 0) for t in range(len(self.normals))]
                 heapq.heapify(heap)
                 taken, held = [], 0
                 while heap and held < enough:
@@ -73,8 +74,8 @@ class Forest:
                             held += int(counts[leaf])
                         continue
                     m = own[t, node]
-                    heapq.heappush(heap, (max(bound, -m), t, 2 * node + 2))
-                    heapq.heappush(heap, (max(bound, m), t, 2 * node + 1))
+                    heapq.heappush(heap, (bound + min(m, 0.0) ** 2, t, 2 * node + 2))
+                    heapq.heappush(heap, (bound + max(m, 0.0) ** 2, t, 2 * node + 1))
                 out.append(taken)
         return out
 
@@ -113,25 +114,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, depth: int = 6, share: float = 0.2, sample_rows: int = 10_000, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, leaf_rows: int = 256, most_depth: int = 10, effort: float = 10.0, growth: float = 0.75, sample_rows: int = 10_000, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found, by largest inner product.
 
     The index holds every usable row and is fitted on about sample_rows of them, chosen by a hash of the
-    id. A search stops when the leaves taken hold share * trees / 2 of the rows, counted with repeats.
-    Ties go to the smaller id. Vectors that are null, zero or not finite, null ids, and vectors of
-    another length than most take no part. A row is not its own neighbour; rows that repeat an id are
-    one row. With fewer than k other rows all that were found are returned.
+    id. Trees are as deep as leaves of leaf_rows ask for, and no deeper than most_depth, which bounds what
+    is broadcast. A search stops when the leaves taken hold effort * n ** growth rows, counted with
+    repeats, or 50 * k if that is more. Ties go to the smaller id. Vectors that are null, zero or not
+    finite, null ids, and vectors of another length than most take no part. A row is not its own
+    neighbour; rows that repeat an id are one row, with the least of their vectors in Spark's order. With
+    fewer than k other rows all that were found are returned. An empty table gives no rows.
     """
     spark = rows.sparkSession
     own = rows.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    own = own.dropDuplicates(["id"])
     facts = own.agg(F.count("*").alias("n"), F.mode(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     n, dim = facts.n, facts.dim or 1
-    own = own.where(F.size("v") == dim)
+    own = own.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     sampled = own.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // sample_rows)))) == 0).orderBy(F.xxhash64("id"), "id").limit(2 * sample_rows)
     sample = np.array([r.v for r in sampled.select("v").collect()]).reshape(-1, dim)
+    depth = int(np.clip(np.round(np.log2(max(n, 1) / leaf_rows)), 1, most_depth))
     forest = fit_forest(np.unique(sample, axis=0) if len(sample) else sample, float(np.sqrt(facts.square or 0.0)), trees, depth)
-    shared = spark.sparkContext.broadcast(forest)  # trees * 2^depth planes, whatever the input
+    shared = spark.sparkContext.broadcast(forest)  # trees * 2^most_depth planes at most
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +147,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, dep
     counts = np.zeros(trees * forest.leaves, np.int64)
     for r in held:
         counts[r.leaf] = r.n
-    enough = max(int(share * n * trees / 2), 50 * k)
+    enough = max(int(effort * n**growth), 50 * k)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
