@@ -2,8 +2,9 @@
 
 Each task packs its own partition in one pass, without a shuffle: open sequences are held in a bitset
 keyed by free space, a piece goes to the one with the least room that still fits, and when the fixed
-number of open sequences is reached the fullest closes. What a task leaves partly filled, at most the
-bound, is then packed again together with the leftovers of neighbouring partitions, as whole units.
+number of open sequences is reached the fullest closes. A sequence's rows go out as it closes, so a task
+holds the open ones only, whatever its partition. What a task leaves open, at most the bound, is then
+packed again in the same way together with the leftovers of neighbouring partitions, as whole units.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tessera.llm.common import materialized, slices, utf8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, room int, group long"
 
+_PIECE_FIELDS = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")), ("room", pa.int32()), ("group", pa.int64())])
+
 
 class BestFit:
     """Open bins keyed by free space; at most `bound` of them."""
@@ -35,6 +38,7 @@ class BestFit:
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.open = 0
         self.made = 0
+        self.closed: list[int] = []  # since the caller last emptied it
 
     def put(self, length: int) -> tuple[int, int]:
         """(bin, offset) of a piece of 1 to capacity tokens."""
@@ -44,7 +48,7 @@ class BestFit:
             own = self._take(free)
         else:
             if self.open >= self.bound:
-                self._take((self.free_spaces & -self.free_spaces).bit_length() - 1)  # the fullest closes
+                self.closed.append(self._take((self.free_spaces & -self.free_spaces).bit_length() - 1))  # the fullest
             own, free = self.made, self.capacity
             self.made += 1
         left = free - length
@@ -52,6 +56,8 @@ class BestFit:
             self.by_free[left].append(own)
             self.free_spaces |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(own)
         return own, self.capacity - free
 
     def _take(self, free: int) -> int:
@@ -85,7 +91,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: in
 
     A document's tokens are its text's ids and end_id; a null or empty text is end_id alone. Documents
     of more than `capacity` tokens are cut, others stay whole. path: a rank file. bound: open sequences
-    in a task. lookahead: pieces that are put in order of length before they are placed. spread: partitions whose leftovers are packed together. Repeated rows are packed each;
+    in a task. lookahead: a buffer of pieces that are put in order of length before they are placed. spread: partitions whose leftovers are packed together. Repeated rows are packed each;
     an empty table gives no rows. Sequence numbers are distinct, not gapless.
     """
 
@@ -93,7 +99,18 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: in
         encode = encoder(path, pattern).encode_ordinary
         task = TaskContext.get().partitionId()
         bins = BestFit(capacity, bound)
-        held: list[tuple] = []
+        held: dict[int, list[tuple]] = {}  # rows of open sequences
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [()] * 9
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECE_FIELDS)], schema=_PIECE_FIELDS)
+            out.clear()
+            return batch
+
+        def close(own: int, room: int) -> None:
+            out.extend((doc, i, start, length, crc, task << 32 | own, offset, room, task // spread) for doc, i, start, length, crc, offset in held.pop(own))
+
         for batch in slices(batches, 1024):
             found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -104,18 +121,17 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: in
             for a in range(0, len(found), lookahead):  # longest first inside a short run fills tighter
                 for minus, doc, i, start, crc in sorted(found[a : a + lookahead], key=lambda x: x[0]):
                     own, offset = bins.put(-minus)
-                    held.append((doc, i, start, -minus, crc, own, offset))
-        room = bins.leftovers()
-        for a in range(0, len(held), 50_000):
-            cols = list(zip(*held[a : a + 50_000]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()),
-                    pa.array([task << 32 | own for own in cols[5]], pa.int64()), pa.array(cols[6], pa.int64()),
-                    pa.array([room.get(own, 0) for own in cols[5]], pa.int32()), pa.array([task // spread] * len(cols[0]), pa.int64()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "room", "group"],
-            )
+                    held.setdefault(own, []).append((doc, i, start, -minus, crc, offset))
+                    for done in bins.closed:
+                        close(done, 0)
+                    bins.closed.clear()
+                    if len(out) >= 10_000:
+                        yield flush()
+        for own, room in bins.leftovers().items():
+            close(own, room)
+            if len(out) >= 10_000:
+                yield flush()
+        yield flush()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text_bytes"))
     placed = materialized(own.mapInArrow(run, _PIECES))
@@ -127,7 +143,7 @@ def _repacked(placed: DataFrame, capacity: int, bound: int) -> DataFrame:
 
     def again(units: pd.DataFrame) -> pd.DataFrame:
         units = units.sort_values(["used", "sequence_id"], ascending=[False, True])
-        bins, first, to, shift = BestFit(capacity, len(units) + 1), {}, [], []
+        bins, first, to, shift = BestFit(capacity, bound), {}, [], []
         for sequence, used in zip(units["sequence_id"].tolist(), units["used"].tolist()):
             own, offset = bins.put(used)
             to.append(first.setdefault(own, sequence))

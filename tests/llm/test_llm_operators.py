@@ -357,6 +357,20 @@ def test_packing(spark, odd, vocabulary):
     assert packing.pack(clashing(spark, []), vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN).count() == 0
 
 
+def test_best_fit_holds_no_more_than_its_bound():
+    r = random.Random(2)
+    bins, held, closed = packing.BestFit(1024, 50), set(), set()
+    for _ in range(200_000):
+        own, _ = bins.put(r.randint(1, 1024))
+        assert own not in closed
+        held.add(own)
+        held -= set(bins.closed)
+        closed |= set(bins.closed)
+        bins.closed.clear()
+        assert len(held) <= 50 and bins.open == len(held)
+    assert set(bins.leftovers()) == held
+
+
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 5, 4)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6)]
