@@ -1,9 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text. A small linear classifier gives each block a cost of being content and a
-cost of being boilerplate, which become terminal capacities; blocks that follow one another and blocks
-that share a DOM container are tied by smoothness edges; a maximum flow finds the cheapest cut, and the
-blocks on the source's side are the text. Pages are independent: one pass, no shuffle.
+A page becomes blocks of text. A linear classifier gives each block a cost of being content and a cost of
+being boilerplate, from its length, link density, element, the names of its containers, and the share of
+the page's prose that those hold; these become terminal capacities. Blocks that follow one another and
+blocks that share a DOM container are tied by smoothness edges; a maximum flow finds the cheapest cut, and
+the blocks on the source's side are the text. No name is a veto: a container that holds nearly all of a
+page's prose is the article, whatever it is called. Pages are independent: one pass, no shuffle. Markup is
+scanned in one go, in time that grows with its length, however broken it is.
 """
 
 from __future__ import annotations
@@ -27,17 +30,20 @@ RAW = frozenset("script style title textarea noscript iframe template".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 SCOPE = frozenset("table ul ol dl body html article section div main".split())
-SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
-SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Elements, roles and names of what is beside the text, by how sure they are: 1 may be, 2 is, 3 is always.
+MAYBE, BESIDE, ALWAYS = 1, 2, 3
+SIDE_TAGS = {"aside": MAYBE, "form": MAYBE, "fieldset": MAYBE, "nav": ALWAYS, "footer": BESIDE, "menu": ALWAYS, "dialog": BESIDE, "search": ALWAYS}
+SIDE_ROLES = {"complementary": MAYBE, "form": MAYBE, "banner": MAYBE, "contentinfo": BESIDE, "dialog": BESIDE, "alertdialog": ALWAYS, "alert": BESIDE, "navigation": ALWAYS, "search": ALWAYS, "menu": ALWAYS, "menubar": ALWAYS, "toolbar": ALWAYS}
 SIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar sidebar aside rail widget related recommended recommendations "
-    "share sharing social follow newsletter subscribe subscription signup login register search comment comments commentlist disqus replies reply respond copyright disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice alert "
+    "nav navbar navigation menu pager footer masthead topbar toolbar sidebar aside rail widget related recommended recommendations "
+    "share sharing social follow signup login register search comment comments commentlist disqus replies reply respond disclaimer".split()
 )
+ALWAYS_WORDS = frozenset("cookie cookies consent gdpr popup modal overlay breadcrumb breadcrumbs pagination newsletter subscribe subscription copyright".split())
 TEXT_WORDS = frozenset("article content post entry body story main text prose".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$")
@@ -49,7 +55,6 @@ class Block:
     chars: int
     link_chars: int
     tag: str
-    side: bool  # inside something that is never the article
     in_article: bool
     named_text: bool
     box: int  # its container's number
@@ -59,40 +64,52 @@ class Block:
 class Page:
     blocks: list[Block] = field(default_factory=list)
     parents: list[int] = field(default_factory=lambda: [-1])  # of containers
+    marks: list[int] = field(default_factory=lambda: [0])  # how sure it is that a container is beside the text
 
 
 class _Open:
-    __slots__ = ("tag", "side", "article", "named", "box", "unread")
+    __slots__ = ("tag", "article", "named", "box", "unread", "block")
 
-    def __init__(self, tag, side, article, named, box, unread):
-        self.tag, self.side, self.article, self.named, self.box, self.unread = tag, side, article, named, box, unread
+    def __init__(self, tag, article, named, box, unread, block):
+        self.tag, self.article, self.named, self.box, self.unread = tag, article, named, box, unread
+        self.block = block or self  # the nearest element that is not inline
 
 
-def _names(attrs: str) -> tuple[bool, bool, bool]:
-    """(names something beside the article, names the text, hidden)."""
-    side = named = hidden = False
+def _names(attrs: str) -> tuple[int, bool]:
+    """(how sure the names say beside the text, whether they name the text)."""
+    mark, named = 0, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
+            found, own = 0, False
             for word in value.split():
-                parts = _SPLIT.split(word)
-                if {"with", "has", "no", "without"} & set(parts):
+                parts = [x for x in _SPLIT.split(word) if x]
+                if not parts or {"with", "has", "no", "without"} & set(parts):
                     continue
-                side = side or any(p in SIDE_WORDS for p in parts)
-                named = named or any(p in TEXT_WORDS for p in parts)
+                if word in ALWAYS_WORDS or parts[-1] in ALWAYS_WORDS or ALWAYS_WORDS & set(parts) and SIDE_WORDS & set(parts):
+                    found = ALWAYS
+                elif word in SIDE_WORDS or parts[-1] in SIDE_WORDS:
+                    found = max(found, BESIDE)
+                elif not (SIDE_WORDS | ALWAYS_WORDS).isdisjoint(parts):
+                    found = max(found, MAYBE)
+                own = own or not TEXT_WORDS.isdisjoint(parts)
+            mark = max(mark, min(found, MAYBE) if own and found == BESIDE else found)
+            named = named or own
         elif name == "role":
-            side = side or value in SIDE_ROLES
+            mark = max(mark, SIDE_ROLES.get(value, 0))
         elif name == "style":
-            hidden = hidden or "display:none" in value.replace(" ", "")
-        else:
-            hidden = hidden or name == "hidden" or value == "true"
-    return side, named, hidden
+            mark = ALWAYS if "display:none" in value.replace(" ", "") else mark
+        elif name == "hidden" or value == "true":
+            mark = ALWAYS
+    return mark, named
 
 
 def parse(source: str) -> Page:
     """Blocks of text in page order, with what their open elements say about them."""
     page = Page()
-    stack = [_Open("", False, False, False, 0, False)]
+    stack = [_Open("", False, False, 0, False, None)]
+    opened: dict[str, int] = {}  # elements on the stack by tag
+    last, loose = source.rfind(">"), False  # loose: a quote was never closed, so quotes count no more
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -102,14 +119,15 @@ def parse(source: str) -> Page:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = sum(len(t.strip()) for t, link in parts if link)
-                own = next((o for o in reversed(stack) if o.tag not in INLINE), stack[0])
-                page.blocks.append(Block(text, len(text), min(linked, len(text)), own.tag, own.side, own.article, own.named, own.box))
+                own = stack[-1].block
+                page.blocks.append(Block(text, len(text), min(linked, len(text)), own.tag, own.article, own.named, own.box))
             parts = []
 
     def close(at: int) -> None:
         nonlocal links
         for o in stack[at:]:
             links -= o.tag == "a"
+            opened[o.tag] -= 1
         del stack[at:]
 
     at, n = 0, len(source)
@@ -130,19 +148,30 @@ def parse(source: str) -> Page:
             end = source.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(source, lt) or _LOOSE.match(source, lt)
+        m = _NAME.match(source, lt) if lt < last else None
+        rest = _REST.match(source, m.end()) if m and not loose else None
+        if m and not rest and m.end() <= last:
+            loose, end = True, source.find(">", m.end())
+        elif rest:
+            end = rest.end() - 1
+        else:
+            m = None
         if not m:
             if not stack[-1].unread:
                 parts.append(("<", links > 0))
             at = lt + 1
             continue
-        at = m.end()
-        tag, attrs = m[2].lower(), m[3]
+        tag, attrs, at = m[2].lower(), source[m.end() : end], end + 1
         if m[1]:
+            if not opened.get(tag):
+                if tag not in INLINE:
+                    flush()
+                continue
             if tag in INLINE:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         links -= tag == "a"
+                        opened[tag] -= 1
                         del stack[i]
                         break
                     if stack[i].tag not in INLINE:
@@ -165,7 +194,7 @@ def parse(source: str) -> Page:
             flush()
             if tag in CLOSES_P or tag in SAME:
                 ends = {"p"} if tag in CLOSES_P else set(SAME[tag].split())
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in ends) else ():
                     if stack[i].tag in ends:
                         close(i)
                         break
@@ -175,37 +204,64 @@ def parse(source: str) -> Page:
         if inline:
             if tag == "a":
                 links += 1
-            stack.append(_Open(tag, up.side, up.article, up.named, up.box, up.unread))
+            stack.append(_Open(tag, up.article, up.named, up.box, up.unread, up.block))
+            opened[tag] = opened.get(tag, 0) + 1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            closing = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            end = source.find(">", closing.end()) if closing else -1
+            at = n if end < 0 else end + 1
             continue
-        side, named, hidden = _names(attrs) if attrs else (False, False, False)
+        mark, named = _names(attrs) if attrs else (0, False)
         if tag in ("html", "body"):
-            side = named = False
+            mark, named = 0, False
         article = up.article or tag in ("article", "main") or 'role="main"' in attrs
         if tag in ("article", "main"):
-            side = side and re.search(r"comment|reply|replies", attrs, re.I) is not None
-        side = side or tag in SIDE_TAGS or tag == "header" and not up.article
+            mark = mark if mark == ALWAYS or re.search(r"comment|reply|replies", attrs, re.I) else 0
+        mark = max(mark, SIDE_TAGS.get(tag, 0), BESIDE if tag == "header" and not up.article else 0)
         page.parents.append(up.box)
-        stack.append(_Open(tag, up.side or side or hidden, article, up.named or named, len(page.parents) - 1, up.unread or tag in UNREAD))
+        page.marks.append(mark)
+        stack.append(_Open(tag, article, up.named or named, len(page.parents) - 1, up.unread or tag in UNREAD, None))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return page
 
 
-def leaning(block: Block, has_article: bool) -> float:
+#: What a container's mark costs its blocks at most, and how fast the cost falls as it holds more of the page's prose.
+MOST, FALL = 12.0, {0: 0.0, MAYBE: 16.0, BESIDE: 30.0}
+
+
+def penalties(page: Page) -> list[float]:
+    """For each container, the largest cost that its own mark or one around it puts on being content."""
+    held = [0] * len(page.parents)  # characters of prose
+    for block in page.blocks:
+        if block.chars >= 40 and 4 * block.link_chars < block.chars:
+            held[block.box] += block.chars
+    for box in range(len(held) - 1, 0, -1):  # containers come after those around them
+        held[page.parents[box]] += held[box]
+    out = [0.0] * len(held)
+    for box in range(1, len(held)):
+        beside, mark = 1 - held[box] / held[0] if held[0] else 1.0, page.marks[box]
+        out[box] = max(out[page.parents[box]], MOST if mark == ALWAYS else min(MOST, FALL[mark] * beside))
+    return out
+
+
+def leaning(block: Block, has_article: bool, penalty: float) -> float:
     """The classifier: positive leans to content, negative to boilerplate; the size is the cost of the other label."""
-    if block.side:
-        return -12.0
     density = block.link_chars / block.chars
-    score = -0.8 + min(block.chars / 60.0, 3.0) - 4.0 * density
+    score = -0.8 + min(block.chars / 60.0, 3.0) - 4.0 * density - penalty
     score += 0.8 if _SENTENCE.search(block.text) else 0.0
     score += {"p": 1.0, "blockquote": 1.0, "pre": 0.8, "h1": 0.8, "h2": 0.6, "h3": 0.6, "h4": 0.4, "li": -0.3, "td": -0.3}.get(block.tag, 0.0)
     score += 4.0 if block.in_article else -4.0 if has_article else 0.0
     return score + (1.0 if block.named_text else 0.0)
 
 
+def leanings(page: Page) -> list[float]:
+    cost = penalties(page)
+    has_article = any(b.in_article and cost[b.box] < 4.0 for b in page.blocks)
+    return [leaning(b, has_article, cost[b.box]) for b in page.blocks]
+
+
 class Flow:
     """Maximum flow by blocking flows on layered graphs."""
 
@@ -291,8 +347,7 @@ def ties(page: Page) -> tuple[int, list[tuple[int, int, float]]]:
 
 def content_labels(page: Page) -> list[bool]:
     """Which blocks are content: the labels of least cost."""
-    has_article = any(b.in_article and not b.side for b in page.blocks)
-    lean = [leaning(b, has_article) for b in page.blocks]
+    lean = leanings(page)
     if all(x > 0 for x in lean) or all(x <= 0 for x in lean):
         return [x > 0 for x in lean]
     n, edges = ties(page)
@@ -318,7 +373,7 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages' other columns, with text and n_chars (code points) in place of the html.
 
-    A null or empty page has an empty text. Broken markup is read as browsers do, roughly: elements left
+    A null or empty page has an empty text; repeated rows are read each; an empty table gives no rows. Broken markup is read as browsers do, roughly: elements left
     open are closed by their successors, text outside any element counts. Columns named text or n_chars are replaced.
     """
     others = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -51,14 +52,44 @@ def test_main_text_of_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+PROSE = "".join(f"<p>{words(40, 60 + i).capitalize()}.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("name", ["entry ad-free", "post widget", "story related", "main-story banner-top", "col social-policy", "news alert-news", "review-comment"])
+def test_names_alone_do_not_empty_an_article(name):
+    page = f'<body><nav><a href=/>Home</a> <a href=/b>News</a></nav><div class="{name}"><h1>A title of it</h1>{PROSE}</div><footer>All rights are reserved by us.</footer></body>'
+    assert html_text.main_text(page) == "A title of it\n" + "\n".join(f"{words(40, 60 + i).capitalize()}." for i in range(4))
+
+
+def test_a_form_around_the_page_is_a_container():
+    page = f'<body><form id="aspnetForm" action=x><div class="menu"><a href=/>Home</a></div><div>{PROSE}</div><div class="sidebar"><p>Some other thing that you may want to read.</p></div></form></body>'
+    assert html_text.main_text(page) == "\n".join(f"{words(40, 60 + i).capitalize()}." for i in range(4))
+
+
+def test_long_comments_and_notices_are_left_out():
+    comments = "".join(f'<div class="comment"><p>{words(50, 90 + i).capitalize()}.</p></div>' for i in range(5))
+    page = f'<body><div class="cookie-notice"><p>{words(60, 89)}.</p></div><article>{PROSE}</article><section id="comments">{comments}</section><div class="related-posts"><p>{words(30, 88)}.</p></div></body>'
+    assert html_text.main_text(page) == "\n".join(f"{words(40, 60 + i).capitalize()}." for i in range(4))
+
+
+@pytest.mark.parametrize("part", ['<a b="', '<a b="><i c=', '<a b=">" c=', "<", "</", "<p", "<!-", "<b>", "</p>", "<div>", "<p><li>", "<script", "<a b='\">", "&amp", "<i></b>"])
+def test_a_megabyte_of_broken_markup_is_read_in_time(part):
+    began = time.perf_counter()
+    assert isinstance(html_text.main_text(part * (1_000_000 // len(part))), str)
+    assert time.perf_counter() - began < 20
+
+
+def test_quotes_hide_the_end_of_a_tag():
+    assert html_text.main_text(f'<div title="a > b" data-x=\'>\'>{PROSE}</div><p title="never closed>{words(30, 7)}.</p>').startswith(words(40, 60).capitalize())
+
+
 def test_labels_have_the_least_cost():
     r = random.Random(3)
     for _ in range(40):
-        page = html_text.Page(parents=[-1, 0, 0, 1])
+        page = html_text.Page(parents=[-1, 0, 0, 1], marks=[0, r.randint(0, 3), 0, r.randint(0, 2)])
         for _ in range(r.randint(1, 9)):
-            page.blocks.append(html_text.Block("x" * r.randint(1, 200), r.randint(1, 200), r.randint(0, 1), r.choice(["p", "div", "li"]), r.random() < 0.3, r.random() < 0.4, False, r.randint(0, 3)))
-        has = any(b.in_article and not b.side for b in page.blocks)
-        lean = [html_text.leaning(b, has) for b in page.blocks]
+            page.blocks.append(html_text.Block("x" * r.randint(1, 200), r.randint(1, 200), r.randint(0, 1), r.choice(["p", "div", "li"]), r.random() < 0.4, False, r.randint(0, 3)))
+        lean = html_text.leanings(page)
         n, ties = html_text.ties(page)
 
         def cost(labels):
