@@ -114,13 +114,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, leaf_rows: int = 256, most_depth: int = 10, effort: float = 10.0, growth: float = 0.75, sample_rows: int = 10_000, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, visits: int = 72, most_depth: int = 10, effort: float = 10.0, growth: float = 0.75, sample_rows: int = 10_000, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found, by largest inner product.
 
     The index holds every usable row and is fitted on about sample_rows of them, chosen by a hash of the
-    id. Trees are as deep as leaves of leaf_rows ask for, and no deeper than most_depth, which bounds what
-    is broadcast. A search stops when the leaves taken hold effort * n ** growth rows, counted with
-    repeats, or 50 * k if that is more. Ties go to the smaller id. Vectors that are null, zero or not
+    id. A search stops when the leaves taken hold effort * n ** growth rows, counted with repeats, or
+    50 * k if that is more. Trees are so deep that this takes about `visits` leaves, or up to twice fewer,
+    whatever n is, and no deeper than most_depth, which bounds what is broadcast. Ties go to the smaller id. Vectors that are null, zero or not
     finite, null ids, and vectors of another length than most take no part. A row is not its own
     neighbour; rows that repeat an id are one row, with the least of their vectors in Spark's order. With
     fewer than k other rows all that were found are returned. An empty table gives no rows.
@@ -132,7 +132,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, lea
     own = own.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     sampled = own.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // sample_rows)))) == 0).orderBy(F.xxhash64("id"), "id").limit(2 * sample_rows)
     sample = np.array([r.v for r in sampled.select("v").collect()]).reshape(-1, dim)
-    depth = int(np.clip(np.round(np.log2(max(n, 1) / leaf_rows)), 1, most_depth))
+    enough = max(int(effort * n**growth), 50 * k)
+    depth = int(np.clip(np.floor(np.log2(max(n, 1) * visits / enough)), 1, most_depth))
     forest = fit_forest(np.unique(sample, axis=0) if len(sample) else sample, float(np.sqrt(facts.square or 0.0)), trees, depth)
     shared = spark.sparkContext.broadcast(forest)  # trees * 2^most_depth planes at most
 
@@ -147,14 +148,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 16, lea
     counts = np.zeros(trees * forest.leaves, np.int64)
     for r in held:
         counts[r.leaf] = r.n
-    enough = max(int(effort * n**growth), 50 * k)
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def taken_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken = shared.value.search(_matrix(batch.column(1)), counts, enough)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.list_(pa.int32()))], names=["id", "v", "taken"])
 
-    looking = materialized(indexed.where("q").select("id", "v").mapInArrow(visits, "id long, v array<double>, taken array<int>"))
+    looking = materialized(indexed.where("q").select("id", "v").mapInArrow(taken_by, "id long, v array<double>, taken array<int>"))
     looks = looking.select(F.explode("taken").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()  # trees * 2^depth rows at most
     asked = np.zeros_like(counts)
     for r in looks:
