@@ -64,7 +64,7 @@ def leakage_gap(recalls: DataFrame) -> DataFrame:
 def best_model(recalls: DataFrame) -> DataFrame:
     """(model): the model of the best mean fused recall@20 over the variants, ties to the first name."""
     means = recalls.where("retriever = 'rrf'").groupBy("model").agg(F.avg("recall_20").alias("mean"))
-    return means.agg(F.max_by("model", F.struct("mean", F.expr("-ascii(model)"))).alias("model"))
+    return means.agg(F.min_by("model", F.struct(-F.col("mean"), "model")).alias("model"))
 
 
 def overflow(rows: DataFrame, window: int) -> DataFrame:
@@ -77,12 +77,13 @@ def overflow(rows: DataFrame, window: int) -> DataFrame:
 def percentiles(samples: DataFrame, value: str, *group: str, skip_zero: bool = False) -> DataFrame:
     """(group.., p50, p95, most, n): exact median and nearest-rank p95 at round-half-even(0.95 (n - 1)).
 
-    Ranks are made by a window, so a large group is never gathered in one array.
+    Both come from ranks made by a window, so a large group is never gathered in one array.
     """
     rows = samples.where(F.col(value).isNotNull() & (F.col(value) != 0)) if skip_zero else samples.where(F.col(value).isNotNull())
     keyed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
     p95 = F.max(F.when(F.col("__at") == F.bround(0.95 * (F.col("__n") - 1), 0).cast("long"), F.col(value)))
-    return keyed.groupBy(*group).agg(F.median(value).alias("p50"), p95.alias("p95"), F.max(value).alias("most"), F.count("*").alias("n"))
+    middle = F.col("__at").isin(F.floor((F.col("__n") - 1) / 2), F.ceil((F.col("__n") - 1) / 2))
+    return keyed.groupBy(*group).agg(F.avg(F.when(middle, F.col(value).cast("double"))).alias("p50"), p95.alias("p95"), F.max(value).alias("most"), F.count("*").alias("n"))
 
 
 def ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:

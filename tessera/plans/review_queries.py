@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import assembly, chunking, diffs, evidence, ledgers
+from tessera.operators import assembly, chunking, diffs, evidence, ledgers, manifests
 from tessera.plans.views import TOKENS, ctes, view
 
 QUERIES: dict = {}
@@ -216,7 +216,7 @@ def commented_lines(spark, sf_dir):
     return diffs.commented_line(hunks, "id").withColumn("line", F.col("line").cast("long"))
 
 
-@query()
+@query(ctes("drafts") + """ SELECT run_id, 'pytest' AS parser, path || '::t' || line AS test, 'failed' AS kind, path AS file, CAST(NULL AS INTEGER) AS line, body AS message FROM drafts WHERE position < 25""")
 def failures(spark, sf_dir):
     rows = view(spark, sf_dir, "drafts").groupBy("run_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.concat(F.lit("FAILED "), "path", F.lit("::t"), "line", F.lit(" - "), "body").alias("s")))), lambda x: x["s"]), "\n").alias("said"), F.count("*").alias("n")
@@ -235,12 +235,12 @@ def _trees(spark, sf_dir):
 
 @query()
 def requirements(spark, sf_dir):
-    return evidence.requirements(_trees(spark, sf_dir))
+    return manifests.requirements(_trees(spark, sf_dir))
 
 
 @query()
 def frameworks(spark, sf_dir):
-    return evidence.frameworks(_trees(spark, sf_dir))
+    return manifests.frameworks(_trees(spark, sf_dir))
 
 
 @query(ctes("units") + r""", r AS (SELECT doc_id AS report_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || 'VERDICT ' || doc_id || ': Keep, ' || substr(replace(text, chr(10), ' '), 1, 20) || chr(10) || 'VERDICT 9:' WHEN doc_id % 3 = 1 THEN '> VERDICT 1: kill' ELSE 'VERDICT ' || doc_id || ': maybe' END AS t FROM units)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import assembly, diffs, evidence
+from tessera.operators import assembly, diffs, evidence, manifests
 
 PATCH = "@@ -10,3 +10,4 @@ def parse(self):\n context\n-removed\n+added one\n+added two\n tail"
 
@@ -168,39 +168,44 @@ not ok 1 - g
         ("unknown", TAP, "node-test-tap", [("adds", "failed", "a.test.js", 5, "not equal")], (0, 2, None, 0)),
     ],
 )
-def test_output_readers(framework, out, parser, failures, counts):
-    got = evidence.read_output(framework, out, "")
-    assert got["parser"] == parser and [tuple(f.values()) for f in got["failures"]] == failures and tuple(got["counts"].values()) == counts
+def test_output_readers(spark, framework, out, parser, failures, counts):
+    got = evidence.evidence(spark.createDataFrame([(1, framework, out, "")], "run_id int, framework string, stdout string, stderr string")).first()
+    assert got.parser == parser and [tuple(f) for f in got.failures] == failures and tuple(got.counts) == counts
 
 
 def test_output_is_bounded_and_never_fails(spark):
     many = "short test summary info\n" + "\n".join(f"FAILED t.py::t{i} - no" for i in range(4000)) + "\n== 4000 failed in 1s"
-    got = evidence.read_output("pytest", many, None)
-    assert len(got["failures"]) == 25 and got["omitted"] == 3975
     r = random.Random(1)
     rows = [(0, "pytest", many, ""), (1, None, None, None)]
     for i, whole in enumerate((PYTEST, JEST, VITEST, SPEC, TAP) * 8):
         cut = whole[: r.randrange(len(whole))]
         rows.append((10 + i, "jest", "".join(r.sample(cut, len(cut))) if i % 2 else cut, "x" * 9000))
-    found = evidence.evidence(spark.createDataFrame(rows, "run_id int, framework string, stdout string, stderr string"))
+    rows.append((99, "node-test", "    not ok 1 - a\n" * 4000, None))
+    found = evidence.evidence(spark.createDataFrame(rows, "run_id int, framework string, stdout string, stderr string")).cache()
     assert found.count() == len(rows) and all(len(r.excerpt) <= 4000 for r in found.collect())
-    assert evidence.failures(found).where("run_id = 0").count() == 25
+    assert evidence.failures(found).where("run_id = 0").count() == 25 and {r.run_id: r.omitted for r in found.where("omitted > 0").collect()} == {0: 3975, 99: 3975}
+    assert found.where("run_id = 1").first().parser is None
 
 
-def test_requirements():
+def test_requirements(spark):
     files = {
         "pyproject.toml": '[build-system]\nrequires = ["hatchling"]\n[project]\nname = "My_Pkg"\ndependencies = ["httpx>=0.2", "my-pkg[dev]"]\n[project.optional-dependencies]\ndev = ["ruff", "x @ https://e.org/x.zip"]\n[dependency-groups]\ntest = ["pytest", {include-group = "more"}]\nmore = ["mypy"]\nlint = ["black"]\n',
         "requirements.txt": "a==1 # why\n-r requirements/test.txt\n-e .\n# no\nb \\\n  >=2 --hash=sha256:00\n-r ../outside.txt\n", "requirements/test.txt": "c\n-r ../requirements.txt\n", "setup.cfg": "[options]\ninstall_requires =\n  d\n  e[x]>=1; python_version < '3'\n",
     }
-    got = evidence.requirements_of(files)
-    assert got[:8] == ["hatchling", "httpx>=0.2", "ruff", "pytest", "mypy", "d", "e[x]>=1; python_version < '3'", "a==1"] and "c" in got and "black" not in got and not any("http:" in x or "https:" in x for x in got)
-    assert evidence.requirements_of({"setup.py": ""}) == ["setuptools>=40.8.0", "wheel"] and evidence.requirements_of({"pyproject.toml": "broken ["}) == []
+    odd = {"a": '[tool.poetry]\ngroup = "x"\n', "b": '[tool.poetry.group]\ntest = "x"\n', "c": '[project]\noptional-dependencies = ["a"]\n', "d": "x = " + "[" * 3000, "e": "broken ["}
+    rows = [("r", p, c) for p, c in files.items()] + [("s", "setup.py", "")] + [(k, "pyproject.toml", v) for k, v in odd.items()]
+    rows += [("p", "pyproject.toml", '[tool.poetry.dependencies]\npython = "^3.9"\nhttpx = "*"\nslow = {version = "1", optional = true}\n[tool.poetry.group.dev.dependencies]\nruff = "*"\n')]
+    got: dict[str, list[str]] = {}
+    for row in manifests.requirements(spark.createDataFrame(rows, "repo string, path string, content string")).orderBy("repo", "at").collect():
+        got.setdefault(row.repo, []).append(row.requirement)
+    assert got["r"] == ["hatchling", "httpx>=0.2", "ruff", "pytest", "mypy", "d", "e[x]>=1; python_version < '3'", "a==1", "b    >=2", "c"]
+    assert got["s"] == got["c"] == ["setuptools>=40.8.0", "wheel"] and got["p"] == ["httpx", "ruff"] and not set("abde") & set(got)
 
 
 def test_frameworks(spark):
     rows = [("py", "tests/test_a.py", "x"), ("py", "pytest.ini", "[pytest]"), ("js", "package.json", '{"scripts": {"test": "vitest run"}}'), ("both", "package.json", '{"scripts": {"test": "node --test"}}'), ("both", "a_test.py", ""), ("both", "x.test.ts", ""), ("both", "__tests__/y.js", ""),
             ("tie", "package.json", '{"scripts": {"test": "jest"}}'), ("tie", "test_a.py", ""), ("tie", "x.spec.js", ""), ("go", "go.mod", ""), ("none", "a.c", ""), ("fake", "package.json", '{"scripts": {"test": "echo no test specified"}}'), ("vendored", "node_modules/test_a.py", "")]
-    got = {r.repo: r.framework for r in evidence.frameworks(spark.createDataFrame(rows, "repo string, path string, content string")).collect()}
+    got = {r.repo: r.framework for r in manifests.frameworks(spark.createDataFrame(rows, "repo string, path string, content string")).collect()}
     assert got == {"py": "pytest", "js": "vitest", "both": "node-test", "tie": "pytest", "go": None, "none": None, "fake": None, "vendored": None}
 
 
