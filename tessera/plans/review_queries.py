@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 # A document's words become the lines of one hunk: every 3rd is added, every 5th removed, others unchanged.
 _FILES = ctes("changed_files") + """, w AS (SELECT *, string_split(coalesce(text, ''), ' ') AS words FROM changed_files),
-cut AS (SELECT *, list_transform(range(1, least(len(words), 60) + 1), lambda i: (CASE WHEN i % 3 = 0 THEN '+' WHEN i % 5 = 0 THEN '-' ELSE ' ' END) || replace(words[i], chr(10), '_')) AS lines,
+cut AS (SELECT *, list_transform(range(1, len(words) + 1), lambda i: (CASE WHEN i % 3 = 0 THEN '+' WHEN i % 5 = 0 THEN '-' ELSE ' ' END) || replace(words[i], chr(10), '_')) AS lines,
   CASE WHEN status = 'removed' THEN 'deleted' WHEN status = 'renamed' AND changes = 0 THEN 'renamed without changes' WHEN path LIKE '%.lock' THEN 'lockfile or generated'
        WHEN path LIKE 'vendor/%' THEN 'vendored' WHEN coalesce(text, '') = '' THEN 'no patch: binary or too large' END AS skip_reason FROM w),
 hl0 AS (SELECT doc_id, repo, pr, path, new_start, skip_reason, unnest(lines) AS raw, generate_subscripts(lines, 1) AS pos FROM cut WHERE skip_reason IS NULL),
@@ -40,7 +40,7 @@ fate AS (SELECT g.*, h.rank, CASE h.best WHEN 3 THEN 'shown' WHEN 2 THEN 'droppe
 def _changed(spark, sf_dir):
     files = view(spark, sf_dir, "changed_files")
     words = F.split(F.coalesce("text", F.lit("")), " ")
-    lines = F.transform(F.slice(words, 1, 60), lambda w, i: F.concat(F.when((i + 1) % 3 == 0, "+").when((i + 1) % 5 == 0, "-").otherwise(" "), F.replace(w, F.lit("\n"), F.lit("_"))))
+    lines = F.transform(words, lambda w, i: F.concat(F.when((i + 1) % 3 == 0, "+").when((i + 1) % 5 == 0, "-").otherwise(" "), F.replace(w, F.lit("\n"), F.lit("_"))))
     return files.select("*", lines.alias("lines"), text.file_skip_reason(F.col("path"), F.col("status"), F.col("changes"), F.col("text")).alias("skip_reason"))
 
 
@@ -97,7 +97,7 @@ def rank_histogram(spark, sf_dir):
 
 
 @query(_FILES + r""", r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, lpad(coalesce(CAST(CAST(line AS BIGINT) AS VARCHAR), ''), 5, ' ') || ' ' || marker || ' ' || code AS row FROM hl),
-t AS (SELECT doc_id, string_agg(row, chr(10) ORDER BY nth) AS body FROM r GROUP BY 1) SELECT cut.doc_id, md5(cut.path || coalesce(chr(10) || body, '')) AS rendering, CAST(ceil(length(cut.path || coalesce(chr(10) || body, '')) / 3) AS BIGINT) AS tokens FROM cut LEFT JOIN t USING (doc_id) WHERE skip_reason IS NULL""")
+t AS (SELECT doc_id, string_agg(row, chr(10) ORDER BY nth) FILTER (nth <= 80) || CASE WHEN count(*) > 80 THEN chr(10) || '      ... ' || (count(*) - 80) || ' more lines of this hunk not shown' ELSE '' END AS body FROM r GROUP BY 1) SELECT cut.doc_id, md5(cut.path || coalesce(chr(10) || body, '')) AS rendering, CAST(ceil(length(cut.path || coalesce(chr(10) || body, '')) / 3) AS BIGINT) AS tokens FROM cut LEFT JOIN t USING (doc_id) WHERE skip_reason IS NULL""")
 def rendered_hunks(spark, sf_dir):
     told = assembly.rendered(_hunks(spark, sf_dir), "doc_id")
     return told.select("doc_id", F.md5("rendering").alias("rendering"), text.token_estimate(F.col("rendering")).alias("tokens"))
@@ -227,10 +227,12 @@ def failures(spark, sf_dir):
 
 def _trees(spark, sf_dir):
     units = view(spark, sf_dir, "units")
+    """Every five documents are a repository of five files, made of all their words."""
     manifest = F.when(F.col("doc_id") % 5 == 0, "pyproject.toml").when(F.col("doc_id") % 5 == 1, "requirements.txt").when(F.col("doc_id") % 5 == 2, "tests/test_a.py").when(F.col("doc_id") % 5 == 3, "package.json").otherwise("web/a.test.ts")
-    words = F.filter(F.slice(F.split(F.regexp_replace("text", "[^A-Za-z \\n]", ""), "[ \\n]+"), 1, 6), lambda w: w != "")
-    content = F.when(manifest == "pyproject.toml", F.concat(F.lit('[project]\nname = "p"\ndependencies = ['), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", "), F.lit("]\n[tool.pytest]\n"))).when(manifest == "package.json", '{"scripts": {"test": "vitest run"}}').otherwise(F.array_join(words, "\n"))
-    return units.groupBy("repo", manifest.alias("path")).agg(F.min_by(content, "doc_id").alias("content"))
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z \\n]", ""), "[ \\n]+"), lambda w: w != "")
+    listed = F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", ")
+    content = F.when(manifest == "pyproject.toml", F.concat(F.lit('[project]\nname = "p"\ndependencies = ['), listed, F.lit("]\n[tool.pytest]\n"))).when(manifest == "package.json", '{"scripts": {"test": "vitest run"}}').otherwise(F.array_join(words, "\n"))
+    return units.select(F.concat(F.lit("t"), F.floor(F.col("doc_id") / 5)).alias("repo"), manifest.alias("path"), content.alias("content"))
 
 
 @query()
@@ -243,9 +245,9 @@ def frameworks(spark, sf_dir):
     return manifests.frameworks(_trees(spark, sf_dir))
 
 
-@query(ctes("units") + r""", r AS (SELECT doc_id AS report_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || 'VERDICT ' || doc_id || ': Keep, ' || substr(replace(text, chr(10), ' '), 1, 20) || chr(10) || 'VERDICT 9:' WHEN doc_id % 3 = 1 THEN '> VERDICT 1: kill' ELSE 'VERDICT ' || doc_id || ': maybe' END AS t FROM units)
+@query(ctes("units") + r""", r AS (SELECT doc_id AS report_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || 'VERDICT ' || doc_id || ': Keep, ' || regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') || chr(10) || 'VERDICT 9:' WHEN doc_id % 3 = 1 THEN '> VERDICT 1: kill' ELSE 'VERDICT ' || doc_id || ': maybe' END AS t FROM units)
 SELECT report_id, CASE WHEN report_id % 3 = 0 THEN 2 ELSE 1 END AS number, report_id AS draft_id, CASE WHEN report_id % 3 = 0 THEN 'keep' END AS verdict, report_id % 3 <> 0 AS refused FROM r WHERE report_id % 3 <> 1""")
 def verdict_lines(spark, sf_dir):
     kind = F.col("doc_id") % 3
-    said = F.when(kind == 0, F.concat(F.lit("intro\nVERDICT "), "doc_id", F.lit(": Keep, "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 20), F.lit("\nVERDICT 9:"))).when(kind == 1, "> VERDICT 1: kill").otherwise(F.concat(F.lit("VERDICT "), "doc_id", F.lit(": maybe")))
+    said = F.when(kind == 0, F.concat(F.lit("intro\nVERDICT "), "doc_id", F.lit(": Keep, "), F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), F.lit("\nVERDICT 9:"))).when(kind == 1, "> VERDICT 1: kill").otherwise(F.concat(F.lit("VERDICT "), "doc_id", F.lit(": maybe")))
     return ledgers.verdict_lines(view(spark, sf_dir, "units").select(F.col("doc_id").alias("report_id"), said.alias("text"))).select("report_id", "number", "draft_id", "verdict", "refused")

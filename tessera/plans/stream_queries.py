@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.views import SQL, ctes
+from tessera.session import shared_dir
 from tessera.streaming import deliveries
 
 QUERIES: dict = {}
@@ -23,16 +22,6 @@ def query(sql: str):
     return add
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors see; local only where the master is."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deliveries view over the events table, read as a stream."""
     path = f"{sf_dir}/events.parquet"
@@ -42,7 +31,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _whole(frame: DataFrame, mode: str) -> DataFrame:
     """What the stream says when its input is read: each micro-batch replaces (complete) or adds (append)."""
-    spark, root = frame.sparkSession, _shared(frame.sparkSession)
+    spark = frame.sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         part = "all" if mode == "complete" else batch_id

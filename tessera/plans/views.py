@@ -15,8 +15,9 @@ SELECT doc_id, source AS repo,
        text
 FROM documents"""
 
+# A hunk is the whole text before, in parts of q characters.
 _TURNS = """
-SELECT conv_id, turn, role, text, replace(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), text), chr(10), ' ') AS prev FROM conversations"""
+SELECT *, CAST(ceil(length(prev) / 4.0) AS INTEGER) AS q FROM (SELECT conv_id, turn, role, text, replace(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), text), chr(10), ' ') AS prev FROM conversations) AS said"""
 
 SQL["comments"] = f"""
 SELECT conv_id * 100 + turn AS id, 'r' || (conv_id % 10) AS repo,
@@ -25,9 +26,9 @@ SELECT conv_id * 100 + turn AS id, 'r' || (conv_id % 10) AS repo,
        CASE WHEN conv_id % 17 = 3 THEN 'Bot' ELSE 'User' END AS user_type,
        CASE WHEN turn % 11 <> 10 THEN 'src/m' || (conv_id % 13) || '.py' END AS path,
        CASE WHEN conv_id % 19 = 7 THEN '   '
-            WHEN turn % 5 = 4 THEN '@@ -0,0 +1,2 @@' || chr(10) || '+' || substr(prev, 1, 30) || chr(10) || '+' || substr(prev, 31, 30)
-            ELSE '@@ -' || (turn + 3) || ',3 +' || (turn + 3) || ',3 @@ def f' || (conv_id % 9) || chr(10) || ' ' || substr(prev, 1, 30) || chr(10) || '-' || substr(prev, 31, 30)
-                 || chr(10) || '+' || substr(prev, 61, 30) || chr(10) || ' ' || substr(prev, 91, 30) END AS diff_hunk,
+            WHEN turn % 5 = 4 THEN '@@ -0,0 +1,2 @@' || chr(10) || '+' || substr(prev, 1, 2 * q) || chr(10) || '+' || substr(prev, 2 * q + 1, 2 * q)
+            ELSE '@@ -' || (turn + 3) || ',3 +' || (turn + 3) || ',3 @@ def f' || (conv_id % 9) || chr(10) || ' ' || substr(prev, 1, q) || chr(10) || '-' || substr(prev, q + 1, q)
+                 || chr(10) || '+' || substr(prev, 2 * q + 1, q) || chr(10) || ' ' || substr(prev, 3 * q + 1, q) END AS diff_hunk,
        CASE WHEN conv_id % 6 = 1 AND turn = 1 THEN '  LGTM, thanks for this!' WHEN conv_id % 6 = 2 AND turn = 1 THEN '!!! ???' WHEN conv_id % 6 = 3 AND turn = 1 THEN 'Please rename this.'
             WHEN conv_id % 6 = 4 AND turn = 1 THEN 'Nice, but ' || text WHEN conv_id % 12 = 5 AND turn = 1 THEN text || chr(10) || '```suggestion' || chr(10) || 'x = 1' || chr(10) || '```' ELSE text END AS body,
        'https://api.example.org/pulls/' || CASE WHEN conv_id % 29 = 11 THEN 'x' ELSE '' END || conv_id AS pull_request_url,
