@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import BLANKS, materialized, row_hash, slices, utf8
+from tessera.llm.common import BLANKS, fresh, materialized, row_hash, slices, utf8
 
 _FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("positions", pa.list_(pa.int32()))])
 _FOUND_SQL = "h1 long, h2 long, doc long, rid long, positions array<int>"
@@ -171,11 +171,12 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[int, list[bytes]]:
     return len(lines), [line for line, k in zip(lines, keep.tolist()) if k]
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one more column, __keep, from keep_bitmaps(); null where all lines stay."""
-    keys = bitmaps.select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"), F.col("keep_bitmap").alias("__keep"))
-    on = (F.coalesce(docs[id_col], F.lit(-(2**63))).cast("long") == F.col("__doc")) & (row_hash(docs[text_col]) == F.col("__rid"))
-    return docs.join(keys, on, "left").drop("__doc", "__rid")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column from keep_bitmaps(), null where all lines stay, and that column's name."""
+    doc, rid, keep = fresh(docs, "doc"), fresh(docs, "rid"), fresh(docs, "keep_bitmap")
+    keys = bitmaps.select(F.col("doc").alias(doc), F.col("rid").alias(rid), F.col("keep_bitmap").alias(keep))
+    on = (F.coalesce(docs[id_col], F.lit(-(2**63))).cast("long") == F.col(doc)) & (row_hash(docs[text_col]) == F.col(rid))
+    return docs.join(keys, on, "left").drop(doc, rid), keep
 
 
 @F.pandas_udf(T.StringType())
@@ -185,14 +186,14 @@ def _kept_text(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
     """docs, every column as it was but the text without the lines that keep_bitmaps() drops."""
-    marked = with_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, **rule), id_col, text_col)
-    return marked.withColumn(text_col, _kept_text(F.col(text_col), F.col("__keep"))).select(*docs.columns)
+    marked, keep = with_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, **rule), id_col, text_col)
+    return marked.withColumn(text_col, _kept_text(F.col(text_col), F.col(keep))).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, **rule: int) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
     own = docs.select("doc_id", "text")
-    marked = with_bitmaps(own, keep_bitmaps(own, **rule))
+    marked, keep = with_bitmaps(own, keep_bitmaps(own, **rule))
     digest = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,4 +206,4 @@ def line_report(docs: DataFrame, **rule: int) -> DataFrame:
                 sha.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(before, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return marked.select("doc_id", utf8(F.col("text")).alias("line_bytes"), "__keep").mapInArrow(run, digest)
+    return marked.select("doc_id", utf8(F.col("text")).alias("line_bytes"), keep).mapInArrow(run, digest)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialized, row_hash, slices, utf8
+from tessera.llm.common import fresh, materialized, row_hash, slices, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -180,6 +180,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose verdict is kept, with all their columns."""
-    good = verdicts(docs, id_col, text_col, threshold).where("kept").select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid")).distinct()
-    on = docs[id_col].cast("long").eqNullSafe(F.col("__doc")) & (row_hash(docs[text_col]) == F.col("__rid"))
+    doc, rid = fresh(docs, "doc"), fresh(docs, "rid")
+    good = verdicts(docs, id_col, text_col, threshold).where("kept").select(F.col("doc").alias(doc), F.col("rid").alias(rid)).distinct()
+    on = docs[id_col].cast("long").eqNullSafe(F.col(doc)) & (row_hash(docs[text_col]) == F.col(rid))
     return docs.join(good, on, "left_semi")

@@ -49,3 +49,10 @@ def test_run_equals_the_stages_and_takes_an_empty_table(spark, docs, tmp_path):
     rows = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
     assert len({r.doc_id for r in rows}) > 80 and all(n <= 1024 for n in collections.Counter({s: sum(r.length for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows}}).values())
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_columns_of_any_name_do_not_clash(spark):
+    docs = spark.createDataFrame([(i, words(60, i) + ".", "d", "r", "k", "s", "b", "n") for i in range(12)], "doc_id long, text string, doc string, rid string, spans string, keep_bitmap string, __doc string, node string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {(r.doc, r.rid, r.spans, r.keep_bitmap, r.node) for r in out.collect()} == {("d", "r", "k", "s", "n")}
