@@ -310,7 +310,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, n_forests: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, n_forests: int = 1) -> DataFrame:
     """(doc, rid, n_shingles, component_id) of every row of docs.
 
     Links documents whose sets of `width`-word shingles (A-Z lower-cased; the whole sequence where there
