@@ -132,11 +132,24 @@ def _lists(nodes: pa.ListArray) -> Iterator[tuple[int, int]]:
     return zip(offsets[:-1], offsets[1:])
 
 
-def proposals(members: DataFrame, cut: float, chunk: int, n_forests: int) -> DataFrame:
-    """Distinct candidate links (a, b), a < b, inside the chunks of bands, from (band, node, n_shingles, sig)."""
-    sizes = materialized(members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1"))  # a join of its own can be dealt anew where a band is hot
-    part = F.pmod(F.xxhash64("node"), _parts(F.col("n"), F.col("shingles"), chunk)).alias("chunk")
-    dealt = materialized(members.join(sizes, "band").select("band", part, "node", "sig"))  # written, so that a hot band is grouped by chunk and not by band
+def shared_bands(classes: DataFrame, chunk: int) -> DataFrame:
+    """(band, parts, node, n_shingles, sig): the members of each band that several nodes share, and the chunks it is dealt into.
+
+    Most bands are held by one node, so keys and ids alone are grouped; signatures join what is left, by node.
+    """
+    keys = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    sizes = keys.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    sizes = materialized(sizes.select("band", _parts(F.col("n"), F.col("shingles"), chunk).alias("parts")))  # a join of its own can be dealt anew where a band is hot
+    held = keys.select("band", "node").join(sizes, "band")
+    return materialized(held.join(classes.select("node", "n_shingles", "sig"), "node").select("band", "parts", "node", "n_shingles", "sig"))
+
+
+def proposals(shared: DataFrame, cut: float, n_forests: int) -> DataFrame:
+    """Distinct candidate links (a, b), a < b, inside the chunks of bands, from (band, parts, node, sig).
+
+    `shared` is a written table, so that a hot band is grouped by chunk and not by band.
+    """
+    dealt = shared.select("band", F.pmod(F.xxhash64("node"), "parts").alias("chunk"), "node", "sig")
     grouped = dealt.groupBy("band", "chunk").agg(F.collect_list(F.struct("node", "sig")).alias("nodes"))  # about `chunk` nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,19 +344,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     )
     share = percent / 100
     cut = share - 4 * (share * (1 - share) / MINIMA) ** 0.5  # a link's estimate is less than this once in 30,000
-    banded = classes.select("node", "n_shingles", "sig", F.explode("bands").alias("band"))
+    shared = shared_bands(classes, chunk)
 
     def sets_of(nodes: DataFrame, all_at_once: bool) -> DataFrame:
         wanted = materialized(classes.select("node", "doc", "rid").join(nodes, "node"))  # its size is then known
         return materialized(full_sets(docs, wanted.hint("merge") if all_at_once else wanted, id_col, text_col, width))
 
-    links = materialized(proposals(banded, cut, chunk, n_forests))
+    links = materialized(proposals(shared, cut, n_forests))
     nodes = materialized(ends(links))
     sets = sets_of(nodes, True)  # grows with docs: one plan at every size
     sure = materialized(confirmed(links, sets, percent))
     labels = components(sure)
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where(_parts(F.col("n"), F.col("shingles"), chunk) > 1).select("band", F.lit(True).alias("crowded"))
-    known = banded.join(crowded, "band", "left").join(nodes.withColumn("linked", F.lit(True)), "node", "left").where("crowded or linked")  # in other bands, a node that no forest holds has no candidate
+    known = shared.join(nodes.withColumn("linked", F.lit(True)), "node", "left").where("parts > 1 or linked")  # in other bands, a node that no forest holds has no candidate
     labelled = known.join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("label", "node").alias("label"), "sig")
     open_nodes = materialized(unsettled(materialized(blocks(labelled, chunk)), links.join(sure, ["a", "b"], "left_anti"), cut))
     new = open_nodes.select("node").distinct().join(nodes, "node", "left_anti")
