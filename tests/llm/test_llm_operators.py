@@ -611,3 +611,12 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)]
     got = {r.node: r.label for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}}
+
+
+def test_of_nested_passages_the_outer_and_the_smallest_source_stay(spark):
+    r = random.Random(1)
+    rows = sorted({(d, 0, r.randrange(30), r.randrange(1, 20), r.randrange(6), 0) for d in range(40) for _ in range(25)})
+    inside = lambda x, y: y[0] == x[0] and y[2] <= x[2] and x[2] + x[3] <= y[2] + y[3] and y[4] <= x[4]
+    table = spark.createDataFrame(rows, "doc long, rid long, start long, n_words long, source long, source_start long")
+    got = sorted(map(tuple, substring_dedup.outermost(table).collect()))
+    assert got == [x for x in rows if not any(inside(x, y) for y in rows if y != x)]
