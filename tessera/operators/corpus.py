@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.places import numbered
+
 SHARD_ROWS, SHARD_BYTES = 20_000, 32 << 20
 
 
@@ -77,8 +79,8 @@ def shard_name(repo: Column, kind: Column, number: Column) -> Column:
 
 def shards_by_rows(units: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
     """units (repo, kind, unit_id) with shard: a new one every `rows` units in id order."""
-    place = F.row_number().over(Window.partitionBy("repo", "kind").orderBy("unit_id")) - 1
-    return units.withColumn("shard", shard_name(F.col("repo"), F.col("kind"), F.floor(place / rows).cast("int")))
+    placed = numbered(units, ["repo", "kind"], ["unit_id"])
+    return placed.withColumn("shard", shard_name(F.col("repo"), F.col("kind"), F.floor((F.col("place") - 1) / rows).cast("int"))).drop("place")
 
 
 def shards(units: DataFrame, rows: int = SHARD_ROWS, size: int = SHARD_BYTES) -> DataFrame:

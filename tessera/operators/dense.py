@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors a task holds at once; more queries take more passes over the documents.
+#: Bytes of the vectors of one block: what is broadcast at most, and what a task holds of either side.
 BLOCK_BYTES = 32 << 20
 
 
@@ -24,33 +24,50 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None)
     """(query_id, doc_id, score, rank) of the k nearest documents by dot product; ties to the smaller id.
 
     docs (doc_id, vector, and `same` where given), queries likewise. `same` names a key both must share: the filter
-    before ranking. Queries are read in passes of bounded size, so the broadcast never grows with them.
+    before ranking. Rows without a vector take no part. Queries that fit one block are broadcast to one pass over
+    the documents; more of them are dealt, like the documents, to blocks of bounded size that meet in tasks.
     """
+    extra = [same] if same else []
+    docs, queries = docs.where("vector is not null").select("doc_id", "vector", *extra), queries.where("vector is not null").select("query_id", "vector", *extra)
     n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    passes = max(1, -(-n * dim * 8 // BLOCK_BYTES))
-    out = None
-    for i in range(passes):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        found = _one_pass(docs, part, k, same)
-        out = found if out is None else out.unionByName(found)
+    found = _one_pass(docs, queries, k, same) if n * dim * 8 <= BLOCK_BYTES else _by_blocks(docs, queries, k, same, n, dim)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _found(docs: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
+
+
+def _matrix(vectors: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in vectors.chunks]) if isinstance(vectors, pa.ChunkedArray) else vectors.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1) if n else np.zeros((0, 1))
+
+
+def _best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, held: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best documents of each query, those held before included."""
+    s = np.round(q @ x.T, 12)
+    d = np.broadcast_to(ids, s.shape)
+    if held is not None:
+        d, s = np.hstack([held[0], d]), np.hstack([held[1], s])
+    order = np.lexsort((d, -s))[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(s, order, 1)
 
 
 def _one_pass(docs: DataFrame, queries: DataFrame, k: int, same: str | None) -> DataFrame:
-    rows = queries.select("query_id", "vector", *([same] if same else [])).toPandas()
+    rows = queries.toPandas()  # BLOCK_BYTES or little more
     groups = [None] if same is None else list(dict.fromkeys(rows[same]))
     blocks = {}
     for g in groups:
         own = rows if same is None else rows[rows[same] == g]
         blocks[g] = (own["query_id"].to_numpy(), np.array(own["vector"].tolist(), float).reshape(len(own), -1))
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)  # BLOCK_BYTES or little more
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}  # (group, first query) -> ids and scores of the best k so far
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+            x = _matrix(batch.column(1), len(ids))
             names = np.array(batch.column(2).to_pylist(), dtype=object) if same else None
             for g, (qids, q) in shared.value.items():
                 rows = slice(None) if names is None else np.flatnonzero(names == g)
@@ -58,19 +75,41 @@ def _one_pass(docs: DataFrame, queries: DataFrame, k: int, same: str | None) ->
                 if not len(own_ids):
                     continue
                 for a in range(0, len(qids), 256):
-                    s = np.round(q[a : a + 256] @ own.T, 12)
-                    d = np.broadcast_to(own_ids, s.shape)
-                    if (g, a) in kept:
-                        d, s = np.hstack([kept[g, a][0], d]), np.hstack([kept[g, a][1], s])
-                    order = np.lexsort((d, -s))[:, :k]
-                    kept[g, a] = np.take_along_axis(d, order, 1), np.take_along_axis(s, order, 1)
+                    kept[g, a] = _best(q[a : a + 256], own_ids, own, k, kept.get((g, a)))
         for (g, a), (d, s) in kept.items():
             q = np.repeat(shared.value[g][0][a : a + 256], d.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d.ravel()), pa.array(s.ravel())], names=["query_id", "doc_id", "score"])
 
-    types = dict(docs.dtypes)
-    cols = ["doc_id", "vector", *([same] if same else [])]
-    return docs.where("vector is not null").select(*cols).mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, doc_id {types['doc_id']}, score double")
+    return docs.mapInArrow(run, _found(docs, queries))
+
+
+def _by_blocks(docs: DataFrame, queries: DataFrame, k: int, same: str | None, n: int, dim: int) -> DataFrame:
+    """Blocks of queries meet blocks of documents, each pair of blocks in one group of a task."""
+    fit = max(1, BLOCK_BYTES // (8 * dim))  # vectors of a block
+    q_blocks, d_blocks = -(-n // fit), max(1, -(-docs.count() // fit))
+    key = ["qb", "db", *([same] if same else [])]
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("db", every(d_blocks))
+    held = docs.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+    schema = pa.schema([("query_id", _arrow(queries, "query_id")), ("doc_id", _arrow(docs, "doc_id")), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            qids, ids = left["query_id"].to_numpy(), right["doc_id"].to_numpy()
+            q, x = _matrix(left["vector"], len(qids)), _matrix(right["vector"], len(ids))
+            for a in range(0, len(qids), 256):
+                best = None
+                for b in range(0, len(ids), 4096):
+                    best = _best(q[a : a + 256], ids[b : b + 4096], x[b : b + 4096], k, best)
+                out.append(pa.table([np.repeat(qids[a : a + 256], best[0].shape[1]), best[0].ravel(), best[1].ravel()], names=schema.names).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(run, _found(docs, queries))
+
+
+def _arrow(rows: DataFrame, column: str) -> pa.DataType:
+    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[dict(rows.dtypes)[column]]
 
 
 def after_filter(ranked: DataFrame, docs: DataFrame, queries: DataFrame, same: str, budgets: list[int], k: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.places import numbered
+
 KS = (1, 5, 10, 20, 50)
 
 
@@ -77,23 +79,34 @@ def overflow(rows: DataFrame, window: int) -> DataFrame:
 def percentiles(samples: DataFrame, value: str, *group: str, skip_zero: bool = False) -> DataFrame:
     """(group.., p50, p95, most, n): exact median and nearest-rank p95 at round-half-even(0.95 (n - 1)).
 
-    Both come from ranks made by a window, so a large group is never gathered in one array.
+    Both come from places, so a large group is neither gathered in one array nor sorted in one task.
     """
     rows = samples.where(F.col(value).isNotNull() & (F.col(value) != 0)) if skip_zero else samples.where(F.col(value).isNotNull())
-    keyed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
-    p95 = F.max(F.when(F.col("__at") == F.bround(0.95 * (F.col("__n") - 1), 0).cast("long"), F.col(value)))
-    middle = F.col("__at").isin(F.floor((F.col("__n") - 1) / 2), F.ceil((F.col("__n") - 1) / 2))
-    return keyed.groupBy(*group).agg(F.avg(F.when(middle, F.col(value).cast("double"))).alias("p50"), p95.alias("p95"), F.max(value).alias("most"), F.count("*").alias("n"))
+    placed = numbered(rows.select(*group, value), list(group), [value], "__at").withColumn("__at", F.col("__at") - 1)
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max(value).alias("most"))  # one row a group
+    keyed = placed.join(sizes, [*group]) if group else placed.crossJoin(F.broadcast(sizes))
+    p95 = F.max(F.when(F.col("__at") == F.bround(0.95 * (F.col("n") - 1), 0).cast("long"), F.col(value)))
+    middle = F.col("__at").isin(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2))
+    return keyed.groupBy(*group).agg(F.avg(F.when(middle, F.col(value).cast("double"))).alias("p50"), p95.alias("p95"), F.max("most").alias("most"), F.max("n").alias("n"))
+
+
+def ideal_gains(qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, gains): each query's k largest gains, largest first."""
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "doc_id"))
+    best = qrels.withColumn("r", nth).where(F.col("r") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", "gain"))).alias("x"))  # k entries
+    return best.select("query_id", F.transform("x", lambda x: x["gain"]).alias("gains"))
 
 
-def ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
-    """One row: mean nDCG@k with linear gain, its 95% half-width, hit rate and n, over the queries with judgements."""
+def ndcg(found: DataFrame, ideal: DataFrame, k: int = 10) -> DataFrame:
+    """One row: mean nDCG@k with linear gain, its 95% half-width, hit rate and n, over the queries with judgements.
+
+    found: ranked documents that are judged (query_id, rank, gain); ideal: (query_id, gains) of the judged queries.
+    """
     discount = lambda rank: F.log2(rank + 1.0)
-    found = ranked.where(F.col("rank") <= k).join(qrels, ["query_id", "doc_id"])
-    gained = found.groupBy("query_id").agg(F.sum(F.col("gain") / discount(F.col("rank"))).alias("dcg"), F.count(F.when(F.col("gain") > 0, 1)).alias("hits"))
-    ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "doc_id"))
-    ideal = qrels.withColumn("r", ideal_rank).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(F.col("gain") / discount(F.col("r"))).alias("ideal"))
-    each = ideal.join(gained, "query_id", "left").select(F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("v"), (F.coalesce("hits", F.lit(0)) > 0).cast("int").alias("hit"))
+    gained = found.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(F.col("gain") / discount(F.col("rank"))).alias("dcg"), F.count(F.when(F.col("gain") > 0, 1)).alias("hits"))
+    best = F.aggregate(F.transform("gains", lambda gain, i: gain / discount(i + 1)), F.lit(0.0), lambda s, x: s + x)
+    judged = ideal.select("query_id", best.alias("ideal")).join(gained, "query_id", "left")
+    each = judged.select(F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("v"), (F.coalesce("hits", F.lit(0)) > 0).cast("int").alias("hit"))
     return each.agg(
         F.round(F.avg("v"), 9).alias("ndcg"), F.round(1.96 * F.coalesce(F.stddev_samp("v"), F.lit(0.0)) / F.sqrt(F.count("*")), 9).alias("half_width"), F.round(F.avg("hit"), 9).alias("hit_rate"), F.count("*").alias("n")
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
+from tessera.operators.places import block_digest, numbered
+from tessera.session import materialized
 
 MAX_PAIRS_PER_PR = 3
 
@@ -69,12 +71,14 @@ def repo_cap(rows: DataFrame) -> DataFrame:
 
 
 def capped_per_repo(rows: DataFrame) -> DataFrame:
-    """Keeps, in each repository, the pairs whose comment id hashes lowest, up to the cap."""
+    """Keeps, in each repository, the pairs whose comment id hashes lowest, up to the cap; rows that repeat an id are one."""
     standing = F.col("drop_reason").isNull()
-    place = F.row_number().over(Window.partitionBy("repo", standing).orderBy(F.sha2(F.col("id").cast("string"), 256), "id"))
+    own = materialized(rows)  # read by the cap, by the places and by their join
+    keys = own.where(standing).select("repo", "id", F.sha2(F.col("id").cast("string"), 256).alias("drawn")).distinct()
+    places = numbered(keys, ["repo"], ["drawn", "id"]).select(F.col("repo").alias("__repo"), F.col("id").alias("__id"), "place")  # ids alone are sorted
     return (
-        rows.withColumn("place", place)
-        .crossJoin(F.broadcast(repo_cap(rows)))  # one row
+        own.join(places, standing & F.col("repo").eqNullSafe(F.col("__repo")) & (F.col("id") == F.col("__id")), "left").drop("__repo", "__id")
+        .crossJoin(F.broadcast(repo_cap(own)))  # one row
         .withColumn("drop_reason", F.when(standing & (F.col("place") > F.col("cap")), "per_repo_cap").otherwise(F.col("drop_reason")))
         .drop("place", "cap")
     )
@@ -139,7 +143,7 @@ def frozen_digest(rows: DataFrame) -> DataFrame:
     """One row: pairs and the digest of their records in the frozen order."""
     kept = rows.where("drop_reason is null").withColumn("low", F.lower("repo"))
     line = ids.canonical_json(**{c: F.col(c) for c in ("repo", "id", "pull_request", "path", "diff_hunk", "body", "login")})
-    return ids.ordered_digest(kept, ["low", "id"], line)
+    return block_digest(kept, ["low", "id"], line)
 
 
 def pull_facts(needed: DataFrame, listed: DataFrame, looked_up: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import ids, text
+from tessera.functions import text
 from tessera.operators import bm25, dense, ledgers, metrics, pairs
+from tessera.operators.places import parts
 from tessera.plans.views import TOKENS, ctes, view
 
 QUERIES: dict = {}
@@ -83,7 +84,7 @@ def vector_faults(spark, sf_dir):
 @query("SELECT doc_id, source AS repo, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 AS part FROM documents")
 def corpus_parts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("repo"))
-    return ids.parts(docs, ["doc_id"], ["repo"], 4).withColumn("part", F.col("part").cast("bigint"))
+    return parts(docs, ["doc_id"], ["repo"], 4)
 
 
 @query(ctes("pulls") + " SELECT repo, number, CASE WHEN number % 3 = 0 THEN NOT merged ELSE merged END AS merged, author FROM pulls WHERE number % 2 = 0 AND number % 5 <> 0")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import bm25, dense, fusion, metrics
 from tessera.plans.views import TOKENS, ctes, view
+from tessera.session import materialized
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,13 +148,15 @@ def _by_kind(spark, sf_dir, k=100):
     return both.where(F.col("new") <= k).select("query_id", "doc_id", F.col("new").alias("rank"))
 
 
-def _rrf(spark, sf_dir):
-    return fusion.reciprocal_rank_fusion([_dense(spark, sf_dir, 100), _by_kind(spark, sf_dir)])
+def _lists(spark, sf_dir):
+    """Both lists, written once, and their fusion."""
+    both = [materialized(ranked.select("query_id", "doc_id", "rank")) for ranked in (_dense(spark, sf_dir, 100), _by_kind(spark, sf_dir))]
+    return both, fusion.reciprocal_rank_fusion(both)
 
 
 @query(_DENSE + " SELECT query_id, doc_id, rank FROM rrf WHERE rank <= 20")
 def rrf_fuse(spark, sf_dir):
-    return _rrf(spark, sf_dir).where("rank <= 20").select("query_id", "doc_id", "rank")
+    return _lists(spark, sf_dir)[1].where("rank <= 20").select("query_id", "doc_id", "rank")
 
 
 _ALL = "(SELECT 'dense' AS retriever, query_id, doc_id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM kind UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM rrf)"
@@ -162,7 +165,8 @@ _BY_CONFIG = _DENSE + f""", r AS (SELECT c.retriever, g.query_id, a.rank FROM go
 
 def _ranks(spark, sf_dir):
     """Gold ranks of three retrievers; the list by kind stands in for the word index."""
-    lists = {"dense": _dense(spark, sf_dir, 100), "bm25": _by_kind(spark, sf_dir), "rrf": _rrf(spark, sf_dir)}
+    (near, by_kind), fused = _lists(spark, sf_dir)
+    lists = {"dense": near, "bm25": by_kind, "rrf": fused}
     rows = None
     for name, ranked in lists.items():
         own = ranked.select(F.lit(name).alias("retriever"), "query_id", "doc_id", "rank")
@@ -218,8 +222,14 @@ SELECT round(avg(v), 9) AS ndcg, round(1.96 * stddev_samp(v) / sqrt(count(*)), 9
 def ndcg_at_10(spark, sf_dir):
     docs, queries = _vectors(spark, sf_dir)
     judged = docs.where("doc_id % 5 = 1").select("doc_id", "repo", (F.col("doc_id") % 4).alias("gain"))
-    rel = queries.select("query_id", "repo").join(judged, "repo").where("query_id <> doc_id").select("query_id", "doc_id", "gain")
-    return metrics.ndcg(_dense(spark, sf_dir, 10), rel)
+    asked = queries.select("query_id", "repo")
+    # the ideal comes from the 11 best of a label, less the query itself; only ranked rows meet their judgements
+    best = judged.withColumn("r", F.row_number().over(dense.Window.partitionBy("repo").orderBy(F.col("gain").desc(), "doc_id"))).where("r <= 11")
+    best = best.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("r", "doc_id", "gain"))).alias("best"))  # 11 entries
+    own = F.filter("best", lambda x: x["doc_id"] != F.col("query_id"))
+    ideal = asked.join(best, "repo").select("query_id", F.slice(F.transform(own, lambda x: x["gain"]), 1, 10).alias("gains")).where(F.size("gains") > 0)
+    found = _dense(spark, sf_dir, 10).join(asked, "query_id").join(judged, ["doc_id", "repo"]).select("query_id", "rank", "gain")
+    return metrics.ndcg(found, ideal)
 
 
 @query(ctes("units") + """, t AS (SELECT kind, len(regexp_extract_all(text, '[^ \\n\\t]+')) AS tokens FROM units)

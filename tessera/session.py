@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -28,3 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     new = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
     spark.sparkContext.setCheckpointDir(new)
     return new
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write df once as Parquet to the shared folder and read it back.
+
+    Cuts lineage, so that neither a later branch nor a lost executor computes it anew.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,7 +66,7 @@ def test_plateau(spark):
 def test_ndcg(spark):
     qrels = spark.createDataFrame([("q", "d1", 1)], "query_id string, doc_id string, gain int")
     found = spark.createDataFrame([("q", "d9", 1), ("q", "d1", 2)], "query_id string, doc_id string, rank int")
-    assert metrics.ndcg(found, qrels).first().ndcg == pytest.approx(1 / math.log2(3))
+    assert metrics.ndcg(found.join(qrels, ["query_id", "doc_id"]), metrics.ideal_gains(qrels)).first().ndcg == pytest.approx(1 / math.log2(3))
 
 
 def test_percentiles_round_half_even(spark):
