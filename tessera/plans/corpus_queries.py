@@ -132,7 +132,10 @@ def rerank_sample(spark, sf_dir):
     return ids.sample(_mined(spark, sf_dir).where("drop_reason is null").select("id", "repo"), "rerank", "id", 40)
 
 
-@query()
+@query(ctes("comments", "pulls") + _MINED_CTE + """, l AS (SELECT row_number() OVER (ORDER BY lower(repo), id) - 1 AS nth,
+  sha256(CAST(to_json({'body': body, 'diff_hunk': diff_hunk, 'id': id, 'login': login, 'path': path, 'pull_request': pull_request, 'repo': repo}) AS VARCHAR)) AS h FROM mined WHERE drop_reason IS NULL),
+b AS (SELECT nth // 4096 AS nth, sha256(string_agg(h, chr(10) ORDER BY nth)) AS h FROM l GROUP BY 1), c AS (SELECT nth // 4096 AS nth, sha256(string_agg(h, chr(10) ORDER BY nth)) AS h FROM b GROUP BY 1)
+SELECT sha256(coalesce(string_agg(h, chr(10) ORDER BY nth), '')) AS digest FROM c""")
 def frozen_pairs(spark, sf_dir):
     rows = _mined(spark, sf_dir)
     return pairs.frozen_digest(rows).select("digest")

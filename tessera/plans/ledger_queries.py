@@ -93,7 +93,11 @@ def shard_diff(spark, sf_dir):
     return corpus.shard_changes(*(corpus.shard_digests(corpus.shards_by_rows(v, 40)) for v in (v1, v2)))
 
 
-@query()
+@query(_INDEX.replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT repo, kind, strlen(text) AS bytes, row_number() OVER (PARTITION BY repo, kind ORDER BY unit_id) AS n FROM v2),
+r AS (SELECT repo, kind, n, 1 AS held, bytes AS filled, 0 AS number FROM o WHERE n = 1
+  UNION ALL SELECT o.repo, o.kind, o.n, CASE WHEN filled + bytes > 200000 OR held >= 100 THEN 1 ELSE held + 1 END, CASE WHEN filled + bytes > 200000 OR held >= 100 THEN bytes ELSE filled + bytes END,
+  CASE WHEN filled + bytes > 200000 OR held >= 100 THEN number + 1 ELSE number END FROM r JOIN o ON o.repo = r.repo AND o.kind = r.kind AND o.n = r.n + 1)
+SELECT kind || '/' || repo || '-' || lpad(CAST(number AS VARCHAR), 5, '0') || '.jsonl.gz' AS shard, count(*) AS rows FROM r GROUP BY 1""")
 def exact_shards(spark, sf_dir):
     _, v2 = _versions(spark, sf_dir)
     return corpus.shards(v2, rows=100, size=200_000).groupBy("shard").agg(F.count("*").alias("rows"))

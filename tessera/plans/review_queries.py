@@ -205,9 +205,12 @@ def chunked_files(spark, sf_dir):
     return chunking.file_units(units).select("unit_id", "repo", "kind", "path", "symbol", "start_line", "end_line", "char_count", "content_hash")
 
 
-@query()
+@query(ctes("comments") + """, h AS (SELECT *, diff_hunk LIKE '@@ -0,0%' AS fresh, string_split(diff_hunk, chr(10)) AS l FROM comments WHERE trim(diff_hunk) <> '')
+SELECT id, 0 AS place, path, CASE WHEN fresh THEN 0 ELSE turn + 3 END AS old_start, CASE WHEN fresh THEN 0 ELSE 3 END AS old_lines, CASE WHEN fresh THEN 1 ELSE turn + 3 END AS new_start, CASE WHEN fresh THEN 2 ELSE 3 END AS new_lines,
+ CASE WHEN NOT fresh THEN 'def f' || (conv_id % 9) END AS section, len(l) - 1 AS n_lines, array_to_string(l[2:], chr(10)) AS lines, diff_hunk AS text FROM h""")
 def diff_hunks(spark, sf_dir):
-    return diffs.with_hunks(view(spark, sf_dir, "comments").select("id", "path", "diff_hunk"), "diff_hunk", "path").select("id", "at", "path", "old_start", "old_lines", "new_start", "new_lines", "section", "lines", diffs.hunk_text().alias("text"))
+    found = diffs.with_hunks(view(spark, sf_dir, "comments").select("id", "path", "diff_hunk"), "diff_hunk", "path")
+    return found.select("id", F.col("at").alias("place"), "path", "old_start", "old_lines", "new_start", "new_lines", "section", F.size("lines").alias("n_lines"), F.array_join("lines", "\n").alias("lines"), diffs.hunk_text().alias("text"))
 
 
 @query(ctes("comments") + """ SELECT id, CASE WHEN diff_hunk LIKE '@@ -0%' THEN 2 ELSE turn + 5 END AS line FROM comments WHERE trim(diff_hunk) <> '' AND path IS NOT NULL""")

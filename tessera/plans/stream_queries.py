@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.plans.views import SQL, ctes
+from tessera.plans.views import SQL, ctes, view
 from tessera.session import shared_dir
 from tessera.streaming import deliveries
 
@@ -50,3 +51,28 @@ def stream_actionable_once(spark, sf_dir):
 @query(ctes("deliveries") + " SELECT repo, pr, arg_max(delivery_id, struct_pack(ts := ts, a := arrival)) AS delivery_id, count(*) AS n FROM deliveries WHERE repo IS NOT NULL AND pr IS NOT NULL GROUP BY 1, 2")
 def stream_latest_per_pull(spark, sf_dir):
     return _whole(deliveries.latest_per_pull(_stream(spark, sf_dir)), "complete")
+
+
+def _ledger(spark: SparkSession, waves: list[DataFrame], empty: DataFrame, step) -> DataFrame:
+    """The ledger after a stream that is stopped after each wave of rows and started again from its checkpoint."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in waves:
+        rows.write.mode("append").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(waves[0].schema).parquet(f"{root}/in")
+        deliveries.into_ledger(arriving, f"{root}/out", empty, step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(empty.schema).parquet(f"{root}/out").select(*empty.columns)
+
+
+@query(ctes("runs") + " SELECT batch AS claim_batch, repo, pr, coalesce(min(run_id) FILTER (run_id % 2 = 1), min(run_id)) AS run_id FROM runs GROUP BY 1, 2, 3")
+def stream_claims(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs").select("batch", "repo", "pr", "run_id")
+    empty = runs.limit(0).select(F.col("batch").alias("claim_batch"), "repo", "pr", "run_id")
+    return _ledger(spark, [runs.where("run_id % 2 = 1"), runs.where("run_id % 2 = 0")], empty, deliveries.claim_step)
+
+
+@query(ctes("offers") + """, f AS (SELECT *, row_number() OVER (PARTITION BY repo, pr, path, line ORDER BY nth) = 1 AS free FROM offers),
+s AS (SELECT *, CAST(sum(free::INT) OVER (PARTITION BY repo, pr ORDER BY nth) AS BIGINT) AS slot FROM f) SELECT repo, pr, path, line, slot FROM s WHERE free AND slot <= 3""")
+def stream_slots(spark, sf_dir):
+    offers = view(spark, sf_dir, "offers").select("repo", "pr", "path", "line", "nth")
+    empty = offers.limit(0).select("repo", "pr", "path", "line", F.lit(0).cast("long").alias("slot"))
+    return _ledger(spark, [offers.where("nth <= 2"), offers.where("nth > 2")], empty, deliveries.slot_step)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
-from tessera.operators import corpus
+from tessera.operators import corpus, dense
+from tessera.operators.places import block_digest
+from tessera.session import materialized
 from tessera.sources import schemas
 
 
@@ -30,8 +32,8 @@ def write_corpus(units: DataFrame, root: str, old: DataFrame | None = None) -> D
     """
     line = ids.canonical_json(**{c: F.col(c) for c in units.columns})
     sized = units.withColumn("bytes", F.octet_length(line) + 1)
-    placed = units.join(corpus.shards(sized).select("unit_id", "shard"), "unit_id")
-    manifest = corpus.shard_digests(placed)
+    placed = units.join(materialized(corpus.shards(sized).select("unit_id", "shard")), "unit_id")
+    manifest = materialized(corpus.shard_digests(placed))  # what is returned is what the files were written by
     empty = manifest.limit(0)
     changes = corpus.shard_changes(old if old is not None else empty, manifest)
     written = placed.join(changes.where("change = 'written'").select("shard"), "shard", "left_semi")
@@ -94,19 +96,38 @@ def read_benchmark(spark: SparkSession, root: str, partition: str = "test") -> t
     return docs, queries, qrels
 
 
-def write_vectors(vectors: DataFrame, root: str) -> None:
-    """Append vectors (id, vector, tokens, model, fingerprint), one folder for each model and fingerprint."""
-    vectors.write.mode("append").partitionBy("model", "fingerprint").parquet(root)
+def write_vectors(vectors: DataFrame, root: str, held: DataFrame | None = None) -> None:
+    """Append vectors (id, vector, tokens, model, fingerprint), one folder for each model and fingerprint; not those held already."""
+    new = vectors if held is None else vectors.join(held.select("id", "model", "fingerprint"), ["id", "model", "fingerprint"], "left_anti")
+    new.write.mode("append").partitionBy("model", "fingerprint").parquet(root)
 
 
-def read_vectors(spark: SparkSession, root: str, model: str, fingerprint: str | None = None) -> DataFrame:
+def read_vectors(spark: SparkSession, root: str, model: str, fingerprint: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Stored vectors of a model; with `wanted` (id, fingerprint) a store with missing, stale or broken ones is an error."""
     rows = spark.read.schema(schemas.VECTOR).parquet(root).where(F.col("model") == model)
-    return rows if fingerprint is None else rows.where(F.col("fingerprint") == fingerprint)
+    rows = rows if fingerprint is None else rows.where(F.col("fingerprint") == fingerprint)
+    found = dense.faults(wanted, rows).limit(5).collect() if wanted is not None else []
+    if found:
+        raise ValueError(f"vectors of {model} are not those wanted: {[(r.id, r.fault) for r in found]}")
+    return rows
 
 
-def freeze(rows: DataFrame, path: str) -> None:
-    """Write a query set once; a second run fails rather than change it."""
-    rows.write.mode("errorifexists").parquet(path)
+def _frozen_digest(rows: DataFrame, order: list[str]) -> DataFrame:
+    return block_digest(rows, order, ids.canonical_json(**{c: F.col(c) for c in rows.columns}))
+
+
+def freeze(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Write a query set once, with its digest in the order of unique keys; a second run writes nothing."""
+    rows.write.mode("ignore").parquet(f"{path}/rows")
+    _frozen_digest(rows.sparkSession.read.parquet(f"{path}/rows"), order).write.mode("ignore").parquet(f"{path}/digest")
+
+
+def read_frozen(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
+    """The frozen set; one that was changed since it was written is an error."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if _frozen_digest(rows, order).first() != spark.read.parquet(f"{path}/digest").first():
+        raise ValueError(f"{path} is not the set that was frozen")
+    return rows
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

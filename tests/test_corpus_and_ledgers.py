@@ -130,9 +130,20 @@ def test_benchmark_vectors_and_freeze(spark, tmp_path):
     assert docs.first().text == "T x" and [r.query_id for r in queries.collect()] == ["q1"] and qrels.count() == 1
     corpus_files.write_vectors(spark.createDataFrame([("a", [1.0], 3, "m", "f")], "id string, vector array<float>, tokens int, model string, fingerprint string"), f"{root}/vectors")
     assert corpus_files.read_vectors(spark, f"{root}/vectors", "m", "f").count() == 1 and corpus_files.read_vectors(spark, f"{root}/vectors", "m", "g").count() == 0
-    corpus_files.freeze(queries, f"{root}/frozen")
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
-        corpus_files.freeze(queries, f"{root}/frozen")
+    with pytest.raises(ValueError, match="missing"):
+        corpus_files.read_vectors(spark, f"{root}/vectors", "m", "f", wanted=spark.createDataFrame([("a", "f"), ("b", "f")], "id string, fingerprint string"))
+    corpus_files.write_vectors(corpus_files.read_vectors(spark, f"{root}/vectors", "m"), f"{root}/vectors", held=corpus_files.read_vectors(spark, f"{root}/vectors", "m"))
+    assert corpus_files.read_vectors(spark, f"{root}/vectors", "m").count() == 1
+
+
+def test_freeze_once_and_refuse_changes(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/frozen", spark.createDataFrame([(2, "b"), (1, "a")], "id int, said string")
+    corpus_files.freeze(rows, path, ["id"])
+    corpus_files.freeze(rows.limit(1), path, ["id"])
+    assert sorted(tuple(r) for r in corpus_files.read_frozen(spark, path, ["id"]).collect()) == [(1, "a"), (2, "b")]
+    rows.limit(1).write.mode("overwrite").parquet(f"{path}/rows")
+    with pytest.raises(ValueError, match="frozen"):
+        corpus_files.read_frozen(spark, path, ["id"])
 
 
 OFFER = "repo string, pr int, path string, line int, nth int"
