@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import materialized  # noqa: F401
 
 #: Bytes that separate words: [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -19,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet to the shared folder and read it back.
-
-    Cuts lineage, so that neither a later branch nor a lost executor computes it anew.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few of them are Python objects at a time."""
     for batch in batches:
