@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, quality, sharding, substring_dedup, url_filter
+from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, quality, runs, sharding, substring_dedup, url_filter
 from tessera.llm.common import table
 
 
@@ -115,6 +115,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.periodic_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_repeated_passages": op2_repeated_passages,
@@ -126,5 +130,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL = {"op5_url_filter": OP5_SQL}
