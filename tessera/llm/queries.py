@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, quality, runs, sharding, substring_dedup, url_filter
+from tessera.llm import bpe, html_text, line_dedup, near_dup, neighbours, packing, phrases, quality, runs, sharding, substring_dedup, url_filter
 from tessera.llm.common import table
 
 
@@ -119,6 +119,38 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(runs.periodic_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY 1),
+places AS (SELECT lang, w, v.m, unnest(range(1, len(w) - v.m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS v(m) WHERE len(w) >= v.m),
+grams AS (SELECT lang, m, w[i:i + m - 1] AS w, count(*) AS f FROM places GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+inner_of AS (
+  SELECT lang, w[1:m - 1] AS w, f FROM grams WHERE m > 2
+  UNION ALL SELECT lang, w[2:m] AS w, f FROM grams WHERE m > 2),
+above AS (SELECT lang, w, max(f) AS f FROM inner_of GROUP BY 1, 2),
+kept AS (
+  SELECT g.lang, g.m, g.w, g.f FROM grams g LEFT JOIN above u ON u.lang = g.lang AND u.w = g.w
+  WHERE g.m >= 2 AND (u.f IS NULL OR 100 * u.f < 80 * g.f)),
+parts AS (SELECT lang, w, f, unnest(range(1, m)) AS k, m FROM kept),
+cuts AS (
+  SELECT p.lang, p.w, p.f AS a, p.k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * p.f // (x.f + y.f) AS BIGINT) AS score
+  FROM parts p JOIN grams x ON x.lang = p.lang AND x.w = p.w[1:p.k] JOIN grams y ON y.lang = p.lang AND y.w = p.w[p.k + 1:p.m]),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS nth FROM cuts),
+ranked AS (
+  SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank
+  FROM lowest WHERE nth = 1)
+SELECT x.lang, x.rank, x.phrase, x.a, x.l, x.r, t.n, x.score FROM ranked x JOIN totals t ON t.lang = x.lang WHERE x.rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_repeated_passages": op2_repeated_passages,
@@ -131,5 +163,6 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
-ORACLE_SQL = {"op5_url_filter": OP5_SQL}
+ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op13_phrase_collocations": OP13_SQL}
