@@ -5,8 +5,9 @@ being boilerplate, from its length, link density, element, the names of its cont
 the page's prose that those hold; these become terminal capacities. Blocks that follow one another and
 blocks that share a DOM container are tied by smoothness edges; a maximum flow finds the cheapest cut, and
 the blocks on the source's side are the text. No name is a veto: a container that holds nearly all of a
-page's prose is the article, whatever it is called. Pages are independent: one pass, no shuffle. Markup is
-scanned in one go, in time that grows with its length, however broken it is.
+page's prose is the article, whatever it is called; only what a browser would not show (`hidden`,
+`aria-hidden="true"`, `display:none`) is. Pages are independent: one pass, no shuffle. Markup is scanned in one
+go; each end tag takes away what it closes, so time grows with the length, however broken the page is.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ RAW = frozenset("script style title textarea noscript iframe template".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 SCOPE = frozenset("table ul ol dl body html article section div main".split())
-#: Elements, roles and names of what is beside the text, by how sure they are: 1 may be, 2 is, 3 is always.
-MAYBE, BESIDE, ALWAYS = 1, 2, 3
+#: Elements, roles and names of what is beside the text, by how sure they are: 1 may be, 2 is, 3 nearly always is; 4 is not shown.
+MAYBE, BESIDE, ALWAYS, UNSEEN = 1, 2, 3, 4
 SIDE_TAGS = {"aside": MAYBE, "form": MAYBE, "fieldset": MAYBE, "nav": ALWAYS, "footer": BESIDE, "menu": ALWAYS, "dialog": BESIDE, "search": ALWAYS}
 SIDE_ROLES = {"complementary": MAYBE, "form": MAYBE, "banner": MAYBE, "contentinfo": BESIDE, "dialog": BESIDE, "alertdialog": ALWAYS, "alert": BESIDE, "navigation": ALWAYS, "search": ALWAYS, "menu": ALWAYS, "menubar": ALWAYS, "toolbar": ALWAYS}
 SIDE_WORDS = frozenset(
@@ -44,7 +45,8 @@ TEXT_WORDS = frozenset("article content post entry body story main text prose".s
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+_ANSWER = re.compile(r"comment|reply|replies")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$")
 
@@ -68,39 +70,46 @@ class Page:
 
 
 class _Open:
-    __slots__ = ("tag", "article", "named", "box", "unread", "block")
+    """An open element that is not inline; of inline ones inside it only their number by tag is kept."""
 
-    def __init__(self, tag, article, named, box, unread, block):
+    __slots__ = ("tag", "article", "named", "box", "unread", "inline", "around", "inside")
+
+    def __init__(self, tag, article, named, box, unread, around):
         self.tag, self.article, self.named, self.box, self.unread = tag, article, named, box, unread
-        self.block = block or self  # the nearest element that is not inline
+        self.inline: dict[str, int] = {}
+        #: Open elements by tag in the scope around this one, and in the one inside it.
+        self.around = around
+        self.inside: dict[str, int] = {} if tag in SCOPE or around is None else around
 
 
-def _names(attrs: str) -> tuple[int, bool]:
-    """(how sure the names say beside the text, whether they name the text)."""
-    mark, named = 0, False
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by name, unquoted; the first of a name counts."""
+    found: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id"):
-            found, own = 0, False
-            for word in value.split():
-                parts = [x for x in _SPLIT.split(word) if x]
-                if not parts or {"with", "has", "no", "without"} & set(parts):
-                    continue
-                if word in ALWAYS_WORDS or parts[-1] in ALWAYS_WORDS or ALWAYS_WORDS & set(parts) and SIDE_WORDS & set(parts):
-                    found = ALWAYS
-                elif word in SIDE_WORDS or parts[-1] in SIDE_WORDS:
-                    found = max(found, BESIDE)
-                elif not (SIDE_WORDS | ALWAYS_WORDS).isdisjoint(parts):
-                    found = max(found, MAYBE)
-                own = own or not TEXT_WORDS.isdisjoint(parts)
-            mark = max(mark, min(found, MAYBE) if own and found == BESIDE else found)
-            named = named or own
-        elif name == "role":
-            mark = max(mark, SIDE_ROLES.get(value, 0))
-        elif name == "style":
-            mark = ALWAYS if "display:none" in value.replace(" ", "") else mark
-        elif name == "hidden" or value == "true":
-            mark = ALWAYS
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+    return found
+
+
+def _names(own: dict[str, str]) -> tuple[int, bool]:
+    """(how sure the names say beside the text, whether they name the text)."""
+    mark, named = SIDE_ROLES.get(own.get("role", ""), 0), False
+    for value in (own.get("class", ""), own.get("id", "")):
+        found, text = 0, False
+        for word in value.split():
+            parts = [x for x in _SPLIT.split(word) if x]
+            if not parts or {"with", "has", "no", "without"} & set(parts):
+                continue
+            if word in ALWAYS_WORDS or parts[-1] in ALWAYS_WORDS or ALWAYS_WORDS & set(parts) and SIDE_WORDS & set(parts):
+                found = ALWAYS
+            elif word in SIDE_WORDS or parts[-1] in SIDE_WORDS:
+                found = max(found, BESIDE)
+            elif not (SIDE_WORDS | ALWAYS_WORDS).isdisjoint(parts):
+                found = max(found, MAYBE)
+            text = text or not TEXT_WORDS.isdisjoint(parts)
+        mark = max(mark, min(found, MAYBE) if text and found == BESIDE else found)
+        named = named or text
+    if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", ""):
+        mark = UNSEEN
     return mark, named
 
 
@@ -119,15 +128,16 @@ def parse(source: str) -> Page:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = sum(len(t.strip()) for t, link in parts if link)
-                own = stack[-1].block
+                own = stack[-1]
                 page.blocks.append(Block(text, len(text), min(linked, len(text)), own.tag, own.article, own.named, own.box))
             parts = []
 
     def close(at: int) -> None:
         nonlocal links
         for o in stack[at:]:
-            links -= o.tag == "a"
+            links -= o.inline.get("a", 0)
             opened[o.tag] -= 1
+            o.around[o.tag] -= 1
         del stack[at:]
 
     at, n = 0, len(source)
@@ -163,24 +173,15 @@ def parse(source: str) -> Page:
             continue
         tag, attrs, at = m[2].lower(), source[m.end() : end], end + 1
         if m[1]:
-            if not opened.get(tag):
-                if tag not in INLINE:
-                    flush()
-                continue
             if tag in INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        links -= tag == "a"
-                        opened[tag] -= 1
-                        del stack[i]
-                        break
-                    if stack[i].tag not in INLINE:
-                        break
+                if (inside := stack[-1].inline).get(tag):
+                    links -= tag == "a"
+                    inside[tag] -= 1
                 continue
-            spot = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), None)
             flush()
-            if spot is not None:
-                close(spot)
+            if not opened.get(tag):
+                continue
+            close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag == "br":
             parts.append((" ", links > 0))
@@ -194,41 +195,38 @@ def parse(source: str) -> Page:
             flush()
             if tag in CLOSES_P or tag in SAME:
                 ends = {"p"} if tag in CLOSES_P else set(SAME[tag].split())
-                for i in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in ends) else ():
-                    if stack[i].tag in ends:
-                        close(i)
-                        break
-                    if stack[i].tag in SCOPE:
-                        break
+                if any(stack[-1].inside.get(x) for x in ends):
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends))
         up = stack[-1]
         if inline:
             if tag == "a":
                 links += 1
-            stack.append(_Open(tag, up.article, up.named, up.box, up.unread, up.block))
-            opened[tag] = opened.get(tag, 0) + 1
+            up.inline[tag] = up.inline.get(tag, 0) + 1
             continue
         if tag in RAW:
             closing = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             end = source.find(">", closing.end()) if closing else -1
             at = n if end < 0 else end + 1
             continue
-        mark, named = _names(attrs) if attrs else (0, False)
+        own = _attributes(attrs) if attrs else {}
+        mark, named = _names(own) if own else (0, False)
         if tag in ("html", "body"):
             mark, named = 0, False
-        article = up.article or tag in ("article", "main") or 'role="main"' in attrs
+        article = up.article or tag in ("article", "main") or own.get("role") == "main"
         if tag in ("article", "main"):
-            mark = mark if mark == ALWAYS or re.search(r"comment|reply|replies", attrs, re.I) else 0
+            mark = mark if mark >= ALWAYS or _ANSWER.search(f"{own.get('class', '')} {own.get('id', '')}") else 0
         mark = max(mark, SIDE_TAGS.get(tag, 0), BESIDE if tag == "header" and not up.article else 0)
         page.parents.append(up.box)
         page.marks.append(mark)
-        stack.append(_Open(tag, article, up.named or named, len(page.parents) - 1, up.unread or tag in UNREAD, None))
+        stack.append(_Open(tag, article, up.named or named, len(page.parents) - 1, up.unread or tag in UNREAD, up.inside))
         opened[tag] = opened.get(tag, 0) + 1
+        up.inside[tag] = up.inside.get(tag, 0) + 1
     flush()
     return page
 
 
 #: What a container's mark costs its blocks at most, and how fast the cost falls as it holds more of the page's prose.
-MOST, FALL = 12.0, {0: 0.0, MAYBE: 16.0, BESIDE: 30.0}
+MOST, FALL = 12.0, {0: 0.0, MAYBE: 16.0, BESIDE: 30.0, ALWAYS: 60.0}
 
 
 def penalties(page: Page) -> list[float]:
@@ -242,7 +240,7 @@ def penalties(page: Page) -> list[float]:
     out = [0.0] * len(held)
     for box in range(1, len(held)):
         beside, mark = 1 - held[box] / held[0] if held[0] else 1.0, page.marks[box]
-        out[box] = max(out[page.parents[box]], MOST if mark == ALWAYS else min(MOST, FALL[mark] * beside))
+        out[box] = max(out[page.parents[box]], MOST if mark == UNSEEN else min(MOST, FALL[mark] * beside))
     return out
 
 

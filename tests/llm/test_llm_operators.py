@@ -55,6 +55,47 @@ def test_main_text_of_broken_pages(page):
 PROSE = "".join(f"<p>{words(40, 60 + i).capitalize()}.</p>" for i in range(4))
 
 
+ARTICLE = "\n".join(f"{words(40, 60 + i).capitalize()}." for i in range(4))
+
+
+@pytest.mark.parametrize("attrs", ['title="Hidden gems of Rome"', 'data-state="hidden"', 'data-overflow="hidden"', 'aria-label="sidebar hidden"', 'data-role="navigation"', "data-state=hidden", 'title="role=navigation"', 'aria-hidden="false"', 'data-x="true"', 'data-class="modal" style="overflow:hidden"', "alt='style=\"display:none\"'"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_words_inside_attribute_values_say_nothing(tag, attrs):
+    page = f'<body><nav><a href=/>Home</a></nav><{tag} {attrs}>{PROSE}</{tag}><div class="sidebar"><p>{words(20, 5)}.</p></div></body>'
+    assert html_text.main_text(page) == ARTICLE
+
+
+@pytest.mark.parametrize("attrs", ['class="page-overlay"', 'class="newsletter"', 'class="consent"', 'class="copyright"', 'id="modal"', 'role="navigation"', 'class="popup subscribe"'])
+def test_no_name_is_a_veto(attrs):
+    page = f'<body><nav><a href=/>Home</a></nav><div {attrs}>{PROSE}</div><footer>All rights are reserved.</footer></body>'
+    assert html_text.main_text(page) == ARTICLE
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'hidden=""', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"', "HIDDEN class=article"])
+def test_what_is_not_shown_is_left_out(attrs):
+    assert html_text.main_text(f"<body><div {attrs}>{PROSE}</div></body>") == ""
+    assert html_text.main_text(f"<body><div {attrs}><p>{words(30, 4)}.</p></div>{PROSE}</body>") == ARTICLE
+
+
+@pytest.mark.parametrize("name", ["cookie-consent", "newsletter", "modal popup"])
+def test_a_long_notice_beside_an_article_is_left_out(name):
+    page = f'<body>{PROSE}<div class="{name}"><p>{words(60, 4)}.</p><p>{words(60, 5)}.</p></div></body>'
+    assert html_text.main_text(page) == ARTICLE
+
+
+@pytest.mark.parametrize("page", ["<i>" * 85_000 + "<b>" * 85_000 + "</i>" * 85_000, "<p><body>" + "<x>" * 100_000 + "<h1></h1>" * 70_000, "<li><ul>" + "<x>" * 100_000 + "<li></li>" * 70_000, "<a><i>" * 150_000 + "</a>" * 25_000])
+def test_a_megabyte_of_elements_left_open_is_read_at_once(page):
+    html_text.main_text(page[: len(page) // 8])
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 3  # about half a second on one free core
+
+
+def test_inline_elements_close_in_any_order():
+    page = f"<div>{PROSE}<p>{words(8, 3)} <a href=x><i>{words(9, 4)}</a> {words(30, 5)}</i>.</p></div>"
+    assert html_text.main_text(page).endswith(f"{words(8, 3)} {words(9, 4)} {words(30, 5)}.")
+
+
 @pytest.mark.parametrize("name", ["entry ad-free", "post widget", "story related", "main-story banner-top", "col social-policy", "news alert-news", "review-comment"])
 def test_names_alone_do_not_empty_an_article(name):
     page = f'<body><nav><a href=/>Home</a> <a href=/b>News</a></nav><div class="{name}"><h1>A title of it</h1>{PROSE}</div><footer>All rights are reserved by us.</footer></body>'
