@@ -3,13 +3,16 @@
 For each of a few hash functions, the minimum of every subsequence of min_words or more is described by
 compact windows (l, c, r): c holds the least hash of all subsequences that start in [l, c] and end in
 [c, r]. They are the nodes of the Cartesian tree of the hashes that span enough words, about 2n / t of
-n positions. Windows that share a minimum are joined on it with the earliest document that holds it.
+n positions. A single minimum may be part of a phrase that many documents hold without the passage, so the
+windows of two functions that share a subsequence of min_words are met inside the document, and what they
+have in common, with both minima, is a window of its own. These are joined on both minima with the earliest
+document that holds them; a document that has the phrase only seldom has the other minimum beside it.
 
 The windows of a document and an earlier one are then joined as intervals: hits on neighbouring diagonals
-(a word put in or taken out moves all that follows) whose intervals overlap make one stretch, and a stretch
-that enough different functions see is a candidate. Candidates are verified on the words' shingles:
-stretches that agree along a diagonal are chained over edits while the two sides' Jaccard similarity
-allows. Texts are shuffled once; a minimum that very many documents share meets one row, never its own group.
+(a word put in or taken out moves all that follows) whose intervals overlap make one stretch, which is a
+candidate. Candidates are verified on the words' shingles: stretches that agree along a diagonal are chained
+over edits while the two sides' Jaccard similarity allows. Texts are shuffled once; minima that very many
+documents share meet one row, never their own group.
 """
 
 from __future__ import annotations
@@ -40,22 +43,31 @@ def window_minima(h: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(behind[:, : n - t + 1], ahead[:, t - 1 : n])
 
 
+def _ranked(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes made distinct, leftmost first among equals, and the place of the least of each run of t, row by row."""
+    n = h.shape[1]
+    bits = np.uint64(max(1, int(n).bit_length()))
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    ranked = (h & ~place) | np.arange(n, dtype=np.uint64)
+    return ranked, (window_minima(ranked, t) & place).astype(np.int64)
+
+
 def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, l, c, r) of all windows that span t positions or more in each row of hashes; among equal hashes the leftmost is the least.
 
     Only the minima of runs of t positions have such windows, and the nearest smaller values of such a
     minimum are minima of that kind too, so the trees are built over them alone.
     """
-    rows, n = h.shape
-    if n < t:
+    if h.shape[1] < t:
         return (np.zeros(0, np.int64),) * 4
-    bits = np.uint64(max(1, int(n).bit_length()))
-    place = (np.uint64(1) << bits) - np.uint64(1)
-    ranked = (h & ~place) | np.arange(n, dtype=np.uint64)  # distinct, leftmost first among equals
-    low = window_minima(ranked, t)
-    new = np.ones(low.shape, bool)
-    new[:, 1:] = low[:, 1:] != low[:, :-1]
-    spot = np.unique((low & place).astype(np.int64)[new] + n * np.nonzero(new)[0])
+    return _windows(*_ranked(h, t))
+
+
+def _windows(ranked: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows, n = ranked.shape
+    new = np.ones(least.shape, bool)
+    new[:, 1:] = least[:, 1:] != least[:, :-1]
+    spot = np.unique(least[new] + n * np.nonzero(new)[0])
     row, c = spot // n, spot % n
     values, at, left, right = ranked[row, c].tolist(), c.tolist(), [0] * len(c), [n - 1] * len(c)
     edges = np.searchsorted(row, np.arange(rows + 1)).tolist()
@@ -70,6 +82,26 @@ def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
     return row, np.array(left, np.int64), c, np.array(right, np.int64)
 
 
+def common_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, l, c, d, r): what the windows of rows 2 i and 2 i + 1 have in common, for each run of t positions that both hold.
+
+    All subsequences from [l, min(c, d)] to [max(c, d), r] have their least hash of one row at c and of the other at d.
+    """
+    rows, n = h.shape
+    if n < t:
+        return (np.zeros(0, np.int64),) * 5
+    ranked, least = _ranked(h, t)
+    row, left, c, right = _windows(ranked, least)
+    span = np.zeros((2, rows, n), np.int64)
+    span[0, row, c], span[1, row, c] = left, right
+    one, other = least[::2], least[1::2]
+    new = np.ones(one.shape, bool)
+    new[:, 1:] = (one[:, 1:] != one[:, :-1]) | (other[:, 1:] != other[:, :-1])
+    pair = np.nonzero(new)[0]
+    c, d = one[new], other[new]
+    return pair, np.maximum(span[0, 2 * pair, c], span[0, 2 * pair + 1, d]), c, d, np.minimum(span[1, 2 * pair, c], span[1, 2 * pair + 1, d])
+
+
 _WINDOWS_SQL = "key long, doc long, fn int, c int, l int, r int"
 
 
@@ -82,8 +114,9 @@ def windows(docs: DataFrame, id_col: str, text_col: str, t: int, functions: int)
                 if len(s) < t:
                     continue
                 h = mix(s * _TURNS[:functions, None])
-                f, l, c, r = compact_windows(h, t)
-                for col, x in zip(cols, (mix(h[f, c] + f.astype(np.uint64)).view(np.int64), np.full(len(c), doc), 1 << f, c, l, r)):
+                f, l, c, d, r = common_windows(h, t)
+                key = mix(mix(h[2 * f, c] + f.astype(np.uint64)) + h[2 * f + 1, d])
+                for col, x in zip(cols, (key.view(np.int64), np.full(len(c), doc), 1 << f, c, l, r)):
                     col.append(x)
             types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col).astype(kind.to_pandas_dtype()) if col else [], kind) for col, kind in zip(cols, types)], names=["key", "doc", "fn", "c", "l", "r"])
@@ -203,7 +236,7 @@ def similar_stretches(a: np.ndarray, b: np.ndarray, at: int, t: int, percent: in
 _PART_SQL = "doc long, source long, least int, most int, lo int, side int, from int, rid long, shingles binary"
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, percent: int = 80, functions: int = 4, agree: int = 2, slack: int = 12, deal: int = 32) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, percent: int = 80, functions: int = 6, agree: int = 1, slack: int = 12, deal: int = 32) -> DataFrame:
     """(doc, rid, start, n_words, source, source_start): passages of an earlier document that doc repeats.
 
     A passage has min_words words or more, and its five-word shingles and those of the earlier passage
@@ -215,7 +248,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Where a passage lies inside another of the same text with the same or a smaller source, the outer one
     is listed, so the smallest source found for a passage always is. An empty table gives no rows.
 
-    slack: words by which neighbouring diagonals of one stretch may differ. deal: requests to one row of a text.
+    functions: an even number; windows of two make one signature, and `agree` of the signatures must see a
+    stretch. slack: words by which neighbouring diagonals of one stretch may differ. deal: requests to one row of a text.
     """
     t = min_words - WIDTH + 1
     found = materialized(windows(docs, id_col, text_col, t, functions))

@@ -233,6 +233,43 @@ def test_edited_passages_are_recalled(spark):
     assert extra <= 0.01 * sum(p[1] - p[0] for p in planted.values())
 
 
+@pytest.mark.parametrize(("docs", "pool", "length"), [(800, 3000, 15), (800, 3000, 10), (2000, 1000, 10)])
+def test_passages_among_shared_phrases(spark, docs, pool, length):
+    """Documents made of common sentences; 300 hold 60 words of an earlier one: 95% are found to nine tenths."""
+    r = random.Random(docs + length)
+    sentences = [[f"w{r.randrange(5000)}" for _ in range(length)] for _ in range(pool)]
+    texts = [[w for _ in range(30) for w in r.choice(sentences)] for _ in range(docs)]
+    planted = dict.fromkeys(sorted(r.sample(range(docs // 4, docs), 300)))
+    for d in planted:
+        source = texts[r.choice([x for x in range(d) if x not in planted])]
+        a, at = r.randrange(len(source) - 60), r.randrange(len(texts[d]))
+        texts[d][at:at] = source[a : a + 60]
+        planted[d] = at
+    found = collections.defaultdict(set)
+    for x in substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)).collect():
+        found[x.doc] |= set(range(x.start, x.start + x.n_words))
+    assert sum(len(found[d] & set(range(at, at + 60))) >= 54 for d, at in planted.items()) >= 0.95 * len(planted)
+
+
+def test_common_windows_match_brute_force():
+    r = np.random.default_rng(2)
+    for n, t in ((5, 6), (6, 6), (40, 3), (90, 10), (150, 46)):
+        h = r.integers(0, 2**60, (4, n), dtype=np.uint64)
+        got = {tuple(map(int, x)) for x in zip(*substring_dedup.common_windows(h, t))}
+        want = set()
+        for pair in (0, 1):
+            a, b = h[2 * pair].tolist(), h[2 * pair + 1].tolist()
+            for i in range(n - t + 1):
+                c, d = (min(range(i, i + t), key=x.__getitem__) for x in (a, b))
+                left, right = i, i + t - 1
+                while left > 0 and a[left - 1] > a[c] and b[left - 1] > b[d]:
+                    left -= 1
+                while right < n - 1 and a[right + 1] > a[c] and b[right + 1] > b[d]:
+                    right += 1
+                want.add((pair, left, c, d, right))
+        assert got == want
+
+
 def test_many_copies_are_each_found(spark):
     passage = words(60, 70)
     rows = [(i, f"{words(20, 1000 + i)} {passage} {words(20, 5000 + i)}") for i in range(300)]
