@@ -1,12 +1,13 @@
 """Phrase collocations by the stripes pattern.
 
 For each number of words m a task keys the first m - 1 words of every place by an associative counter of
-the word that follows; the counter's entry under the empty word counts the prefix itself. These stripes are
-shuffled by prefix and merged elementwise. A merged stripe gives the counts of all extensions, the prefix's
-total, and the largest extension, which decides whether the prefix is subsumed; for the other side the same
-entries are grouped by what follows their first word. Levels go from one word to four, and a level counts
-only what can still be frequent: both parts of m - 1 words must be. Tasks learn that from a bitmap of fixed
-size (hashes, so it errs on one side only, towards more work); the counts themselves are of the words.
+the word that follows. These stripes are shuffled by prefix and merged elementwise. A merged stripe gives the
+counts of all extensions, and the largest of them decides whether the prefix is subsumed; a prefix's total is
+its own entry in the stripe one word shorter, so the empty prefix's stripe holds the words and, under the
+empty word, their number. For the other side the same entries are grouped by what follows their first word.
+Levels go from one word to four, and a level counts only what can still be frequent: both parts of m - 1
+words must be. Tasks learn that from a bitmap of fixed size (hashes, so it errs on one side only, towards
+more work); the counts themselves are of the words.
 
 A task counts some megabytes of text at a time, in arrays. Stripes of prefixes so common that one task would
 get too much are dealt to several pieces by the next word; at most 65,536 prefixes a level can be such.
@@ -27,7 +28,7 @@ from tessera.llm.common import materialized, slices
 from tessera.llm.shingles import mix, shingle_hashes, word_hashes
 
 #: Bytes of text that a task counts at a time.
-AT_ONCE = 8 << 20
+AT_ONCE = 16 << 20
 #: Pieces of the stripe of the empty prefix, which counts single words.
 ROOT_PIECES = 1024
 STRIPES = "lang string, prefix string, piece int, next array<string>, n array<long>"
@@ -73,9 +74,9 @@ def count_stripes(lang: str, texts: pa.Array, m: int, frequent: np.ndarray | Non
         following = np.flatnonzero(count)
         if not len(following):
             return None
-        owner, n = np.zeros(len(following), np.int64), count[following]
-        totals, at = np.array([n.sum()]), None
-        pieces = (hashes[following] % np.uint64(ROOT_PIECES)).astype(np.int64)
+        owner, n, at = np.zeros(len(following) + 1, np.int64), np.append(count[following], count[following].sum()), None
+        pieces = np.append((hashes[following] % np.uint64(ROOT_PIECES)).astype(np.int64), 0)
+        following = np.append(following, size)  # the empty word's entry is the number of words
     else:
         stops = np.flatnonzero(~inside)
         left = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
@@ -83,17 +84,15 @@ def count_stripes(lang: str, texts: pa.Array, m: int, frequent: np.ndarray | Non
         places = _places(h, bits)
         good = left[: len(h)] >= m - 1
         good &= (frequent[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
-        at = np.flatnonzero(good)
+        # an extension counts where the words after the first are frequent too
+        at = np.flatnonzero(good[:-1] & good[1:] & (left[: max(0, len(h) - 1)] >= m))
         if not len(at):
             return None
         key = ids[at]
         for k in range(1, m - 1):
             key = (key if k == 1 else _ranks(key)) * size + ids[at + k]
-        _, first, prefix, totals = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        # an extension counts where the words after the first are frequent too
-        more = left[at] >= m
-        more[more] = good[at[more] + 1]
-        code, n = np.unique(prefix[more] * size + ids[at[more] + m - 1], return_counts=True)
+        _, first, prefix = np.unique(key, return_index=True, return_inverse=True)
+        code, n = np.unique(prefix * size + ids[at + m - 1], return_counts=True)
         owner, following = code // size, code % size
         at = at[first]
         pieces = np.zeros(len(code), np.int64)
@@ -101,9 +100,6 @@ def count_stripes(lang: str, texts: pa.Array, m: int, frequent: np.ndarray | Non
             found = np.minimum(np.searchsorted(heavy[0], h[at]), len(heavy[0]) - 1)
             parts = np.where(heavy[0][found] == h[at], heavy[1][found], 1)
             pieces = (hashes[following] % parts[owner].astype(np.uint64)).astype(np.int64)
-    # each prefix's own count stands in its first piece, under the empty word
-    owner, pieces = np.concatenate([np.arange(len(totals)), owner]), np.concatenate([np.zeros(len(totals), np.int64), pieces])
-    following, n = np.concatenate([np.full(len(totals), size), following]), np.concatenate([totals, n])
     order = np.lexsort((pieces, owner))
     owner, pieces, following, n = owner[order], pieces[order], following[order], n[order]
     begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pieces[1:] != pieces[:-1])]))
@@ -152,11 +148,11 @@ def _stripes(docs: DataFrame, m: int, frequent, bits: int, heavy) -> DataFrame:
 
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
-    """(lang, prefix, next, n): stripes merged elementwise, without the entries below least but all of the empty prefix's own."""
+    """(lang, prefix, next, n): stripes merged elementwise, without the entries below least; the empty word's stay."""
     dealt = stripes.repartition("lang", "prefix", "piece")
     entries = dealt.select("lang", "prefix", "piece", F.inline(F.arrays_zip("next", F.col("n").alias("n"))))
     summed = entries.groupBy("lang", "prefix", "piece", "next").agg(F.sum("n").alias("n"))
-    return summed.where((F.col("n") >= least) | ((F.col("prefix") == "") & (F.col("next") == ""))).drop("piece")
+    return summed.where((F.col("n") >= least) | (F.col("next") == "")).drop("piece")
 
 
 def _hashed(phrases: DataFrame, m: int) -> DataFrame:
@@ -206,7 +202,7 @@ def collocations(
     for m in range(1, longest + 1):
         level = materialized(_merged(_stripes(rows, m, frequent, bits, heavy), least))
         if m == 1:
-            n_of = level.where("prefix = '' and next = ''").select("lang", F.col("n").alias("n_words"))
+            n_of = level.where("next = ''").select("lang", F.col("n").alias("n_words"))
             total = n_of.agg(F.sum("n_words")).first()[0] or 0
             part = max(heavy_at, -(-total // 65_536))
         own = level.where("next <> ''").select("lang", F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")).alias("phrase"), "n")
@@ -227,10 +223,10 @@ def _scored(entries: list[tuple[DataFrame, DataFrame]], n_of: DataFrame, share:
     for m in range(2, longest + 1):
         level, own = entries[m - 1]
         candidates = candidates.unionByName(own)
-        totals = totals.unionByName(level.where("next = ''").select("lang", F.col("prefix").alias("phrase"), "n"))
+        totals = totals.unionByName(entries[m - 2][1])
         if m > 2:
             rest = F.expr("substring(phrase, instr(phrase, ' ') + 1)")
-            longer = longer.unionByName(level.where("next <> ''").select("lang", F.col("prefix").alias("phrase"), "n")).unionByName(own.select("lang", rest.alias("phrase"), "n"))
+            longer = longer.unionByName(level.select("lang", F.col("prefix").alias("phrase"), "n")).unionByName(own.select("lang", rest.alias("phrase"), "n"))
     above = longer.groupBy("lang", F.col("phrase").alias("inner")).agg(F.max("n").alias("most"))
     c = candidates.alias("c")
     kept = c.join(above.alias("u"), (F.col("c.lang") == F.col("u.lang")) & (F.col("c.phrase") == F.col("u.inner")), "left")

@@ -62,12 +62,14 @@ def test_equals_the_definition(spark, seed, options):
     assert want and got == want
 
 
-def test_merged_stripes_hold_totals_and_extensions():
+def test_stripes_hold_extensions():
     text = pa.array(["x y. x y x", "Y x"], pa.large_string())
     everything = np.full(1 << 13, 255, np.uint8)
     nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     found = phrases.count_stripes("en", text, 2, everything, 16, nothing).to_pylist()
-    assert {r["prefix"]: dict(zip(r["next"], r["n"])) for r in found} == {"x": {"": 4, "y": 2}, "y": {"": 3, "x": 2}}
+    assert {r["prefix"]: dict(zip(r["next"], r["n"])) for r in found} == {"x": {"y": 2}, "y": {"x": 2}}
+    one = phrases.count_stripes("en", text, 1, None, 16, nothing).to_pylist()
+    assert {w: n for r in one for w, n in zip(r["next"], r["n"])} == {"": 7, "x": 4, "y": 3}
 
 
 def test_heavy_prefixes_lie_in_pieces():
@@ -78,17 +80,19 @@ def test_heavy_prefixes_lie_in_pieces():
     rows = phrases.count_stripes("en", text, 2, everything, 16, (one, np.array([4]))).to_pylist()
     pieces = [r for r in rows if r["prefix"] == "the"]
     assert sorted(r["piece"] for r in pieces) == [0, 1, 2, 3]
-    assert sum(sum(r["n"]) for r in pieces) == 400 and max(len(r["next"]) for r in pieces) < 120
+    assert sum(sum(r["n"]) for r in pieces) == 200 and max(len(r["next"]) for r in pieces) < 120
 
 
 def test_large_counts_stay_exact(spark):
     """2,000,000 * a passes 64 bits."""
     big = 9_000_000_000_000_000_000 // 3
-    level = spark.createDataFrame([("en", "x", "", big), ("en", "y", "", big + 1), ("en", "x", "y", big - 7)], "lang string, prefix string, next string, n long")
-    own = level.where("next <> ''").selectExpr("lang", "prefix || ' ' || next AS phrase", "n")
+    one = spark.createDataFrame([("en", "", "x", big), ("en", "", "y", big + 1)], "lang string, prefix string, next string, n long")
+    two = spark.createDataFrame([("en", "x", "y", big - 7)], one.schema)
+    words = one.selectExpr("lang", "next AS phrase", "n")
+    pairs = two.selectExpr("lang", "prefix || ' ' || next AS phrase", "n")
     n_of = spark.createDataFrame([("en", big * 2)], "lang string, n_words long")
-    one = phrases._scored([(level, own.where("false")), (level, own)], n_of, 80, 10, 2_000_000).collect()
-    assert [tuple(r) for r in one] == [("en", 1, "x y", big - 7, big, big + 1, 2 * big, 2_000_000 * (big - 7) // (2 * big + 1))]
+    found = phrases._scored([(one, words), (two, pairs)], n_of, 80, 10, 2_000_000).collect()
+    assert [tuple(r) for r in found] == [("en", 1, "x y", big - 7, big, big + 1, 2 * big, 2_000_000 * (big - 7) // (2 * big + 1))]
 
 
 def test_no_rows(spark):
