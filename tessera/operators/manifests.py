@@ -136,13 +136,18 @@ def requirements(files: DataFrame) -> DataFrame:
     return once.withColumn("at", at).where(F.col("at") < MAX_REQUIREMENTS).select("repo", "at", F.col("said").alias("requirement"))
 
 
+#: What JavaScript's runners take for test files, a word and a kind of module.
+JS_TEST_SUFFIXES = tuple(f".{word}.{kind}{x}" for word in ("test", "spec") for kind in ("js", "ts", "cjs", "cts", "mjs", "mts") for x in ("", "x"))
+
+
 def frameworks(files: DataFrame) -> DataFrame:
     """(repo, framework, reason, python_tests, js_tests): what to run in each repository of (repo, path, content)."""
     folder = F.regexp_replace("path", "[^/]*$", "")
     name = text.basename(F.col("path"))
     seen = ~folder.rlike("(^|/)(" + "|".join(x.replace(".", "[.]") for x in UNSCANNED) + ")/")
-    python_test = seen & name.rlike(r"^(test_.*|.*_test)\.py$")
-    js_test = seen & ~python_test & (name.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$") | (folder.rlike("(^|/)__tests__/") & name.rlike(r"\.(js|ts)$")))
+    python_test = seen & (name.endswith("_test.py") | name.startswith("test_") & name.endswith(".py"))
+    folders = F.split(folder, "/")
+    js_test = seen & ~python_test & (text.any_of(*[name.endswith(x) for x in JS_TEST_SUFFIXES]) | (F.array_contains(folders, "__tests__") & (name.endswith(".js") | name.endswith(".ts"))))
     count = lambda c: F.count(F.when(c, 1))
     of = lambda path: F.max(F.when(F.col("path") == path, F.col("content")))
     has = lambda said, section: F.coalesce(said.rlike(rf"(?m)^\[{section}\]"), F.lit(False))
@@ -155,9 +160,10 @@ def frameworks(files: DataFrame) -> DataFrame:
         .when(F.col("ini").isNotNull(), "pytest.ini").when(has(F.col("cfg"), "tool:pytest"), "[tool:pytest] in setup.cfg").when(has(F.col("tox"), "pytest"), "[pytest] in tox.ini")
     )
     script = F.get_json_object("package", "$.scripts.test")
+    words = F.split(script, " ")
     js = F.coalesce((text.strip(script) != "") & ~script.contains("no test specified"), F.lit(False))
     uses = lambda tool: F.coalesce(F.get_json_object("package", f"$.devDependencies.{tool}"), F.get_json_object("package", f"$.dependencies.{tool}")).isNotNull()
-    js_framework = F.when(script.contains("vitest"), "vitest").when(script.contains("jest") | script.contains("react-scripts test"), "jest").when(script.rlike(r"\bnode\b.*--test\b"), "node-test").when(uses("vitest"), "vitest").when(uses("jest"), "jest").otherwise("unknown")
+    js_framework = F.when(script.contains("vitest"), "vitest").when(script.contains("jest") | script.contains("react-scripts test"), "jest").when(F.array_contains(words, "node") & F.exists(words, lambda w: text.any_of(w == "--test", w.startswith("--test="), w.startswith("--test-"))), "node-test").when(uses("vitest"), "vitest").when(uses("jest"), "jest").otherwise("unknown")
     python = config.isNotNull() | (F.col("python_tests") > 0)
     wins = js & (~python | (F.col("js_tests") > F.col("python_tests")))
     language = F.element_at(F.create_map(*[F.lit(x) for kv in OTHER_LANGUAGES.items() for x in kv]), F.col("other"))

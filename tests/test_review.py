@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from tessera.operators import assembly, diffs, evidence, manifests
 
-PATCH = "@@ -10,3 +10,4 @@ def parse(self):\n context\n-removed\n+added one\n+added two\n tail"
+PATCH = "@@ -10,3 +10,4 @@ class Reader:\n context\n-removed\n+added one\n+added two\n tail"
 
 
 def test_hunks_and_lines(spark):
     rows = spark.createDataFrame([(1, "a.py", PATCH), (2, "b.py", "@@ -5 +5 @@\n-x\n+y\n\\ No newline at end of file"), (3, "c.py", "nothing"), (4, "d.py", None)], "id int, path string, patch string")
     hunks = diffs.with_hunks(rows, "patch", "path").cache()
     got = {r.id: r for r in hunks.collect()}
-    assert set(got) == {1, 2} and (got[1].section, got[1].old_lines, got[1].new_lines) == ("def parse(self):", 3, 4) and (got[2].old_lines, got[2].new_lines) == (1, 1)
+    assert set(got) == {1, 2} and (got[1].section, got[1].old_lines, got[1].new_lines) == ("class Reader:", 3, 4) and (got[2].old_lines, got[2].new_lines) == (1, 1)
     lines = diffs.hunk_lines(hunks, "id")
     assert [r.line for r in lines.where("id = 1 and marker = '+'").orderBy("at").collect()] == [11, 12]
     assert [(r.marker, r.line) for r in lines.where("id = 2").orderBy("at").collect()] == [("-", None), ("+", 5), ("\\", None)]
@@ -82,7 +82,7 @@ def test_variants_and_past_text(spark):
     assert list(got) == [["Hunk 1\nw\np", "Hunk 1\nb\np", "Hunk 1\nb"], ["Hunk 1\nw", "Hunk 1\nb"], ["Hunk 1\nb"]]
 
 
-def test_drafted_code_and_past_shown(spark):
+def test_openrafted_code_and_past_shown(spark):
     lines = spark.createDataFrame([(1, "a", 3, "x = 1"), (1, "a", None, "gone")], "run_id int, path string, line int, code string")
     drafts = spark.createDataFrame([(1, "a", 3), (1, "a", 4)], "run_id int, path string, line int")
     assert {r.line: r.code for r in assembly.drafted_code(drafts, lines).collect()} == {3: "x = 1", 4: ""}
@@ -98,40 +98,40 @@ def test_grep_takes_bad_patterns_literally(spark):
 # ---- test output
 
 PYTEST = """=== ERRORS ===
-___ ERROR at setup of test_d ___
-t/test_a.py:22: in fixture
-E   RuntimeError: boom
+___ ERROR at setup of test_open ___
+checks/test_cart.py:22: in fixture
+E   OSError: disk
 === FAILURES ===
-___ test_a ___
-t/test_a.py:13: in test_a
-E   assert 4 == 5
-E    +  where 4 = add(2, 2)
-___ TestB.test_c ___
-lib.py:3: in f
-t/test_a.py:31: in test_c
-E   ValueError: no
+___ test_total ___
+checks/test_cart.py:13: in test_total
+E   assert 'k' in {}
+E    +  and more of it
+___ Cart.test_tax ___
+money.py:3: in round_up
+checks/test_cart.py:31: in test_tax
+E   KeyError: 'z'
 === short test summary info ===
-FAILED t/test_a.py::test_a - assert 4 == 5
-FAILED t/test_a.py::TestB::test_c
-ERROR t/test_a.py::test_d - RuntimeError: boom
+FAILED checks/test_cart.py::test_total - assert 'k' in {}
+FAILED checks/test_cart.py::Cart::test_tax
+ERROR checks/test_cart.py::test_open - OSError: disk
 === 2 failed, 1 passed, 1 error in 0.02s ==="""
-JEST = """FAIL ./sum.test.js
-  ● sum › adds
-    expect(received).toBe(expected)
+JEST = """FAIL ./cart.spec.js
+  ● cart › totals
+    expect(element).toHaveLength(3)
       at Object.<anonymous> (node_modules/x/y.js:1:2)
       at fn (helper.js:4:5)
-      at Object.<anonymous> (sum.test.js:8:20)
+      at Object.<anonymous> (cart.spec.js:8:20)
   ● Test suite failed to run
     Cannot find module
 Test Suites: 1 failed
 Tests:       2 failed, 1 skipped, 3 passed, 6 total"""
-VITEST = """ FAIL  a.test.ts > sum > adds
-AssertionError: expected 1 to be 2
+VITEST = """ FAIL  web/price.test.ts > cart > totals
+TypeError: price is null
  ❯ helper.ts:1:1
- ❯ a.test.ts:9:3
+ ❯ web/price.test.ts:9:3
 ⎯⎯⎯⎯
- FAIL  b.test.ts [ b.test.ts ]
-Error: no such file
+ FAIL  web/load.test.ts [ web/load.test.ts ]
+Error: cannot open it
  Test Files  2 failed
       Tests  1 failed | 4 passed (5)"""
 SPEC = """ℹ pass 1
@@ -139,14 +139,14 @@ SPEC = """ℹ pass 1
 ✖ failing tests:
 
 test at a.test.js:5:1
-✖ adds (1.5ms)
-  AssertionError: no"""
+✖ rounds up (1.5ms)
+  RangeError: too far"""
 TAP = """# Subtest: g
-    not ok 1 - adds
+    not ok 1 - rounds down
       ---
       location: '/work/a.test.js:5:1'
       error: |-
-        not equal
+        off by one
       ...
 not ok 1 - g
   ---
@@ -160,12 +160,12 @@ not ok 1 - g
 @pytest.mark.parametrize(
     "framework,out,parser,failures,counts",
     [
-        ("pytest", PYTEST, "pytest", [("t/test_a.py::test_a", "failed", "t/test_a.py", 13, "assert 4 == 5"), ("t/test_a.py::TestB::test_c", "failed", "t/test_a.py", 31, "ValueError: no"), ("t/test_a.py::test_d", "error", "t/test_a.py", 22, "RuntimeError: boom")], (1, 2, 1, None)),
-        ("pytest", "\x1b[1mResults (1.2s):\n  787 passed\n    5 skipped\n", "pytest", [], (787, None, None, 5)),
-        ("jest", JEST, "jest", [("sum > adds", "failed", "sum.test.js", 8, "expect(received).toBe(expected)"), ("Test suite failed to run", "error", "sum.test.js", None, "Cannot find module")], (3, 2, None, 1)),
-        ("vitest", VITEST, "vitest", [("sum > adds", "failed", "a.test.ts", 9, "AssertionError: expected 1 to be 2"), ("b.test.ts", "error", "b.test.ts", None, "Error: no such file")], (4, 1, None, None)),
-        ("node-test", SPEC, "node-test-spec", [("adds", "failed", "a.test.js", 5, "AssertionError: no")], (1, 1, None, None)),
-        ("unknown", TAP, "node-test-tap", [("adds", "failed", "a.test.js", 5, "not equal")], (0, 2, None, 0)),
+        ("pytest", PYTEST, "pytest", [("checks/test_cart.py::test_total", "failed", "checks/test_cart.py", 13, "assert 'k' in {}"), ("checks/test_cart.py::Cart::test_tax", "failed", "checks/test_cart.py", 31, "KeyError: 'z'"), ("checks/test_cart.py::test_open", "error", "checks/test_cart.py", 22, "OSError: disk")], (1, 2, 1, None)),
+        ("pytest", "\x1b[1mResults (0.4s):\n  41 passed\n   2 skipped\n", "pytest", [], (41, None, None, 2)),
+        ("jest", JEST, "jest", [("cart > totals", "failed", "cart.spec.js", 8, "expect(element).toHaveLength(3)"), ("Test suite failed to run", "error", "cart.spec.js", None, "Cannot find module")], (3, 2, None, 1)),
+        ("vitest", VITEST, "vitest", [("cart > totals", "failed", "web/price.test.ts", 9, "TypeError: price is null"), ("web/load.test.ts", "error", "web/load.test.ts", None, "Error: cannot open it")], (4, 1, None, None)),
+        ("node-test", SPEC, "node-test-spec", [("rounds up", "failed", "a.test.js", 5, "RangeError: too far")], (1, 1, None, None)),
+        ("unknown", TAP, "node-test-tap", [("rounds down", "failed", "a.test.js", 5, "off by one")], (0, 2, None, 0)),
     ],
 )
 def test_output_readers(spark, framework, out, parser, failures, counts):
@@ -189,17 +189,17 @@ def test_output_is_bounded_and_never_fails(spark):
 
 def test_requirements(spark):
     files = {
-        "pyproject.toml": '[build-system]\nrequires = ["hatchling"]\n[project]\nname = "My_Pkg"\ndependencies = ["httpx>=0.2", "my-pkg[dev]"]\n[project.optional-dependencies]\ndev = ["ruff", "x @ https://e.org/x.zip"]\n[dependency-groups]\ntest = ["pytest", {include-group = "more"}]\nmore = ["mypy"]\nlint = ["black"]\n',
+        "pyproject.toml": '[build-system]\nrequires = ["flit_core"]\n[project]\nname = "Cart_Tools"\ndependencies = ["attrs>=23", "cart-tools[dev]"]\n[project.optional-dependencies]\ndev = ["pyflakes", "x @ https://e.org/y.zip"]\n[dependency-groups]\ntest = ["pytest", {include-group = "more"}]\nmore = ["pyright"]\nlint = ["black"]\n',
         "requirements.txt": "a==1 # why\n-r requirements/test.txt\n-e .\n# no\nb \\\n  >=2 --hash=sha256:00\n-r ../outside.txt\n", "requirements/test.txt": "c\n-r ../requirements.txt\n", "setup.cfg": "[options]\ninstall_requires =\n  d\n  e[x]>=1; python_version < '3'\n",
     }
     odd = {"a": '[tool.poetry]\ngroup = "x"\n', "b": '[tool.poetry.group]\ntest = "x"\n', "c": '[project]\noptional-dependencies = ["a"]\n', "d": "x = " + "[" * 3000, "e": "broken ["}
     rows = [("r", p, c) for p, c in files.items()] + [("s", "setup.py", "")] + [(k, "pyproject.toml", v) for k, v in odd.items()]
-    rows += [("p", "pyproject.toml", '[tool.poetry.dependencies]\npython = "^3.9"\nhttpx = "*"\nslow = {version = "1", optional = true}\n[tool.poetry.group.dev.dependencies]\nruff = "*"\n')]
+    rows += [("p", "pyproject.toml", '[tool.poetry.dependencies]\npython = "^3.9"\nattrs = "*"\nslow = {version = "1", optional = true}\n[tool.poetry.group.dev.dependencies]\npyflakes = "*"\n')]
     got: dict[str, list[str]] = {}
     for row in manifests.requirements(spark.createDataFrame(rows, "repo string, path string, content string")).orderBy("repo", "at").collect():
         got.setdefault(row.repo, []).append(row.requirement)
-    assert got["r"] == ["hatchling", "httpx>=0.2", "ruff", "pytest", "mypy", "d", "e[x]>=1; python_version < '3'", "a==1", "b    >=2", "c"]
-    assert got["s"] == got["c"] == ["setuptools>=40.8.0", "wheel"] and got["p"] == ["httpx", "ruff"] and not set("abde") & set(got)
+    assert got["r"] == ["flit_core", "attrs>=23", "pyflakes", "pytest", "pyright", "d", "e[x]>=1; python_version < '3'", "a==1", "b    >=2", "c"]
+    assert got["s"] == got["c"] == ["setuptools>=40.8.0", "wheel"] and got["p"] == ["attrs", "pyflakes"] and not set("abde") & set(got)
 
 
 def test_frameworks(spark):
