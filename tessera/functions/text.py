@@ -134,17 +134,21 @@ def body_only(text: Column, path: Column, hunk: Column) -> Column:
     return F.when((code != "") & rest.startswith(F.concat(code, F.lit("\n\n"))), after(rest, F.length(code) + 2)).otherwise(rest)
 
 
+#: Two parts of one identifier meet: lower and upper case, an acronym and a word, letters and digits, an inner underscore.
+PARTS_MEET = "[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z0-9]_+[A-Za-z0-9]"
+
+
 def tokens(text: Column) -> Column:
     """Identifiers, lower-cased without outer underscores, and their snake and camel parts when several."""
     camel = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
     def parts(word: Column) -> Column:
-        whole = F.regexp_replace(F.lower(word), "^_+|_+$", "")
-        pieces = F.transform(F.regexp_extract_all(word, F.lit(camel), F.lit(0)), F.lower)
-        return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(whole), F.when(F.size(pieces) > 1, pieces).otherwise(F.array().cast("array<string>"))))
+        whole = F.array(F.btrim(F.lower(word), F.lit("_")))
+        # most words are one part, and are not searched for more
+        return F.when(word.rlike(PARTS_MEET), F.concat(whole, F.transform(F.regexp_extract_all(word, F.lit(camel), F.lit(0)), F.lower))).otherwise(whole)
 
     words = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))
-    return F.flatten(F.transform(words, parts))
+    return F.filter(F.flatten(F.transform(words, parts)), lambda x: x != "")
 
 
 def file_skip_reason(path: Column, status: Column, changes: Column, patch: Column) -> Column:

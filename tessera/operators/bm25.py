@@ -1,34 +1,105 @@
-"""BM25 over exploded tokens: an index of weighted postings, and scoring by one equi-join on terms."""
+"""BM25 over exploded tokens: weighted postings scored by one equi-join on terms, and a stored index of posting
+blocks that is searched without scoring the blocks that cannot matter."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.places import numbered
+from tessera.session import materialized
 
+#: Documents of a posting block.
+BLOCK = 128
 
-def terms(rows: DataFrame, key: str, body: str = "text") -> DataFrame:
-    """(key, term, tf)"""
-    return rows.select(key, F.explode(text.tokens(F.col(body))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+def term_counts(docs: DataFrame, key: str = "doc_id", body: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length), written once: how often each document holds each term, and how many tokens it has.
+
+    A row of the empty term stands for each document, whether or not it has tokens, so numbers and lengths of
+    all documents come from the one pass over the texts. `only` (term) keeps other terms out.
+    """
+    words = docs.select(key, F.coalesce(text.tokens(F.col(body)), F.array().cast("array<string>")).alias("tokens"))
+    exploded = words.select(key, F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    if only is not None:
+        kept = only.select("term").union(only.sparkSession.range(1).select(F.lit(""))).distinct()
+        exploded = exploded.join(kept, "term", "left_semi")
+    return materialized(exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+
+
+def _share(k1: float, b: float):
+    """A posting's weight but for the term's rarity."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+
+
+def _rarity():
+    return F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def index(docs: DataFrame, key: str = "doc_id", body: str = "text", k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
     """Postings (key, term, weight), weights of all documents' counts.
 
-    Lengths and document numbers come from the token arrays, so term counts are shuffled once. `only`
-    (term) prunes postings to the terms asked for before document frequencies are joined; it changes no weight.
+    `only` (term) prunes postings to the terms asked for; it changes no weight.
     """
-    counted = docs.select(key, text.tokens(F.col(body)).alias("tokens"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))  # one row
-    exploded = counted.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    if only is not None:
-        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
-    tf = exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    counts = term_counts(docs, key, body, only)
+    stats = counts.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    tf = counts.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))
-    return tf.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
+    return tf.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", (_rarity() * _share(k1, b)).alias("weight"))
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", body: str = "text", k1: float = 1.2, b: float = 0.75, width: int = BLOCK) -> None:
+    """A stored index: `blocks` (term, block, most, postings) and `terms` (term, rarity) under path.
+
+    Documents are numbered by their key; a block holds a term's postings among `width` of them, so no row grows
+    with the collection, and the largest share of its postings. Blocks lie in ranges of terms. key is unique.
+    """
+    counts = term_counts(docs, key, body)
+    own = counts.where("term = ''").select(key, "length")
+    stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    placed = numbered(own, [], [key]).select(key, F.floor((F.col("place") - 1) / width).alias("block"))
+    postings = counts.where("term <> ''").join(placed, key).crossJoin(F.broadcast(stats)).select(key, "term", "block", _share(k1, b).alias("share"))
+    blocks = postings.groupBy("term", "block").agg(F.max("share").alias("most"), F.collect_list(F.struct(key, "share")).alias("postings"))
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    df = docs.sparkSession.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("postings")).alias("df"))
+    df.crossJoin(F.broadcast(stats)).select("term", _rarity().alias("rarity")).write.parquet(f"{path}/terms")
+
+
+def block_plan(spark: SparkSession, path: str, asked: DataFrame, k: int, first: int = 4, query_key: str = "query_id", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(query, block, bound, part) for every block that holds a term of a query, and the scores of part 0.
+
+    The `first` blocks of a query by bound are scored at once (part 0). Their k-th best score is what a block's
+    bound, the sum of its terms' largest weights, must reach to be scored too (1); the others (2) hold none of
+    the k best. asked: (query, term), distinct.
+    """
+    weighed = asked.join(spark.read.parquet(f"{path}/terms"), "term")
+    heads = spark.read.parquet(f"{path}/blocks").select("term", "block", "most")
+    bounds = materialized(weighed.join(heads, "term").groupBy(query_key, "block").agg(F.sum(F.col("rarity") * F.col("most")).alias("bound")))
+    order = Window.partitionBy(query_key).orderBy(F.col("bound").desc(), "block")
+    early = materialized(bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first).select(query_key, "block"))
+    scored = materialized(_block_scores(spark, path, weighed, early, query_key, key))
+    least = top_k(scored, k, query_key, key).where(F.col("rank") == k).select(query_key, F.col("score").alias("least"))
+    taken = early.withColumn("early", F.lit(True))
+    judged = bounds.join(taken, [query_key, "block"], "left").join(least, query_key, "left")
+    part = F.when(F.col("early"), 0).when(F.col("least").isNull() | (F.col("bound") + 1e-8 >= F.col("least")), 1).otherwise(2)
+    return judged.select(query_key, "block", "bound", part.alias("part")), scored
+
+
+def _block_scores(spark: SparkSession, path: str, weighed: DataFrame, chosen: DataFrame, query_key: str, key: str) -> DataFrame:
+    """(query, document, score) of the documents in the chosen (query, block)."""
+    wanted = weighed.join(chosen, query_key)
+    met = wanted.join(spark.read.parquet(f"{path}/blocks").select("term", "block", "postings"), ["term", "block"])
+    rows = met.select(query_key, "rarity", F.inline("postings"))
+    return rows.groupBy(query_key, key).agg(F.round(F.sum(F.col("rarity") * F.col("share")), 9).alias("score"))
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id", body: str = "query", first: int = 4) -> DataFrame:
+    """top_k over a stored index: the same rows as over all scores, without scoring blocks whose bound is too low."""
+    asked = materialized(queries.select(query_key, F.explode(F.array_distinct(text.tokens(F.col(body)))).alias("term")))
+    plan, scored = block_plan(spark, path, asked, k, first, query_key, key)
+    rest = _block_scores(spark, path, asked.join(spark.read.parquet(f"{path}/terms"), "term"), plan.where("part = 1").select(query_key, "block"), query_key, key)
+    return top_k(scored.unionByName(rest), k, query_key, key)
 
 
 def scores(postings: DataFrame, queries: DataFrame, query_key: str = "query_id", key: str = "doc_id", body: str = "query") -> DataFrame:

@@ -115,3 +115,38 @@ def test_model_scores_and_best_model(spark):
     assert {r.doc_id: r.score for r in fusion.model_scores(rows, make).collect()} == {1: 1.0, 2: 2.0}
     recalls = spark.createDataFrame([("m1", "rrf", 0.2), ("m1", "rrf", 0.4), ("m2", "rrf", 0.35), ("m2", "dense", 0.9)], "model string, retriever string, recall_20 double")
     assert metrics.best_model(recalls).first().model == "m2"
+
+
+def clustered(spark):
+    """Documents of twenty topics in key order, and queries of one topic's words."""
+    r = np.random.default_rng(3)
+    said = [" ".join([f"t{i // 100}w{r.integers(30)}" for _ in range(12)] + [f"common{r.integers(5)}" for _ in range(6)]) for i in range(2000)]
+    docs = spark.createDataFrame([(i * 7, t) for i, t in enumerate(said)] + [(1, ""), (3, None)], "doc_id long, text string").repartition(6)
+    queries = spark.createDataFrame([(q, f"t{q}w1 t{q}w2 T{q}w3 common1 common2 t{q}w1") for q in range(12)] + [(50, "unheard"), (51, "common3"), (52, "")], "query_id int, query string")
+    return docs, queries
+
+
+@pytest.mark.parametrize(("k", "first"), [(5, 4), (150, 2), (1, 1)])
+def test_search_of_a_stored_index_equals_all_scores(spark, tmp_path, k, first):
+    docs, queries = clustered(spark)
+    bm25.write_index(docs, str(tmp_path / "ix"), width=50)
+    row = lambda r: (r.query_id, r.doc_id, r.score, r["rank"])
+    got = sorted(map(row, bm25.search(spark, str(tmp_path / "ix"), queries, k, first=first).collect()))
+    assert got == sorted(map(row, bm25.top_k(bm25.scores(bm25.index(docs), queries), k).collect())) and got
+
+
+def test_blocks_that_cannot_matter_are_not_scored(spark, tmp_path):
+    docs, queries = clustered(spark)
+    bm25.write_index(docs, str(tmp_path / "ix"), width=50)
+    asked = queries.select("query_id", F.explode(F.array_distinct(bm25.text.tokens(F.col("query")))).alias("term"))
+    plan, _ = bm25.block_plan(spark, str(tmp_path / "ix"), asked, 5)
+    n = {r.part: r.n for r in plan.where("query_id < 12").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert n[0] == 48 and n[2] > 0.85 * sum(n.values())
+    blocks = spark.read.parquet(str(tmp_path / "ix" / "blocks"))
+    assert blocks.select(F.max(F.size("postings"))).first()[0] <= 50
+
+
+def test_tokens_are_parts_of_identifiers(spark):
+    said = ["parseHTTPHeader", "snake_case_name", "__init__", "_", "ABC", "ABc", "x1y", "v2", "Hello hello", "12ab", "a_1", "éa", "_x_Y_", ""]
+    got = [r.t for r in spark.createDataFrame([(s,) for s in said], "s string").select(bm25.text.tokens(F.col("s")).alias("t")).collect()]
+    assert got == [["parsehttpheader", "parse", "http", "header"], ["snake_case_name", "snake", "case", "name"], ["init"], [], ["abc"], ["abc", "a", "bc"], ["x1y", "x", "1", "y"], ["v2", "v", "2"], ["hello", "hello"], ["12", "ab"], ["a_1", "a", "1"], ["a"], ["x_y", "x", "y"], []]
