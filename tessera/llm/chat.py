@@ -128,7 +128,7 @@ def chat_windows(
     base = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     turns = base.withColumns({"role": _role_out(F.col("role")), "text": escaped(F.col("text"))})
     turns = turns.withColumn("tie", F.sha2(F.concat("role", F.lit("\n"), "text").cast("binary"), 256))
-    placed, heads = _placed(_costs(turns, path, pattern))
+    placed, heads = _placed(materialized(_costs(turns, path, pattern)))  # sampling for ranges would count again
     new = materialized(_spans(placed, budget, history_tokens, cell))
     starts = new.where("place = window").select("conv", "window", "before", "part", "system_cost")
     back = starts.select(F.col("conv").alias("of"), "window", F.col("before").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("step"), "system_cost") if history_turns else None
