@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import rolling
 from tessera.operators.places import numbered
 
 SHARD_ROWS, SHARD_BYTES = 20_000, 32 << 20
@@ -86,26 +83,10 @@ def shards_by_rows(units: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
 def shards(units: DataFrame, rows: int = SHARD_ROWS, size: int = SHARD_BYTES) -> DataFrame:
     """(repo, kind, unit_id, shard): rolls to a new shard when it holds `rows` units or would pass `size` bytes.
 
-    Sequential inside a (repo, kind), so only ids and line lengths (unit_id, bytes) go there; a group's
-    rows stream through, sorted, and texts are joined on placement by the writer.
+    Only ids and line lengths (unit_id, bytes) are moved; texts are joined on placement by the writer. A large
+    (repo, kind) rolls in chunks, see rolling.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, filled, number = None, 0, 0, 0
-        for batch in batches:
-            out = []
-            for repo, kind, length in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
-                if (repo, kind) != key:
-                    key, n, filled, number = (repo, kind), 0, 0, 0
-                elif n and (filled + length > size or n >= rows):
-                    n, filled, number = 0, 0, number + 1
-                n, filled = n + 1, filled + length
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], names=["repo", "kind", "unit_id", "number"])
-
-    narrow = units.select("repo", "kind", "unit_id", F.col("bytes").cast("long").alias("bytes"))
-    ordered = narrow.repartition("repo", "kind").sortWithinPartitions("repo", "kind", "unit_id")
-    numbered = ordered.mapInArrow(run, "repo string, kind string, unit_id string, number int")
-    return numbered.select("repo", "kind", "unit_id", shard_name(F.col("repo"), F.col("kind"), F.col("number")).alias("shard"))
+    return rolling.rolled(units, rows, size).select("repo", "kind", "unit_id", shard_name(F.col("repo"), F.col("kind"), F.col("number")).alias("shard"))
 
 
 def shard_digests(placed: DataFrame) -> DataFrame:

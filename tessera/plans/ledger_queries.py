@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.operators import corpus, ledgers
 from tessera.plans.views import ctes, view
+from tessera.session import shared_dir
+from tessera.sources import buckets, corpus_files, schemas
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,6 +58,16 @@ def upsert_snapshot(spark, sf_dir):
     return corpus.upserted(v1, v2, F.lit(2))
 
 
+@query(ORACLE_SQL["upsert_snapshot"])
+def upsert_buckets(spark, sf_dir):
+    """The same snapshot, from an index in buckets that both versions were ingested into."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    v1, v2 = _versions(spark, sf_dir)
+    corpus_files.upsert_index(v1, root, F.lit(1), 64)
+    corpus_files.upsert_index(v2, root, F.lit(2), 64)
+    return buckets.read(spark, root, spark.createDataFrame([], schemas.INDEX))
+
+
 @query(_INDEX + " SELECT repo, unit_id FROM gone")
 def prune(spark, sf_dir):
     v1, v2 = _versions(spark, sf_dir)

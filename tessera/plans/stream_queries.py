@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.views import SQL, ctes, view
 from tessera.session import shared_dir
+from tessera.sources import buckets
 from tessera.streaming import deliveries
 
 QUERIES: dict = {}
@@ -60,7 +61,7 @@ def _ledger(spark: SparkSession, waves: list[DataFrame], empty: DataFrame, step)
         rows.write.mode("append").parquet(f"{root}/in")
         arriving = spark.readStream.schema(waves[0].schema).parquet(f"{root}/in")
         deliveries.into_ledger(arriving, f"{root}/out", empty, step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(empty.schema).parquet(f"{root}/out").select(*empty.columns)
+    return buckets.read(spark, f"{root}/out", empty).select(*empty.columns)
 
 
 @query(ctes("runs") + " SELECT batch AS claim_batch, repo, pr, coalesce(min(run_id) FILTER (run_id % 2 = 1), min(run_id)) AS run_id FROM runs GROUP BY 1, 2, 3")

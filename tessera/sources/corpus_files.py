@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,19 +10,32 @@ from tessera.functions import ids, text
 from tessera.operators import corpus, dense
 from tessera.operators.places import block_digest
 from tessera.session import materialized
-from tessera.sources import schemas
+from tessera.sources import buckets, schemas
+
+
+def _folder_name(value: str) -> str:
+    """A partition value as it stands in a folder's name; such names escape some characters by their code."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or ord(c) < 32 else c for c in value)
 
 
 def read_corpus(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """All units of the shards a manifest (shard) names; a shard that is missing is an error.
+    """All units of the shards a manifest (shard) names; a shard that is missing is an error, before any is read.
 
-    Shard files are found by Spark's reader, so any store that it reads will do. Rows are ordered by the caller.
+    Only the folders of those shards are listed and opened, by Spark's reader, so any store that it reads will
+    do; their names, one for up to SHARD_ROWS units, go through the driver. A shard is one file that is not
+    split, and its rows come in its order, by unit_id.
     """
-    rows = spark.read.schema(f"{schemas.UNIT}, shard string").option("mode", "FAILFAST").json(f"{root}/shards")
-    missing = manifest.select("shard").join(rows.select("shard").distinct(), "shard", "left_anti").limit(5).collect()
-    if missing:
-        raise FileNotFoundError(f"shards of the manifest are missing: {[r.shard for r in missing]}")
-    return rows.join(manifest.select("shard"), "shard", "left_semi")
+    schema = f"{schemas.UNIT}, shard string"
+    names = [r.shard for r in manifest.select("shard").distinct().orderBy("shard").toLocalIterator()]
+    if not names:
+        return spark.createDataFrame([], schema)
+    paths = [f"{root}/shards/shard={_folder_name(name)}" for name in names]
+    try:
+        return spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", f"{root}/shards").json(paths)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"a shard of the manifest is missing: {error.getMessageParameters().get('path')}") from error
 
 
 def write_corpus(units: DataFrame, root: str, old: DataFrame | None = None) -> DataFrame:
@@ -144,6 +158,27 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("errorifexists").parquet(path)
 
 
+def upsert_index(units: DataFrame, root: str, now, n: int = 1024) -> DataFrame:
+    """One ingest (unit_id, repo, kind, content_hash, ref) into an index kept in n buckets of unit_id; returns its actions.
+
+    Only the buckets of the ingest's own ids are read and written anew; the others keep their files. Where
+    nothing changed nothing is written.
+    """
+    spark = units.sparkSession
+    own = materialized(units.select("unit_id", "repo", "kind", "content_hash", "ref"))
+    touched = [r.b for r in own.select(buckets.bucket_of(("unit_id",), n).alias("b")).distinct().collect()]  # at most n numbers
+    version = buckets.manifest(spark, root)[0]
+    empty = spark.createDataFrame([], schemas.INDEX)
+    held = buckets.read(spark, root, empty, touched)
+    actions = materialized(corpus.upsert_actions(held, own))
+    changed = [r.b for r in actions.where("action <> 'unchanged'").select(buckets.bucket_of(("unit_id",), n).alias("b")).distinct().collect()]
+    if changed:
+        mine = lambda df: df.where(buckets.bucket_of(("unit_id",), n).isin(changed))
+        after = corpus.upserted(buckets.read(spark, root, empty, changed), mine(own), now).select(*empty.columns)
+        buckets.write(after, root, version + 1, ("unit_id",), n, replace=changed)
+    return actions
+
+
 def run_row(spark: SparkSession, repo: str, ref: str | None, report: DataFrame, error: str | None = None) -> DataFrame:
     """One row of the ingest log: the report's counts, or the error."""
     counts = report.where(F.col("repo") == repo).select("inserted", "updated", "unchanged", "pruned")

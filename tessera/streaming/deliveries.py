@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tessera.operators import ledgers
+from tessera.sources import buckets as table
 from tessera.sources import schemas
 
 
@@ -35,22 +35,23 @@ def latest_per_pull(deliveries: DataFrame) -> DataFrame:
     return deliveries.where("repo is not null and pr is not null").groupBy("repo", "pr").agg(F.max_by("delivery_id", F.struct("ts", "arrival")).alias("delivery_id"), F.count("*").alias("n"))
 
 
-def into_ledger(rows: DataFrame, root: str, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: tuple[str, ...] = ("repo", "pr"), buckets: int = 64) -> DataStreamWriter:
-    """A writer that applies step(batch, ledger) to each micro-batch and keeps its rows in root/batch=<id>/bucket=<n>.
+def into_ledger(rows: DataFrame, root: str, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: tuple[str, ...] = ("repo", "pr"), buckets: int = 64, merge_at: int = 8) -> DataStreamWriter:
+    """A writer that applies step(batch, ledger) to each micro-batch and keeps its rows in a table of buckets at root.
 
-    A batch that is run again overwrites its own rows and reads only earlier ones, so redelivery and
-    restarts change nothing. The step must be one of each key by itself: rows are kept in buckets by `keys`, and a
-    batch reads only the buckets of its own keys, not the whole ledger. empty has the ledger's schema.
+    A batch that is run again is applied to the version before it, so redelivery and restarts change nothing.
+    The step must be one of each key by itself: rows are kept in buckets by `keys`, and a batch reads only the
+    buckets of its own keys, not the whole ledger. Buckets are compacted, see sources.buckets. empty has the
+    ledger's schema; read the ledger with buckets.read.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    held = StructType([*empty.schema, StructField("batch", LongType()), StructField("bucket", IntegerType())])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ledger = empty
-        if batch_id:
-            own = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets` numbers
-            ledger = batch.sparkSession.read.schema(held).parquet(root).where((F.col("batch") < batch_id) & F.col("bucket").isin(own)).drop("batch", "bucket")
-        step(batch, ledger).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch_id}")
+        batch = batch.persist()  # its buckets are asked for before its rows
+        try:
+            own = [r.bucket for r in batch.select(table.bucket_of(keys, buckets).alias("bucket")).distinct().collect()]  # at most `buckets` numbers
+            ledger = table.read(batch.sparkSession, root, empty, own, batch_id)
+            table.write(step(batch, ledger), root, batch_id, keys, buckets, merge_at=merge_at)
+        finally:
+            batch.unpersist()
 
     return rows.writeStream.foreachBatch(apply)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, corpus, ledgers
-from tessera.sources import corpus_files
+from tessera.sources import buckets, corpus_files
 from tessera.streaming import deliveries
 
 FILES = "repo string, path string, content string"
@@ -214,7 +214,7 @@ def test_streams(spark, tmp_path):
         (offers / name).write_text("\n".join(json.dumps({"repo": "r", "pr": 1, "path": "a", "line": n, "nth": i}) for i, n in enumerate(lines)))
         stream = spark.readStream.schema(schema).json(str(offers))
         deliveries.into_ledger(stream, str(ledger), empty, deliveries.slot_step).option("checkpointLocation", f"{point}/slots").trigger(availableNow=True).start().awaitTermination()
-        return sorted((r.line, r.slot) for r in spark.read.parquet(str(ledger)).collect())
+        return sorted((r.line, r.slot) for r in buckets.read(spark, str(ledger), empty).collect())
 
     assert feed("1.json", [4, 4, 5]) == [(4, 1), (5, 2)]
     assert feed("2.json", [5, 6, 7]) == [(4, 1), (5, 2), (6, 3)]
