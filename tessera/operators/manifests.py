@@ -141,7 +141,10 @@ JS_TEST_SUFFIXES = tuple(f".{word}.{kind}{x}" for word in ("test", "spec") for k
 
 
 def frameworks(files: DataFrame) -> DataFrame:
-    """(repo, framework, reason, python_tests, js_tests): what to run in each repository of (repo, path, content)."""
+    """(repo, framework, reason, python_tests, js_tests, notes): what to run in each repository of (repo, path, content).
+
+    notes is an array of what else was seen: a second suite that is not run.
+    """
     folder = F.regexp_replace("path", "[^/]*$", "")
     name = text.basename(F.col("path"))
     seen = ~folder.rlike("(^|/)(" + "|".join(x.replace(".", "[.]") for x in UNSCANNED) + ")/")
@@ -174,4 +177,5 @@ def frameworks(files: DataFrame) -> DataFrame:
         .when(python, F.concat(F.lit("pytest: no configuration, "), F.col("python_tests").cast("string"), F.lit(" test files")))
         .when(F.col("package").isNotNull(), "package.json without a test script").when(F.col("other").isNotNull(), F.concat("other", F.lit(": "), language)).otherwise("no tests found")
     )
-    return rows.select("repo", F.when(wins, js_framework).when(python, "pytest").alias("framework"), reason.alias("reason"), "python_tests", "js_tests")
+    both = F.when(python & js, F.concat(F.lit("two suites: "), "python_tests", F.lit(" Python and "), "js_tests", F.lit(" JavaScript test files; the larger one is run, Python where they are as many")))
+    return rows.select("repo", F.when(wins, js_framework).when(python, "pytest").alias("framework"), reason.alias("reason"), "python_tests", "js_tests", F.array_compact(F.array(both)).alias("notes"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import check_queries, corpus_queries, ledger_queries, retrieval_queries, review_queries, store_queries, stream_queries
+from tessera.plans import check_queries, corpus_queries, ledger_queries, retrieval_queries, review_queries, store_queries, stream_queries, unit_queries
 from tessera.session import visible
 
-_MODULES = (corpus_queries, check_queries, retrieval_queries, ledger_queries, review_queries, store_queries, stream_queries)
+_MODULES = (corpus_queries, check_queries, retrieval_queries, ledger_queries, review_queries, store_queries, stream_queries, unit_queries)
 
 
 def _ready(f):

@@ -229,8 +229,8 @@ def failures(spark, sf_dir):
 
 
 def _trees(spark, sf_dir):
-    units = view(spark, sf_dir, "units")
     """Every five documents are a repository of five files, made of all their words."""
+    units = view(spark, sf_dir, "units")
     manifest = F.when(F.col("doc_id") % 5 == 0, "pyproject.toml").when(F.col("doc_id") % 5 == 1, "requirements.txt").when(F.col("doc_id") % 5 == 2, "tests/test_a.py").when(F.col("doc_id") % 5 == 3, "package.json").otherwise("web/a.test.ts")
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z \\n]", ""), "[ \\n]+"), lambda w: w != "")
     listed = F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", ")
@@ -238,14 +238,25 @@ def _trees(spark, sf_dir):
     return units.select(F.concat(F.lit("t"), F.floor(F.col("doc_id") / 5)).alias("repo"), manifest.alias("path"), content.alias("content"))
 
 
-@query()
+_TREES = ctes("units") + r""", r AS (SELECT 't' || (doc_id // 5) AS repo, doc_id % 5 AS m, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), '[ \n]+'), lambda w: w <> '') AS w FROM units)"""
+
+
+@query(_TREES + """, asked AS (SELECT repo, 1 AS step, 0 AS place, 'setuptools>=40.8.0' AS said FROM r WHERE m = 0 UNION ALL SELECT repo, 1, 1, 'wheel' FROM r WHERE m = 0
+  UNION ALL SELECT repo, CASE m WHEN 0 THEN 2 ELSE 7 END, generate_subscripts(w, 1), unnest(w) FROM r WHERE m IN (0, 1)),
+once AS (SELECT repo, said, min(struct_pack(step := step, place := place)) AS first FROM asked WHERE NOT (lower(said) = 'p' AND repo IN (SELECT repo FROM r WHERE m = 0)) GROUP BY 1, 2)
+SELECT repo, nth - 1 AS "at", said AS requirement FROM (SELECT repo, said, row_number() OVER (PARTITION BY repo ORDER BY first, said) AS nth FROM once) WHERE nth <= 300""")
 def requirements(spark, sf_dir):
     return manifests.requirements(_trees(spark, sf_dir))
 
 
-@query()
+@query(_TREES + """, c AS (SELECT repo, count(*) FILTER (m = 2) AS py, count(*) FILTER (m = 4) AS js, count(*) FILTER (m = 0) > 0 AS config, count(*) FILTER (m = 3) > 0 AS script FROM r GROUP BY 1),
+d AS (SELECT *, config OR py > 0 AS python, script AND (NOT (config OR py > 0) OR js > py) AS wins FROM c)
+SELECT repo, CASE WHEN wins THEN 'vitest' WHEN python THEN 'pytest' END AS framework, py AS python_tests, js AS js_tests,
+ CASE WHEN wins THEN 'package.json scripts.test: vitest run' WHEN config AND py > 0 THEN 'pytest: [tool.pytest] in pyproject.toml, ' || py || ' test files' WHEN config THEN 'pytest: [tool.pytest] in pyproject.toml, no test file'
+  WHEN python THEN 'pytest: no configuration, ' || py || ' test files' ELSE 'no tests found' END AS reason,
+ CASE WHEN python AND script THEN 'two suites: ' || py || ' Python and ' || js || ' JavaScript test files; the larger one is run, Python where they are as many' ELSE '' END AS notes FROM d""")
 def frameworks(spark, sf_dir):
-    return manifests.frameworks(_trees(spark, sf_dir))
+    return manifests.frameworks(_trees(spark, sf_dir)).withColumn("notes", F.array_join("notes", "; "))
 
 
 @query(ctes("units") + r""", r AS (SELECT doc_id AS report_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || 'VERDICT ' || doc_id || ': Keep, ' || regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') || chr(10) || 'VERDICT 9:' WHEN doc_id % 3 = 1 THEN '> VERDICT 1: kill' ELSE 'VERDICT ' || doc_id || ': maybe' END AS t FROM units)
