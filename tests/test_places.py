@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +42,17 @@ def test_digest_is_that_of_blocks(rows):
     got = places.block_digest(rows, ["at"], F.col("at").cast("string"), block=16).first().digest
     assert got == sha("\n".join(level))
     assert places.block_digest(rows.where("false"), ["at"], F.col("at").cast("string")).first().digest == sha("")
+
+
+def test_values_carried_along_an_order(spark):
+    """Sums and last values of a group that lies in many partitions, beside columns of clashing names."""
+    r = random.Random(8)
+    rows = [(r.choice(["a", "a", "a", None, "b"]), i, r.choice([None, None, f"v{i}"]), r.randrange(9), 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, t int, v string, n int, at_part int").repartition(6)
+    got = {x.t: (x.total, x.latest, x.at_part) for x in places.running(df, ["g"], ["t"], {"total": "n"}, {"latest": "v"}).collect()}
+    want, state = {}, {}
+    for g, t, v, n, _ in rows:
+        total, latest = state.get(g, (0, None))
+        state[g] = (total + n, v or latest)
+        want[t] = (*state[g], 7)
+    assert got == want
