@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialized
+from tessera.operators.places import running
 
 #: Arcs of the ring: a power of two, so that an arc is the top bits of a key's hash.
 ARC_BITS = 16
@@ -89,7 +90,7 @@ def bounded_load_shards(rows: DataFrame, key: str, size: Column, shards: int = 8
     Returns key, size, shard, slot (gapless from 0 inside a shard) and the carried columns. Rows larger
     than a thousandth of a shard (at most 1000 * shards of them) are placed one by one, all others by
     their running byte offset inside their arc. A null key hashes like any other value. Rows with equal
-    keys are placed one by one. An empty input gives an empty result. `size` must be positive.
+    keys are placed one by one, however many they are. An empty input gives an empty result. `size` must be positive.
     """
     spark = rows.sparkSession
     extra = [f"c_{name}" for name in carry or {}]
@@ -99,7 +100,7 @@ def bounded_load_shards(rows: DataFrame, key: str, size: Column, shards: int = 8
             size.cast("long").alias("bytes"),
             F.xxhash64(F.col(key)).alias("h"),
             *[c.alias(f"c_{name}") for name, c in (carry or {}).items()],
-        ).withColumn("arc", F.shiftrightunsigned("h", 64 - arc_bits).cast("int"))
+        ).withColumn("arc", F.shiftrightunsigned("h", 64 - arc_bits).cast("int")).withColumn("tie", F.monotonically_increasing_id())
     )
     loads = {r.arc: r.bytes for r in narrow.groupBy("arc").agg(F.sum("bytes").alias("bytes")).collect()}  # at most 2^arc_bits rows
     least = sum(loads.values()) // (1000 * shards)
@@ -118,17 +119,17 @@ def bounded_load_shards(rows: DataFrame, key: str, size: Column, shards: int = 8
     placed_large = large.join(F.broadcast(spark.createDataFrame(single_plan, "h long, bytes long, nth int, shard int, slot long")), ["h", "bytes", "nth"])
 
     plan = spark.createDataFrame([(arc, a, b, shard, i) for i, (arc, a, b, shard) in enumerate(spans)], "arc int, from_byte long, to_byte long, shard int, segment int")
-    in_arc = Window.partitionBy("arc").orderBy("h", "k", "bytes", *extra)
-    placed = (
-        narrow.where(F.col("bytes") <= least)
-        .withColumn("start", F.sum("bytes").over(in_arc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
+    # running offsets come from range partitions, so an arc that holds one key very often lies in many
+    small = narrow.where(F.col("bytes") <= least).withColumn("one", F.lit(1).cast("long"))
+    order = running(small, ["arc"], ["h", "k", "bytes", *extra, "tie"], {"upto": "bytes", "nth": "one"})
+    placed = materialized(
+        order.withColumn("start", F.col("upto") - F.col("bytes"))
         .join(F.broadcast(plan), "arc")  # at most arcs + shards rows
         .where("start >= from_byte and start < to_byte")
     )
-    counts = placed.groupBy("segment", "shard").agg(F.count("*").alias("n"))  # at most arcs + shards rows
+    counts = placed.groupBy("segment", "shard").agg(F.count("*").alias("n"), F.min("nth").alias("first_nth"))  # at most arcs + shards rows
     first = spark.createDataFrame(list(enumerate(taken)), "shard int, taken long")
-    running = F.sum("n").over(Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0))
-    offsets = counts.join(F.broadcast(first), "shard").select("segment", (F.col("taken") + running - F.col("n")).alias("before"))
-    in_segment = Window.partitionBy("arc", "segment").orderBy("start")
-    placed_small = placed.join(F.broadcast(offsets), "segment").withColumn("slot", F.col("before") + F.row_number().over(in_segment) - 1)
+    so_far = F.sum("n").over(Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = counts.join(F.broadcast(first), "shard").select("segment", (F.col("taken") + so_far - F.col("n") - F.col("first_nth")).alias("before"))
+    placed_small = placed.join(F.broadcast(offsets), "segment").withColumn("slot", F.col("before") + F.col("nth"))
     return placed_large.select(*out).unionByName(placed_small.select(*out))
