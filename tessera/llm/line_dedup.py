@@ -191,7 +191,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def line_report(docs: DataFrame, **rule: int) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document.
+
+    A null or empty text is one empty line, which stays; repeated rows are each answered, and count as one
+    document; a null id counts as the smallest. Other columns are not looked at. An empty table gives no rows.
+    """
     own = docs.select("doc_id", "text")
     marked, keep = with_bitmaps(own, keep_bitmaps(own, **rule))
     digest = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, materialized, row_hash, slices, utf8
 
 SYMBOLS = b"#*$%&|<>"
+#: Marks that may stand before and after a plain word, and what may not stand inside it.
+AROUND = b"\"'()[]{}.,;:!?-"
+NOT_INSIDE = bytes(c for c in range(128) if not chr(c).isalpha() and chr(c) not in "-'")
 WINDOW = 8
-_LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_letter_words", "n_loud", "n_distinct_words", "top_word")
+_LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_letter_words", "n_plain_words", "n_loud", "n_distinct_words", "top_word")
 _SCHEMA = "doc long, rid long, " + ", ".join(f"{c} long" for c in _LONGS)
 
 _rng = np.random.default_rng(7)
@@ -58,17 +61,21 @@ def measure(text: bytes) -> tuple[int, ...]:
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    capital = letters = 0
+    capital = letters = plain = 0
     for w, k in counts.items():
         if w.isalpha():
             letters += k
+            plain += k
             capital += k * w.isupper()
-        elif not w.isascii() or w.translate(None, SYMBOLS + b"0123456789!?.,;:'\"()[]{}-_/=+@~^`\\"):
+            continue
+        core = w.strip(AROUND)
+        plain += k * (core != b"" and len(core.translate(None, NOT_INSIDE)) == len(core))
+        if not w.isascii() or w.translate(None, SYMBOLS + b"0123456789!?.,;:'\"()[]{}-_/=+@~^`\\"):
             letters += k
             capital += k * w.isupper()
     return (
         n, chars, sum(text.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))), len(lines) - len(set(lines)), repeat_words(words), len(lines),
-        capital, letters, text.count(b"!") + text.count(b"?"), len(counts), max(counts.values(), default=0),
+        capital, letters, plain, text.count(b"!") + text.count(b"?"), len(counts), max(counts.values(), default=0),
     )
 
 
@@ -107,7 +114,7 @@ def rules() -> list[Rule]:
 
     return [
         share("symbols", "n_symbols", words, 0.05, 0.2),
-        share("symbol density", "n_symbols", F.greatest("word_chars", F.lit(1)), 0.02, 0.08),
+        Rule("plain words", F.col("n_plain_words") >= 0.8 * words, F.col("n_plain_words") < 0.6 * words),
         share("capitals", "n_capital_words", words, 0.2, 0.5),
         share("loud marks", "n_loud", words, 0.05, 0.2),
         share("repeated words", "n_repeat_words", words, 0.1, 0.2),

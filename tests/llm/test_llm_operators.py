@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import collections
+import datetime
 import hashlib
 import itertools
 import random
@@ -398,6 +399,37 @@ def test_url_filter_keeps_a_state_for_each_category(spark):
 # ---- 6
 
 
+def test_url_filter_of_one_host_with_half_of_all_captures_and_many_changes(spark):
+    """One key with 400 changes of two categories and 3,000 captures, against a walk through its changes."""
+    r = random.Random(12)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    entries = [("hot.com", day(r.randrange(900)), r.choice(["add", "remove"]), r.choice(["x", "y"])) for _ in range(400)] + [("b.net", day(5), "add", "z")]
+    captures = [(i, r.choice([f"http://hot.com/{i}", f"https://www.hot.com/a{i % 7}"]), day(r.randrange(1000))) for i in range(3000)] + [(i, f"http://{i}.b.net/", day(i % 9)) for i in range(3000, 4000)]
+    got = url_filter.url_filter(spark.createDataFrame([(*c, "q", True) for c in captures], "capture_id long, url string, fetched_at date, state string, active boolean").repartition(7), spark.createDataFrame(entries, "key string, listed_at date, action string, category string"))
+    state = {}
+    for key, at, action, category in entries:
+        state.setdefault((key, category), {}).setdefault(at, []).append(action)
+    want = {}
+    for i, url, at in captures:
+        active = []
+        for (key, category), changes in state.items():
+            if key in url and (before := [t for t in changes if t <= at]) and "remove" not in changes[max(before)]:
+                active.append((len(key), key, category))
+        want[i] = max(active)[1:] if active else (None, None)
+    assert {x.capture_id: (x.matched_key, x.category) for x in got.collect()} == want
+    assert got.where("blocked = (matched_key is null)").count() == 0
+
+
+def test_sharding_of_one_key_with_half_of_all_rows(spark):
+    rows = spark.range(6000).selectExpr("if(id % 2 = 0, 7, id) AS k", "1 + id % 3 * 0 AS size", "id AS tie", "'x' AS arc")
+    got = sharding.bounded_load_shards(rows, "k", F.col("size"), shards=4, slack=0.001).collect()
+    slots = collections.defaultdict(list)
+    for x in got:
+        slots[x.shard].append(x.slot)
+    assert sum(map(len, slots.values())) == 6000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) <= 1.01 * 1500
+
+
 def test_sharding_balances_and_counts(spark, odd):
     rows = odd[1] + [(100 + i, words(1 + i % 40, i)) for i in range(800)] + [(None, "x"), (101, words(1 + 1 % 40, 1))]
     got = sharding.bounded_load_shards(clashing(spark, rows), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 1, carry={"crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}).collect()
