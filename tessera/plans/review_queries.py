@@ -103,7 +103,20 @@ def rendered_hunks(spark, sf_dir):
     return told.select("doc_id", F.md5("rendering").alias("rendering"), text.token_estimate(F.col("rendering")).alias("tokens"))
 
 
-@query()
+_CLIP = "CASE WHEN length({0}) > 200 THEN substr({0}, 1, 200) || ' [cut]' ELSE {0} END"
+
+
+@query(_FILES.replace("WITH", "WITH RECURSIVE", 1) + f""", rows_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, lpad(coalesce(CAST(CAST(line AS BIGINT) AS VARCHAR), ''), 5, ' ') || ' ' || marker || ' ' || {_CLIP.format('code')} AS row FROM hl),
+body AS (SELECT doc_id, string_agg(row, chr(10) ORDER BY nth) FILTER (nth <= 80) || CASE WHEN count(*) > 80 THEN chr(10) || '      ... ' || (count(*) - 80) || ' more lines of this hunk not shown' ELSE '' END AS body FROM rows_ GROUP BY 1),
+above AS (SELECT doc_id, path, lines, greatest(1, new_start - 10) AS a, least(new_start - 1, len(lines)) AS b FROM cut WHERE skip_reason IS NULL),
+blocks AS (SELECT r.repo, r.pr, r.rank, CAST(ceil(length('Hunk ' || r.rank || chr(10) || a.path || CASE WHEN b >= a.a THEN chr(10) || array_to_string(list_transform(range(a.a, b + 1), lambda i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' . ' || {_CLIP.format('lines[i][2:]')}), chr(10)) ELSE '' END || chr(10) || body) / 3) AS BIGINT) AS wide,
+  CAST(ceil(length('Hunk ' || r.rank || chr(10) || a.path || chr(10) || body) / 3) AS BIGINT) AS bare FROM ranked r JOIN above a ON a.doc_id = r.doc_id JOIN body ON body.doc_id = r.doc_id WHERE r.rank <= 8),
+first_ AS (SELECT DISTINCT repo, pr, CAST(0 AS BIGINT) AS rank, CAST(3500 AS BIGINT) AS room, false AS taken FROM blocks
+  UNION ALL SELECT b.repo, b.pr, b.rank, CASE WHEN b.bare <= f.room THEN f.room - b.bare ELSE f.room END, b.bare <= f.room FROM first_ f JOIN blocks b ON b.repo = f.repo AND b.pr = f.pr AND b.rank = f.rank + 1),
+second_ AS (SELECT repo, pr, CAST(0 AS BIGINT) AS rank, arg_max(room, rank) AS room, CAST(NULL AS INTEGER) AS variant FROM first_ GROUP BY 1, 2
+  UNION ALL SELECT b.repo, b.pr, b.rank, CASE WHEN t.taken AND b.wide - b.bare <= s.room THEN s.room - (b.wide - b.bare) ELSE s.room END, CASE WHEN t.taken AND b.wide - b.bare <= s.room THEN 0 WHEN t.taken THEN 1 END
+  FROM second_ s JOIN blocks b ON b.repo = s.repo AND b.pr = s.pr AND b.rank = s.rank + 1 JOIN first_ t ON t.repo = b.repo AND t.pr = b.pr AND t.rank = b.rank)
+SELECT s.repo, s.pr, s.rank AS position, s.variant, CASE s.variant WHEN 0 THEN b.wide WHEN 1 THEN b.bare END AS tokens FROM second_ s JOIN blocks b ON b.repo = s.repo AND b.pr = s.pr AND b.rank = s.rank""")
 def packed_blocks(spark, sf_dir):
     hunks = _hunks(spark, sf_dir)
     ranked = assembly.ranked_hunks(hunks, "repo", "pr").where("considered")
