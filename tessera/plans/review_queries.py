@@ -251,6 +251,27 @@ def _trees(spark, sf_dir):
     return units.select(F.concat(F.lit("t"), F.floor(F.col("doc_id") / 5)).alias("repo"), manifest.alias("path"), content.alias("content"))
 
 
+@query(ctes("drafts") + """ SELECT run_id, CASE run_id % 4 WHEN 0 THEN 'jest' WHEN 1 THEN 'vitest' WHEN 2 THEN 'node-test-spec' ELSE 'node-test-tap' END AS parser,
+ CASE WHEN run_id % 4 < 2 THEN 'case ' || line || ' > step ' || position ELSE 'case ' || line || ' step ' || position END AS test, 'failed' AS kind, path AS file, line, body AS message FROM drafts WHERE position < 25""")
+def runner_failures(spark, sf_dir):
+    """Failures as four other runners print them, read back; a run's output says by itself which runner it was."""
+    kind, rows = F.col("run_id") % 4, view(spark, sf_dir, "drafts")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name, path, at, said = F.concat(F.lit("case "), "line"), F.col("path"), F.col("line").cast("string"), F.col("body")
+    step = F.concat(F.lit("step "), "position")
+    told = (
+        F.when(kind == 0, line("FAIL ./", path, "\n  ● ", name, " › ", step, "\n\n    ", said, "\n\n      at check (node_modules/lib/run.js:9:1)\n      at Object.<anonymous> (", path, ":", at, ":7)\n"))
+        .when(kind == 1, line(" FAIL  ", path, " > ", name, " > ", step, "\n", said, "\n ❯ ", path, ":", at, ":5\n⎯⎯⎯⎯\n"))
+        .when(kind == 2, line("test at ", path, ":", at, ":1\n✖ ", name, " ", step, " (0.4ms)\n  ", said, "\n"))
+        .otherwise(line("not ok 1 - ", name, " ", step, "\n  ---\n  location: '/work/", path, ":", at, ":1'\n  error: '", said, "'\n  ...\n"))
+    )
+    joined = rows.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", told.alias("s")))), lambda x: x["s"]), "").alias("said"), F.count("*").cast("string").alias("n"))
+    head = F.when(kind == 2, F.concat(F.lit("ℹ fail "), "n", F.lit("\n✖ failing tests:\n\n"))).otherwise("")
+    tail = F.when(kind == 0, F.concat(F.lit("Test Suites: 1 failed\nTests:       "), "n", F.lit(" failed"))).when(kind == 1, F.concat(F.lit("      Tests  "), "n", F.lit(" failed"))).when(kind == 3, F.concat(F.lit("# fail "), "n")).otherwise("")
+    runs = joined.select("run_id", F.lit("unknown").alias("framework"), F.concat(head, "said", tail).alias("stdout"), F.lit("").alias("stderr"))
+    return evidence.failures(evidence.evidence(runs)).select("run_id", "parser", "test", "kind", "file", "line", "message")
+
+
 _TREES = ctes("units") + r""", r AS (SELECT 't' || (doc_id // 5) AS repo, doc_id % 5 AS m, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), '[ \n]+'), lambda w: w <> '') AS w FROM units)"""
 
 
