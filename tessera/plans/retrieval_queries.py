@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, dense, fusion, metrics
+from tessera.operators import balls, bm25, dense, fusion, metrics
 from tessera.plans.views import TOKENS, ctes, view
 from tessera.session import materialized, shared_dir
 
@@ -141,6 +141,27 @@ def dense_prefilter(spark, sf_dir):
     return _dense(spark, sf_dir, 10, "repo").select("query_id", "doc_id", "rank")
 
 
+def _ball_search(spark, sf_dir, k, same=None):
+    """The same search over a stored index of balls, built once an application and set of files."""
+    docs, queries = _vectors(spark, sf_dir)
+    held = (spark.sparkContext.applicationId, same, *sorted(_table(spark, sf_dir, "embeddings").inputFiles()))
+    if held not in _INDEXES:
+        path = f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex}"
+        balls.write_index(docs, path, same)
+        _INDEXES[held] = path
+    return _others(balls.search(spark, _INDEXES[held], queries, k + 1, same), k)
+
+
+@query(ORACLE_SQL["dense_topk"])
+def dense_balls(spark, sf_dir):
+    return _ball_search(spark, sf_dir, 10).select("query_id", "doc_id", "rank")
+
+
+@query(ORACLE_SQL["dense_prefilter"])
+def dense_balls_prefilter(spark, sf_dir):
+    return _ball_search(spark, sf_dir, 10, "repo").select("query_id", "doc_id", "rank")
+
+
 @query(_DENSE + """, share AS (SELECT query_id, avg(same::INT) AS share FROM s GROUP BY 1),
 got AS (SELECT query_id, budget, count(*) AS returned, list(doc_id) AS docs FROM post WHERE rank <= 10 GROUP BY 1, 2)
 SELECT budget, round(avg(coalesce(list_contains(docs, doc_id)::INT, 0)), 9) AS recall, round(avg(coalesce(returned, 0)), 9) AS mean_returned, round(avg((coalesce(returned, 0) < 10)::INT), 9) AS share_short, round(avg(share), 9) AS selectivity
