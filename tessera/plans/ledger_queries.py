@@ -10,7 +10,7 @@ from tessera.functions import ids
 from tessera.operators import corpus, ledgers
 from tessera.plans.views import ctes, view
 from tessera.session import shared_dir
-from tessera.sources import buckets, corpus_files, schemas
+from tessera.sources import buckets, corpus_files, digest_tree, schemas
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,6 +107,15 @@ def shard_diff(spark, sf_dir):
     return corpus.shard_changes(*(corpus.shard_digests(corpus.shards_by_rows(v, 40)) for v in (v1, v2)))
 
 
+@query("SELECT shard, change FROM (" + ORACLE_SQL["shard_diff"] + ") WHERE change <> 'unchanged'")
+def shard_diff_tree(spark, sf_dir):
+    """The shards that changed, from two stored trees of digests."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    for name, units in zip(("old", "new"), _versions(spark, sf_dir)):
+        digest_tree.write_tree(corpus.shard_digests(corpus.shards_by_rows(units, 40)), f"{root}/{name}", 2)
+    return digest_tree.changes(spark, f"{root}/old", f"{root}/new", 2)
+
+
 @query(_INDEX.replace("WITH", "WITH RECURSIVE", 1) + """, o AS (SELECT repo, kind, strlen(text) AS bytes, row_number() OVER (PARTITION BY repo, kind ORDER BY unit_id) AS n FROM v2),
 r AS (SELECT repo, kind, n, 1 AS held, bytes AS filled, 0 AS number FROM o WHERE n = 1
   UNION ALL SELECT o.repo, o.kind, o.n, CASE WHEN filled + bytes > 200000 OR held >= 100 THEN 1 ELSE held + 1 END, CASE WHEN filled + bytes > 200000 OR held >= 100 THEN bytes ELSE filled + bytes END,

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import buckets, corpus_files, schemas
+from tessera.sources import buckets, corpus_files, digest_tree, schemas
 from tessera.streaming import deliveries
 
 ROWS = "k long, v string"
@@ -79,3 +79,17 @@ def test_only_the_manifest_s_shards_are_opened(spark, tmp_path):
     assert corpus_files.read_corpus(spark, root, one.limit(0)).collect() == []
     with pytest.raises(FileNotFoundError):
         corpus_files.read_corpus(spark, root, one.union(spark.createDataFrame([("doc/gone",)], "shard string")))
+
+
+def test_trees_are_compared_where_they_differ(spark, tmp_path):
+    old = {f"s{i}": f"d{i}" for i in range(3000)}
+    new = {**old, "s7": "other", "added": "x"}
+    del new["s9"]
+    frame = lambda shards: spark.createDataFrame(sorted(shards.items()), "shard string, digest string").repartition(4)
+    for name, shards in (("old", old), ("new", new), ("same", old), ("none", {})):
+        digest_tree.write_tree(frame(shards) if shards else frame(old).limit(0), str(tmp_path / name), 3)
+    at = lambda name: str(tmp_path / name)
+    assert {tuple(r) for r in digest_tree.changes(spark, at("old"), at("new")).collect()} == {("s7", "written"), ("added", "written"), ("s9", "gone")}
+    assert [n.count() for n in digest_tree.differing(spark, at("old"), at("new"))] == [1, 3, 3, 3]
+    assert [n.count() for n in digest_tree.differing(spark, at("old"), at("same"))] == [0, 0, 0, 0]
+    assert digest_tree.changes(spark, at("none"), at("old")).count() == 3000 and digest_tree.changes(spark, at("none"), at("none")).count() == 0
