@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import assembly, chunking, diffs, evidence, ledgers, manifests
+from tessera.operators import assembly, chunking, diffs, evidence, ledgers, line_index, manifests
 from tessera.plans.views import TOKENS, ctes, view
+from tessera.session import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -143,9 +148,40 @@ _LINES = """WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM docu
 n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY doc_id, line) AS nth FROM m WHERE regexp_matches(raw, 'th(e|at) [a-z]+ion'))
 SELECT request_id, path, line, substr(regexp_replace(raw, '^\s+|\s+$', '', 'g'), 1, 200) AS said FROM n WHERE nth <= 20""")
 def grep_lines(spark, sf_dir):
+    return assembly.grep(_requested(spark, sf_dir), "th(e|at) [a-z]+ion").withColumn("line", F.col("line").cast("long"))
+
+
+def _requested(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    files = docs.select((F.col("doc_id") % 20).alias("request_id"), F.col("doc_id").alias("position"), F.concat(F.lit("d"), "doc_id").alias("path"), F.split("text", "\n").alias("lines"))
-    return assembly.grep(files, "th(e|at) [a-z]+ion").withColumn("line", F.col("line").cast("long"))
+    return docs.select((F.col("doc_id") % 20).alias("request_id"), F.col("doc_id").alias("position"), F.concat(F.lit("d"), "doc_id").alias("path"), F.split("text", "\n").alias("lines"))
+
+
+_LINE_INDEXES: dict[tuple, str] = {}
+
+
+def _line_index(spark, sf_dir) -> str:
+    """The folder of the documents' stored lines; built once an application and set of files."""
+    files = _requested(spark, sf_dir)
+    held = (spark.sparkContext.applicationId, *sorted(files.inputFiles()))
+    if held not in _LINE_INDEXES:
+        path, least = f"{shared_dir(spark)}/tessera-lines-{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism
+        line_index.write_index(files.repartition(least) if files.rdd.getNumPartitions() < least else files, path)  # few row groups are few tasks
+        _LINE_INDEXES[held] = path
+    return _LINE_INDEXES[held]
+
+
+#: Plain words, a letter that may lack, a group, a set, and alternatives, which the index cannot narrow.
+_PATTERNS = ["disgusting", "Licensed? ", "th(e|at) [a-z]+ation", "cióna?que [dl]", "einheit$|^Anquean"]
+
+
+@query(_LINES + f""", m AS (SELECT pattern, doc_id % 20 AS request_id, doc_id, 'd' || doc_id AS path, raw, line
+  FROM (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM f), (SELECT unnest({_PATTERNS}) AS pattern) WHERE regexp_matches(raw, pattern)),
+n AS (SELECT *, row_number() OVER (PARTITION BY pattern, request_id ORDER BY doc_id, line) AS nth FROM m)""" + r"""
+SELECT pattern, request_id, path, line, substr(regexp_replace(raw, '^\s+|\s+$', '', 'g'), 1, 200) AS said FROM n WHERE nth <= 20""")
+def grep_indexed(spark, sf_dir):
+    path = _line_index(spark, sf_dir)
+    found = [line_index.search(spark, path, p).select(F.lit(p).alias("pattern"), "request_id", "path", F.col("line").cast("long").alias("line"), "said") for p in _PATTERNS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(_LINES + """, r AS (SELECT doc_id AS request_id, 'd' || doc_id AS path, l, greatest(1, least(doc_id % 9, len(l))) AS a FROM f),
