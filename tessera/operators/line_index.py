@@ -1,9 +1,9 @@
 """Pattern search over a stored index of lines.
 
-Lines lie in blocks of 64; beside them stands, for each run of three characters, in which blocks it
-occurs. A pattern is asked for the plain characters that every match must hold; only the lines of blocks
-that hold all their runs of three are tried against the pattern. A pattern that gives none, such as one of
-alternatives, is tried against every line, so the rows are those of assembly.grep for every pattern.
+Lines lie in blocks of 64, each with the hashes of the runs of three characters in it. A pattern is asked
+for the plain characters that every match must hold; only the lines of blocks that hold all their runs of
+three are tried against it. A pattern that gives none, such as one of alternatives, is tried against
+every line, so the rows are those of assembly.grep for every pattern.
 """
 
 from __future__ import annotations
@@ -47,28 +47,25 @@ def triples(part: str) -> set[str]:
 
 
 def write_index(files: DataFrame, path: str) -> None:
-    """Store the lines of files (request_id, position, path, lines) in blocks, and the blocks of each run of three characters.
+    """Store files (request_id, position, path, lines) in blocks of lines, each with the hashes of its runs of three characters.
 
-    Null lines are left out; repeated rows are each kept. Blocks whose ids collide count as one block.
+    Null lines match nothing; repeated rows are each kept. Hashes that collide only keep a block that could have been left alone.
     """
-    lines = files.select("request_id", "position", "path", F.posexplode("lines").alias("at", "raw")).where("raw is not null")
-    lines.withColumn("block", F.xxhash64("request_id", "position", "path", F.floor(F.col("at") / BLOCK))).write.parquet(f"{path}/lines")
-    stored = files.sparkSession.read.parquet(f"{path}/lines")
-    # A look-ahead takes every position in one walk over the line, long lines included.
-    run = F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit("(?s)(?=(...))"), 1))).alias("triple")
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stored.select("block", run).distinct()
-    pairs.repartitionByRange(n, "triple", "block").sortWithinPartitions("triple", "block").write.parquet(f"{path}/triples")
+    starts = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1, F.lit(BLOCK)))
+    cut = F.transform(starts, lambda first: F.slice("lines", first + 1, F.lit(BLOCK)))
+    blocks = files.select("request_id", "position", "path", F.posexplode(cut).alias("nth", "lines"))
+    # A look-ahead takes every position in one walk, long lines included; runs over a line's end do no harm.
+    runs = F.array_distinct(F.regexp_extract_all(F.array_join("lines", "\n"), F.lit("(?s)(?=(...))"), 1))
+    blocks.withColumn("triples", F.transform(runs, lambda run: F.hash(run))).write.parquet(path)
 
 
 def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """The stored lines of blocks that may hold a match."""
-    lines = spark.read.parquet(f"{path}/lines")
-    asked = sorted(set().union(*map(triples, plain_parts(pattern))))
-    if not asked:
-        return lines
-    held = spark.read.parquet(f"{path}/triples").where(F.col("triple").isin(asked))
-    return lines.join(held.groupBy("block").count().where(F.col("count") == len(asked)), "block", "left_semi")
+    """The stored lines (request_id, position, path, at, raw) of blocks that may hold a match."""
+    blocks = spark.read.parquet(path)
+    for triple in sorted(set().union(*map(triples, plain_parts(pattern)))):
+        blocks = blocks.where(F.array_contains("triples", F.hash(F.lit(triple))))
+    lines = blocks.select("request_id", "position", "path", "nth", F.posexplode("lines").alias("within", "raw"))
+    return lines.where("raw is not null").select("request_id", "position", "path", (F.col("nth") * BLOCK + F.col("within")).alias("at"), "raw")
 
 
 def search(spark: SparkSession, path: str, pattern: str, most: int = 20) -> DataFrame:
