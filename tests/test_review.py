@@ -173,6 +173,13 @@ def test_output_readers(spark, framework, out, parser, failures, counts):
     assert got.parser == parser and [tuple(f) for f in got.failures] == failures and tuple(got.counts) == counts
 
 
+def test_output_is_split_into_lines_once(spark):
+    runs = spark.createDataFrame([(1, "unknown", "✖ other\ntest at a.js:3:4\n✖ t (1ms)\n  bad\nℹ fail 1", "")], "run_id int, framework string, stdout string, stderr string")
+    found = evidence.evidence(runs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") <= 1  # the titles of a summary's entries
+    assert [tuple(r) for r in evidence.failures(found).collect()] == [(1, "node-test-spec", "t", "failed", "a.js", 3, "bad")]
+
+
 def test_output_is_bounded_and_never_fails(spark):
     many = "short test summary info\n" + "\n".join(f"FAILED t.py::t{i} - no" for i in range(4000)) + "\n== 4000 failed in 1s"
     r = random.Random(1)
