@@ -194,6 +194,13 @@ def test_output_is_bounded_and_never_fails(spark):
     assert found.where("run_id = 1").first().parser is None
 
 
+def test_manifests_are_parsed_once(spark):
+    files = spark.createDataFrame([("r", "pyproject.toml", '[project]\nname = "p"\ndependencies = ["a"]\n')], "repo string, path string, content string")
+    found = manifests.requirements(files)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.requirement for r in found.orderBy("at").collect()] == ["setuptools>=40.8.0", "wheel", "a"]
+
+
 def test_requirements(spark):
     files = {
         "pyproject.toml": '[build-system]\nrequires = ["flit_core"]\n[project]\nname = "Cart_Tools"\ndependencies = ["attrs>=23", "cart-tools[dev]"]\n[project.optional-dependencies]\ndev = ["pyflakes", "x @ https://e.org/y.zip"]\n[dependency-groups]\ntest = ["pytest", {include-group = "more"}]\nmore = ["pyright"]\nlint = ["black"]\n',
