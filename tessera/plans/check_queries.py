@@ -47,12 +47,12 @@ def _serialised(spark, sf_dir):
     queries = rows.where("turn = 1").select(F.col("id").alias("query_id"), F.col("diff_hunk").alias("query"))
     said = {"body_only": F.col("body"), "with_hunk": F.concat(F.coalesce(F.concat("path", F.lit(" ")), F.lit("")), "diff_hunk", F.lit(" "), "body")}
     gold = queries.select("query_id", F.col("query_id").alias("doc_id"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
     out = None
     for name, body in said.items():
         docs = rows.select(F.col("id").alias("doc_id"), body.alias("text"))
-        asked = queries.select(F.explode(text.tokens(F.col("query"))).alias("term"))
-        found = bm25.top_k(bm25.scores(bm25.index(docs, only=asked), queries), 50)
-        recalls = metrics.recall_at(metrics.gold_ranks(found, gold)).select(F.lit("reviewed").alias("variant"), F.lit("bm25").alias("retriever"), F.lit(name).alias("serialisation"), "n", "recall_10", "recall_20")
+        places = bm25.gold_places(bm25.index(docs, only=asked), asked, gold, 20)
+        recalls = metrics.recall_at(gold.join(places, "query_id", "left"), ks=(10, 20)).select(F.lit("reviewed").alias("variant"), F.lit("bm25").alias("retriever"), F.lit(name).alias("serialisation"), "n", "recall_10", "recall_20")
         out = recalls if out is None else out.unionByName(recalls)
     return out
 

@@ -1,9 +1,11 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import bm25, dense, fusion, metrics
 
 RANKED = "query_id int, doc_id int, rank int"
@@ -150,3 +152,19 @@ def test_tokens_are_parts_of_identifiers(spark):
     said = ["parseHTTPHeader", "snake_case_name", "__init__", "_", "ABC", "ABc", "x1y", "v2", "Hello hello", "12ab", "a_1", "éa", "_x_Y_", ""]
     got = [r.t for r in spark.createDataFrame([(s,) for s in said], "s string").select(bm25.text.tokens(F.col("s")).alias("t")).collect()]
     assert got == [["parsehttpheader", "parse", "http", "header"], ["snake_case_name", "snake", "case", "name"], ["init"], [], ["abc"], ["abc", "a", "bc"], ["x1y", "x", "1", "y"], ["v2", "v", "2"], ["hello", "hello"], ["12", "ab"], ["a_1", "a", "1"], ["a"], ["x_y", "x", "y"], []]
+
+
+def test_gold_places_are_those_of_all_scores(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    said = [" ".join(r.choices(words, [1 / (i + 1) for i in range(60)], k=r.randrange(1, 30))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(said + said[:40])), "doc_id long, text string")
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 6), F.lit("w0 w1 w59")).alias("query"))
+    gold = queries.select("query_id", F.pmod(F.col("query_id") * 7, F.lit(190)).alias("doc_id")).where("query_id % 3 = 0").unionByName(queries.select("query_id", F.col("query_id").alias("doc_id")).where("query_id % 3 <> 0"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
+    postings = bm25.index(docs, only=asked)
+    all_ranks = bm25.top_k(bm25.scores(postings, queries), 20).join(gold, ["query_id", "doc_id"]).select("query_id", "rank")
+    wanted = {tuple(x) for x in all_ranks.collect()}
+    assert 20 < len(wanted) < 190
+    for budgets in ((), (3,), (5, 40)):
+        assert {tuple(x) for x in bm25.gold_places(postings, asked, gold, 20, budgets).collect()} == wanted
