@@ -5,8 +5,8 @@ that one long conversation lies in many tasks, choose the spans: a window takes
 beside the system turn, which every window repeats, and room for a limited history, the turns just before
 the span. Repeated turns carry no loss; each assistant turn is a target in the one window where it is new.
 The sums also cut a conversation into cells of `cell` budgets each, in which spans are chosen one after
-another; windows end where a cell does, so that no task walks through a whole conversation. Until the spans
-stand only keys and counts travel; texts are joined to the windows' members once.
+another; windows end where a cell does, so that no task walks through a whole conversation. Texts travel with
+their turns, twice: to the range partitions where they are counted, and to their cells, where windows are made.
 
 The template is `<|im_start|>` role, line feed, text, `<|im_end|>`, line feed. Inside roles and texts one
 backslash more is put between `<` and `|` wherever only backslashes stand between them, so no control string
@@ -47,66 +47,110 @@ def _role_back(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
-def _costs(turns: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(conv, turn, tie, cost, system): the tokens of each formatted turn."""
+def _counted(turns: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows dealt by range, written with their tokens: (part, conv, nth, so_far, cost, head, role, text).
+
+    nth and so_far are a turn's place and the tokens up to and with it among its conversation's rows of the range
+    partition; head is the tokens of the first of them, if that is a system turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        conv, nth, so_far, head = None, 0, 0, 0
         for batch in slices(batches, 512):
-            roles, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            cost = [len(a) + len(b) + FRAME for a, b in zip(own.encode_many(roles), own.encode_many(texts))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cost, pa.int64()), pa.array([r == "system" for r in roles])], names=["conv", "turn", "tie", "cost", "system"])
+            convs, roles, texts = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            costs = [len(a) + len(b) + FRAME for a, b in zip(own.encode_many(roles), own.encode_many(texts))]
+            out = []
+            for c, role, cost in zip(convs, roles, costs):
+                if not nth or c != conv:
+                    conv, nth, so_far, head = c, 0, 0, cost if role == "system" else 0
+                nth, so_far = nth + 1, so_far + cost
+                out.append((nth, so_far, cost, head))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in zip(*out))], names=["part", "conv", "role", "text", "nth", "so_far", "cost", "head"])
 
-    kind = dict(turns.dtypes)
-    return turns.select("conv", "turn", "tie", "role", "text").mapInArrow(run, f"conv {kind['conv']}, turn {kind['turn']}, tie string, cost long, system boolean")
+    dealt = turns.repartitionByRange("conv", "turn", "tie").sortWithinPartitions("conv", "turn", "tie").select(F.spark_partition_id().alias("part"), "conv", "role", "text")
+    return materialized(dealt.mapInArrow(run, f"part int, conv {dict(turns.dtypes)['conv']}, role string, text string, nth long, so_far long, cost long, head long"))
 
 
-def _placed(costs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with their place in the conversation, the tokens before them, and the system turn's tokens.
+def _placed(cut: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place in the conversation, the tokens before them, the system turn's tokens and their cell of
+    `width` tokens; and (of, total) of the conversations that are longer than a cell.
 
-    Also (part, of, head): for each range partition and conversation the key of the system turn, if any.
+    Only a range partition's first conversation has rows in an earlier one, so what is added is one row a partition.
     """
-    cut = materialized(costs.repartitionByRange("conv", "turn", "tie").withColumn("part", F.spark_partition_id()))
-    key = F.struct("turn", "tie")
-    own = cut.groupBy("part", "conv").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.min_by(F.struct("turn", "tie", "cost", "system"), key).alias("head"))
+    own = cut.groupBy("part", "conv").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.max("head").alias("head"))
     across = Window.partitionBy("conv").orderBy("part")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    head = F.first("head").over(across)
-    offsets = materialized(own.select(
-        "part", F.col("conv").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("cost_before"), F.when(head["system"], head).alias("head"),
-    ))
-    inside = Window.partitionBy("part", "conv").orderBy("turn", "tie")
-    numbered = cut.withColumn("nth", F.row_number().over(inside)).withColumn("so_far", F.sum("cost").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    o = offsets.withColumnRenamed("part", "of_part")
-    both = numbered.join(o, (F.col("part") == F.col("of_part")) & F.col("conv").eqNullSafe(F.col("of")))
+    offsets = own.select(
+        F.col("part").alias("of_part"), F.col("conv").alias("of"), F.sum("n").over(before).alias("n_before"), F.sum("cost").over(before).alias("cost_before"),
+        F.first("head").over(across).alias("first_head"), F.sum("cost").over(across).alias("total"),
+    )
+    offsets = materialized(offsets.where(F.col("n_before").isNotNull() | (F.col("total") > width)))
+    carried = offsets.where("n_before is not null").drop("total")
+    both = cut.join(F.broadcast(carried), (F.col("part") == F.col("of_part")) & F.col("conv").eqNullSafe(F.col("of")), "left")
     placed = both.select(
-        "conv", "turn", "tie", "cost", "part", (F.col("n_before") + F.col("nth")).alias("place"),
-        (F.col("cost_before") + F.col("so_far") - F.col("cost")).alias("before"), F.coalesce("head.cost", F.lit(0)).cast("long").alias("system_cost"),
+        "conv", "cost", "role", "text", (F.coalesce("n_before", F.lit(0)) + F.col("nth")).alias("place"),
+        (F.coalesce("cost_before", F.lit(0)) + F.col("so_far") - F.col("cost")).alias("before"), F.coalesce("first_head", "head").alias("system_cost"),
     )
-    return materialized(placed), offsets.select("part", "of", "head").where("head is not null")
+    return placed.withColumn("cell", F.expr(f"before div {width}")), offsets.groupBy("of").agg(F.max("total").alias("total")).where(F.col("total") > width)
+
+
+_WINDOW = "window long, n_repeated int, n_new int, n_tokens long, over_budget boolean, text string, loss array<struct<start:int,length:int>>"
 
 
-def _spans(placed: DataFrame, budget: int, history_tokens: int, cell: int) -> DataFrame:
-    """placed with `window`: the place of the first turn of the window in which a turn is new."""
+def _windows(placed: DataFrame, budget: int, history_turns: int, history_tokens: int) -> DataFrame:
+    """The windows of rows dealt by conversation and cell; rows that are not `own` are there to be repeated."""
+    told = ["conv", "cell", "place", "before", "cost", "system_cost", "role", "text", "own"]
+    kind = dict(placed.dtypes)["conv"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = used = room = window = None
-        for batch in batches:
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            out = []
-            for conv, own, place, cost, system in zip(*(batch.column(at[c]).to_pylist() for c in ("conv", "cell", "place", "cost", "system_cost"))):
-                if (conv, own) != group or used + cost > room:
-                    group, used, window = (conv, own), 0, place
-                    room = budget if place == 1 else budget - system - history_tokens
-                used += cost
-                out.append(window)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "window"])
+        group = system = window = None
+        old: list[tuple] = []  # the last turns before this one: place, before, cost, role, text
+        used = room = 0
+        conv_type = window_type = None
+
+        def made(conv, again: list[tuple], new: list[tuple]) -> tuple:
+            parts, loss, at = [], [], 0
+            for i, (_, _, _, role, text) in enumerate([*again, *new]):
+                if i >= len(again) and role == "assistant":
+                    loss.append({"start": at + len(START) + len(role) + 1, "length": len(text)})
+                parts.append(f"{START}{role}\n{text}{END}\n")
+                at += len(parts[-1])
+            tokens = sum(t[2] for t in again) + sum(t[2] for t in new)
+            return conv, new[0][0], len(again), len(new), tokens, tokens > budget, "".join(parts), loss
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            types = [conv_type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), window_type]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["conv", "window", "n_repeated", "n_new", "n_tokens", "over_budget", "text", "loss"])
+
+        window_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+        for batch in slices(batches):
+            conv_type, done = batch.schema.field(0).type, []
+            for conv, cell, place, before, cost, system_cost, role, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != (conv, cell):
+                    if window:
+                        done.append(made(group[0], *window))
+                    group, system, window, old = (conv, cell), None, None, []
+                turn = (place, before, cost, role, text)
+                if own:
+                    if window is None or used + cost > room:
+                        if window:
+                            done.append(made(conv, *window))
+                        again = [t for t in old if t[0] >= place - history_turns and before - t[1] <= history_tokens and t[0] > (system_cost > 0)]
+                        window, used = ([system] * (place > 1 and system_cost > 0) + again, []), 0
+                        room = budget if place == 1 else budget - system_cost - history_tokens
+                    used += cost
+                    window[1].append(turn)
+                if place == 1:
+                    system = turn
+                old = [*old, turn][-history_turns:] if history_turns else []
+            if done:
+                yield packed(done)
+        if window:
+            yield packed([made(group[0], *window)])
 
-    cells = placed.withColumn("cell", F.floor(F.col("before") / (cell * budget)))
-    dealt = cells.repartition("conv", "cell").sortWithinPartitions("conv", "cell", "place")
-    schema = ", ".join(f"{name} {kind}" for name, kind in dealt.dtypes)
-    return dealt.mapInArrow(run, f"{schema}, window long").drop("cell")
+    dealt = placed.select(told).repartition("conv", "cell").sortWithinPartitions("conv", "cell", "place")
+    return dealt.mapInArrow(run, f"conv {kind}, {_WINDOW}")
 
 
 def chat_windows(
@@ -127,44 +171,17 @@ def chat_windows(
     """
     base = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     turns = base.withColumns({"role": _role_out(F.col("role")), "text": escaped(F.col("text"))})
-    turns = turns.withColumn("tie", F.sha2(F.concat("role", F.lit("\n"), "text").cast("binary"), 256))
-    placed, heads = _placed(materialized(_costs(turns, path, pattern)))  # sampling for ranges would count again
-    new = materialized(_spans(placed, budget, history_tokens, cell))
-    starts = new.where("place = window").select("conv", "window", "before", "part", "system_cost")
-    back = starts.select(F.col("conv").alias("of"), "window", F.col("before").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("step"), "system_cost") if history_turns else None
-    members = new.select("conv", "window", "place", "turn", "tie", "cost", F.lit(False).alias("repeated"))
-    if back is not None:
-        back = back.select("of", "window", "start", (F.col("window") - F.col("step")).alias("at")).where((F.col("at") > F.when(F.col("system_cost") > 0, 1).otherwise(0)))
-        met = back.join(new.drop("window"), (F.col("at") == F.col("place")) & F.col("of").eqNullSafe(F.col("conv")))
-        members = members.unionByName(met.where(F.col("start") - F.col("before") <= history_tokens).select("conv", "window", "place", "turn", "tie", "cost", F.lit(True).alias("repeated")))
-    texts = turns.groupBy(F.col("conv").alias("t_conv"), F.col("turn").alias("t_turn"), F.col("tie").alias("t_tie")).agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    same = lambda conv, turn, tie: (F.col(tie) == F.col("t_tie")) & F.col(conv).eqNullSafe(F.col("t_conv")) & F.col(turn).eqNullSafe(F.col("t_turn"))
-    told = ["conv", "window", "place", "repeated", "cost", "role", "text"]
-    own = members.join(texts, same("conv", "turn", "tie")).select(told)
-    # the system turn reaches the windows by range partition, so a conversation's many windows share no key
-    known = heads.select("part", "of", "head.turn", "head.tie", F.col("head.cost").alias("cost")).join(texts, same("of", "turn", "tie"))
-    known = known.select(F.col("part").alias("of_part"), "of", "cost", "role", "text")
-    again = starts.where("window > 1").join(known, (F.col("part") == F.col("of_part")) & F.col("conv").eqNullSafe(F.col("of")))
-    own = own.unionByName(again.select("conv", "window", F.lit(1).cast("long").alias("place"), F.lit(True).alias("repeated"), "cost", "role", "text"))
-    windows = own.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("place", "repeated", "role", "text", "cost"))).alias("turns"))
-    shown = F.transform("turns", lambda x: F.concat(F.lit(START), x["role"], F.lit("\n"), x["text"], F.lit(END + "\n")))
-    head = lambda x: F.length(x["role"]) + len(START) + 1
-    whole = lambda x: head(x) + F.length(x["text"]) + len(END) + 1
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + whole(x)).alias("at"),
-            F.when(~x["repeated"] & (x["role"] == "assistant"), F.concat(s["spans"], F.array(F.struct((s["at"] + head(x)).alias("start"), F.length(x["text"]).alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    repeated = F.size(F.filter("turns", lambda x: x["repeated"]))
-    tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda s, x: s + x["cost"])
-    return windows.select(
-        "conv", "window", repeated.alias("n_repeated"), (F.size("turns") - repeated).alias("n_new"), tokens.alias("n_tokens"), (tokens > budget).alias("over_budget"),
-        F.array_join(shown, "").alias("text"), spans.alias("loss"),
-    )
+    turns = turns.withColumn("tie", F.unhex(F.sha2(F.concat("role", F.lit("\n"), "text").cast("binary"), 256)))
+    width = cell * budget
+    placed, longer = _placed(_counted(turns, path, pattern), width)
+    own = placed.withColumn("own", F.lit(True))
+    # a cell's first window may repeat turns of the cells before, all within history_tokens, and the system turn
+    after = F.expr(f"(before + {history_tokens}) div {width}")
+    back = own.where((F.lit(history_turns) > 0) & (after > F.col("cell")) & ((F.col("place") > 1) | (F.col("system_cost") == 0)))
+    back = back.withColumn("cell", F.explode(F.sequence(F.col("cell") + 1, after)))
+    heads = own.where("place = 1 and system_cost > 0").join(longer, F.col("conv").eqNullSafe(F.col("of")))
+    heads = heads.withColumn("cell", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"total div {width}")))).drop("of", "total")
+    return _windows(own.unionByName(back.unionByName(heads).withColumn("own", F.lit(False))), budget, history_turns, history_tokens)
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -117,3 +117,15 @@ def test_empty_table(spark):
     path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([], SCHEMA)
     assert chat.conversation_report(chat.read_back(chat.chat_windows(df, path, pattern))).collect() == []
+
+
+@pytest.mark.parametrize("options", [(60, 3, 500, 1), (40, 2, 90, 2)])
+def test_history_reaches_over_several_cells_of_one_pass(spark, options):
+    path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
+    rows = conversations(options[0])
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA).repartition(5)
+    windows = chat.chat_windows(df, path, pattern, **dict(zip(("budget", "history_turns", "history_tokens", "cell"), options)))
+    got = {(r.conv, r.window): (r.n_repeated, r.n_new, r.text, [tuple(x) for x in r.loss]) for r in windows.collect()}
+    assert got == plain_windows(rows, chat.codec(path, pattern), *options)
+    moved = [line for line in windows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Repartition" in line or "Join" in line or "Aggregate" in line]
+    assert sum("Repartition" in line for line in moved) == 1 and sum("Join" in line for line in moved) <= 4, moved  # texts meet windows in no join of their own
