@@ -28,7 +28,7 @@ def codes(*terms: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
 def lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     """The flat values of a column of lists, and the row each comes from."""
     n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
-    return pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], column.type.value_type), np.repeat(np.arange(len(n)), n)
+    return pa.concat_arrays([pa.array([], column.type.value_type), *(c.flatten() for c in column.chunks if len(c))]), np.repeat(np.arange(len(n)), n)
 
 
 def best(q: Entries, d: Entries, n_q: int, n_d: int, k: int, tie: np.ndarray, limits: np.ndarray | None = None, dtype: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

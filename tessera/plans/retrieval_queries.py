@@ -55,7 +55,7 @@ def documents_index(spark, sf_dir) -> str:
 
 def _bm25(spark, sf_dir, k=100):
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return bm25.search(spark, documents_index(spark, sf_dir), queries, k)
+    return bm25.search_all(spark, documents_index(spark, sf_dir), queries, k)
 
 
 def _passage_gold(spark, sf_dir):

@@ -137,6 +137,18 @@ def test_search_of_a_stored_index_equals_all_scores(spark, tmp_path, k, first):
     assert got == sorted(map(row, bm25.top_k(bm25.scores(bm25.index(docs), queries), k).collect())) and got
 
 
+@pytest.mark.parametrize(("k", "group", "held", "asked"), [(5, 16, 400_000, 4096), (150, 3, 900, 4), (1, 1, 50, 4)])
+def test_blocks_met_as_matrices_give_the_rows_of_all_scores(spark, tmp_path, monkeypatch, k, group, held, asked):
+    monkeypatch.setattr(bm25, "QUERIES", asked)
+    docs, queries = clustered(spark)
+    bm25.write_index(docs, str(tmp_path / "ix"), width=50)
+    postings = bm25.index(docs)
+    row = lambda df: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in df.collect())
+    want = row(bm25.top_k(bm25.scores(postings, queries), k))
+    assert row(bm25.search_all(spark, str(tmp_path / "ix"), queries, k, group=group)) == want and want
+    assert row(bm25.top_scores(postings, queries, k, held=held)) == want
+
+
 def test_blocks_that_cannot_matter_are_not_scored(spark, tmp_path):
     docs, queries = clustered(spark)
     bm25.write_index(docs, str(tmp_path / "ix"), width=50)
