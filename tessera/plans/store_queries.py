@@ -82,7 +82,7 @@ def benchmark_run(spark, sf_dir):
     _passage_gold(spark, sf_dir).select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.lit(1).alias("score")).write.parquet(f"{root}/qrels")
     docs, queries, qrels = corpus_files.read_benchmark(spark, root)
     asked = queries.select(F.explode(text.tokens(F.col("query"))).alias("term"))
-    found = bm25.top_k(bm25.scores(bm25.index(docs, only=asked), queries), 10)
+    found = bm25.top_scores(bm25.index(docs, only=asked), queries, 10)
     return found.join(qrels, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", F.coalesce("gain", F.lit(0)).alias("gain"))
 
 
