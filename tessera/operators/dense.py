@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of the vectors of one block: what is broadcast at most, and what a task holds of either side.
+#: Bytes of one block, vectors and the best found for them: what is broadcast at most, and what a task holds of either side.
 BLOCK_BYTES = 32 << 20
+#: Vectors of a block at most, so that short ones are many blocks too.
+BLOCK_ROWS = 1 << 16
 
 
 def unit(vector: Column) -> Column:
@@ -30,7 +32,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None)
     extra = [same] if same else []
     docs, queries = docs.where("vector is not null").select("doc_id", "vector", *extra), queries.where("vector is not null").select("query_id", "vector", *extra)
     n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    found = _one_pass(docs, queries, k, same) if n * dim * 8 <= BLOCK_BYTES else _by_blocks(docs, queries, k, same, n, dim)
+    found = _one_pass(docs, queries, k, same) if n * (dim + 2 * k) * 8 <= BLOCK_BYTES else _by_blocks(docs, queries, k, same, n, dim)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -44,14 +46,41 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, held: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best documents of each query, those held before included."""
-    s = np.round(q @ x.T, 12)
-    d = np.broadcast_to(ids, s.shape)
+def best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, held: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best documents of each query, those held before included.
+
+    Only scores that reach the k-th best are rounded and sorted.
+    """
+    s = q @ x.T
+    n = s.shape[1]
+    if s.size and np.isnan(s.min()):
+        d, s = np.broadcast_to(ids, s.shape), np.round(s, 12)
+        if held is not None:
+            d, s = np.hstack([held[0], d]), np.hstack([held[1], s])
+        order = np.lexsort((d, -s))[:, :k]
+        return np.take_along_axis(d, order, 1), np.take_along_axis(s, order, 1)
+    if full := held is not None and held[0].shape[1] >= k:
+        least = held[1][:, k - 1, None]
+        if np.isnan(least).any():
+            least, full = np.full(least.shape, -np.inf), False
+    elif n > k:
+        least = np.partition(s, n - k, axis=1)[:, n - k, None]
+    else:
+        least = np.full((len(s), 1), -np.inf)
+    r, c = np.nonzero(s >= least - (1e-12 + 1e-15 * np.where(np.isfinite(least), np.abs(least), 0)))
+    score = np.round(s[r, c], 12)
+    if full:
+        first = (score > least[r, 0]) | (score == least[r, 0]) & (ids[c] < held[0][r, k - 1])
+        r, c, score = r[first], c[first], score[first]
+        if not len(r):
+            return held
+    d = ids[c]
     if held is not None:
-        d, s = np.hstack([held[0], d]), np.hstack([held[1], s])
-    order = np.lexsort((d, -s))[:, :k]
-    return np.take_along_axis(d, order, 1), np.take_along_axis(s, order, 1)
+        r, d, score = np.concatenate([np.repeat(np.arange(len(s)), held[0].shape[1]), r]), np.concatenate([held[0].ravel(), d]), np.concatenate([held[1].ravel(), score])
+    order = np.lexsort((d, -score, r))
+    r, d, score = r[order], d[order], score[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return d[first].reshape(len(s), -1), score[first].reshape(len(s), -1)
 
 
 def _one_pass(docs: DataFrame, queries: DataFrame, k: int, same: str | None) -> DataFrame:
@@ -75,7 +104,7 @@ def _one_pass(docs: DataFrame, queries: DataFrame, k: int, same: str | None) ->
                 if not len(own_ids):
                     continue
                 for a in range(0, len(qids), 256):
-                    kept[g, a] = _best(q[a : a + 256], own_ids, own, k, kept.get((g, a)))
+                    kept[g, a] = best(q[a : a + 256], own_ids, own, k, kept.get((g, a)))
         for (g, a), (d, s) in kept.items():
             q = np.repeat(shared.value[g][0][a : a + 256], d.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d.ravel()), pa.array(s.ravel())], names=["query_id", "doc_id", "score"])
@@ -83,10 +112,14 @@ def _one_pass(docs: DataFrame, queries: DataFrame, k: int, same: str | None) ->
     return docs.mapInArrow(run, _found(docs, queries))
 
 
+def blocks(n: int, width: int) -> int:
+    """Blocks of n rows of `width` numbers each."""
+    return max(1, -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))))
+
+
 def _by_blocks(docs: DataFrame, queries: DataFrame, k: int, same: str | None, n: int, dim: int) -> DataFrame:
     """Blocks of queries meet blocks of documents, each pair of blocks in one group of a task."""
-    fit = max(1, BLOCK_BYTES // (8 * dim))  # vectors of a block
-    q_blocks, d_blocks = -(-n // fit), max(1, -(-docs.count() // fit))
+    q_blocks, d_blocks = blocks(n, dim + 2 * k), blocks(docs.count(), dim)
     key = ["qb", "db", *([same] if same else [])]
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("db", every(d_blocks))
@@ -99,10 +132,10 @@ def _by_blocks(docs: DataFrame, queries: DataFrame, k: int, same: str | None, n:
             qids, ids = left["query_id"].to_numpy(), right["doc_id"].to_numpy()
             q, x = _matrix(left["vector"], len(qids)), _matrix(right["vector"], len(ids))
             for a in range(0, len(qids), 256):
-                best = None
+                kept = None
                 for b in range(0, len(ids), 4096):
-                    best = _best(q[a : a + 256], ids[b : b + 4096], x[b : b + 4096], k, best)
-                out.append(pa.table([np.repeat(qids[a : a + 256], best[0].shape[1]), best[0].ravel(), best[1].ravel()], names=schema.names).cast(schema))
+                    kept = best(q[a : a + 256], ids[b : b + 4096], x[b : b + 4096], k, kept)
+                out.append(pa.table([np.repeat(qids[a : a + 256], kept[0].shape[1]), kept[0].ravel(), kept[1].ravel()], names=schema.names).cast(schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(run, _found(docs, queries))

@@ -50,6 +50,30 @@ def test_dense_equals_brute_force(spark, block, monkeypatch):
             assert [got[q][i] for i in range(1, 8)] == want
 
 
+def test_the_best_found_count_towards_a_block(spark, monkeypatch):
+    """Few queries with deep lists are no broadcast block: their lists would fill every worker."""
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 30 * 8 * 8)
+    monkeypatch.setattr(dense, "_one_pass", lambda *a: pytest.fail("all lists in one task"))
+    docs = spark.createDataFrame([(i, [float(i % 7), *[1.0] * 7]) for i in range(200)], "doc_id int, vector array<double>")
+    got = dense.top_k(docs, docs.where("doc_id < 30").withColumnRenamed("doc_id", "query_id"), 40)
+    assert got.count() == 30 * 40 and {tuple(r) for r in got.where("rank = 1 and query_id = 6").select("doc_id", "score").collect()} == {(6, 43.0)}
+
+
+@pytest.mark.parametrize("k", [1, 5, 60])
+def test_best_of_batches_is_the_best_of_all(k):
+    r = np.random.default_rng(3)
+    x, ids = np.round(r.normal(size=(400, 3)), 1), r.permutation(400)  # many ties
+    q = np.round(r.normal(size=(20, 3)), 1)
+    x[17] = np.nan
+    for rows in (np.arange(400), np.delete(np.arange(400), 17)):
+        kept = None
+        for part in np.array_split(rows, 9):
+            kept = dense.best(q, ids[part], x[part], k, kept)
+        s = np.round(q @ x[rows].T, 12)
+        order = np.lexsort((np.broadcast_to(ids[rows], s.shape), -s))[:, :k]
+        assert (kept[0] == ids[rows][order]).all() and (kept[1] == np.take_along_axis(s, order, 1)).all()
+
+
 def test_post_filter_needs_deep_candidates(spark):
     docs = spark.createDataFrame([(i, "a" if i == 59 else "b") for i in range(100)], "doc_id int, repo string")
     queries = spark.createDataFrame([(0, "a")], "query_id int, repo string")
