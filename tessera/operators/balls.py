@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.operators import dense
 from tessera.operators.places import numbered
 from tessera.session import materialized
 
@@ -142,3 +144,46 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, same: str
     rest = shell_scores(spark, path, own, plan.where("part = 1").select("query_id", *extra, "ball", "shell"), k, extra)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return found.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_all(spark: SparkSession, path: str, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+    """search, for queries that grow with the documents: blocks of queries meet blocks of shells, and no row stands for a query and a shell.
+
+    In a task a query's shells come in order of their bounds, and those that cannot reach its k-th best score are passed over.
+    """
+    extra = [same] if same else []
+    own = materialized(queries.where("vector is not null").select("query_id", "vector", *extra))
+    shells = spark.read.parquet(f"{path}/shells").select(*extra, "ball", "near", "far", "ids", "flat")
+    shared = spark.sparkContext.broadcast(np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("ball").collect()], float))  # CENTRES at most
+    n, dim = own.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    n_qb, n_db = dense.blocks(n, dim + 2 * k), dense.blocks(shells.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0], dim)
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    left = own.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb))).withColumn("db", every(n_db))
+    right = shells.withColumn("db", F.pmod(F.xxhash64("ball"), F.lit(n_db))).withColumn("qb", every(n_qb))
+    kinds = {"query_id": own.schema["query_id"].dataType, "doc_id": shells.schema["ids"].dataType.elementType}
+    schema = pa.schema([*((name, to_arrow_type(kind)) for name, kind in kinds.items()), ("score", pa.float64())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and held.num_rows:
+            qids, q = asked["query_id"].to_numpy(), np.array(asked["vector"].to_pylist(), float)
+            ball, near, far = (held[c].to_numpy() for c in ("ball", "near", "far"))
+            ids = [x.values.to_numpy(zero_copy_only=False) for x in held["ids"]]
+            flat = [x.values.to_numpy(zero_copy_only=False).reshape(len(i), -1) for x, i in zip(held["flat"], ids)]
+            for a in range(0, len(qids), 256):
+                part = q[a : a + 256]
+                angle = np.arccos(np.clip(part @ shared.value.T, -1, 1))[:, ball]
+                bound = np.cos(np.maximum(0, np.maximum(angle - far, near - angle))) + MARGIN
+                kept = None
+                for i in np.argsort(-bound.mean(0), kind="stable"):
+                    if kept is None or kept[0].shape[1] < k:
+                        kept = dense.best(part, ids[i], flat[i], k, kept)
+                    elif len(reach := np.flatnonzero(bound[:, i] >= kept[1][:, -1])):
+                        kept[0][reach], kept[1][reach] = dense.best(part[reach], ids[i], flat[i], k, (kept[0][reach], kept[1][reach]))
+                out.append(pa.table([np.repeat(qids[a : a + 256], kept[0].shape[1]), kept[0].ravel(), kept[1].ravel()], names=schema.names).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    key = [*extra, "qb", "db"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, f"query_id {kinds['query_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -149,7 +149,7 @@ def _ball_search(spark, sf_dir, k, same=None):
         path = f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex}"
         balls.write_index(docs, path, same)
         _INDEXES[held] = path
-    return _others(balls.search(spark, _INDEXES[held], queries, k + 1, same), k)
+    return _others(balls.search_all(spark, _INDEXES[held], queries, k + 1, same), k)
 
 
 @query(ORACLE_SQL["dense_topk"])

@@ -40,3 +40,19 @@ def test_no_documents(spark, tmp_path):
     docs, queries = clustered(spark, 100)
     balls.write_index(docs.limit(0), str(tmp_path / "ix"))
     assert balls.search(spark, str(tmp_path / "ix"), queries, 3).collect() == []
+
+
+@pytest.mark.parametrize(("same", "spread", "k", "rows"), [(None, 0.05, 7, 300), ("repo", 0.05, 7, 20), (None, 5.0, 3, 1 << 16), (None, 0.01, 300, 500)])
+def test_blocks_of_queries_and_shells_give_the_full_search(spark, tmp_path, monkeypatch, same, spread, k, rows):
+    monkeypatch.setattr(dense, "BLOCK_ROWS", rows)
+    docs, queries = clustered(spark, spread=spread)
+    balls.write_index(docs, str(tmp_path / "ix"), same, shell=32, sample=500)
+    key = lambda r: (r.query_id, r["rank"], r.doc_id, round(r.score, 9))
+    got = sorted(map(key, balls.search_all(spark, str(tmp_path / "ix"), queries, k, same).collect()))
+    assert got == sorted(map(key, dense.top_k(docs, queries, k, same).collect())) and got
+
+
+def test_no_documents_in_blocks(spark, tmp_path):
+    docs, queries = clustered(spark, 100)
+    balls.write_index(docs.limit(0), str(tmp_path / "ix"))
+    assert balls.search_all(spark, str(tmp_path / "ix"), queries, 3).collect() == []
