@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialized
+
 # Pull request actions that start work.
 ACTIONS = ("opened", "synchronize", "reopened", "ready_for_review")
 MAX_COMMENTS = 3
@@ -52,17 +56,23 @@ def slots(offers: DataFrame, ledger: DataFrame, most: int = MAX_COMMENTS) -> Dat
     """(repo, pr, path, line, nth, slot): a slot for each offered comment, in order, or null.
 
     One comment a line, `most` a pull. A line of the ledger gives no slot and uses none; a slot whose
-    posting failed stays spent.
+    posting failed stays spent. Offers are read three times and neither sorted nor moved: only each line's first
+    goes on, and what is granted, at most `most` a pull, is joined back.
     """
     place = ["repo", "pr", "path", "line"]
-    taken = ledger.select(*place, F.lit(True).alias("taken")).distinct()
+    taken = ledger.select(*place).distinct()
     used = ledger.groupBy("repo", "pr").agg(F.count("*").alias("used"))
-    on_line = F.row_number().over(Window.partitionBy(*place).orderBy("nth"))
-    free = F.col("taken").isNull() & (F.col("on_line") == 1)
-    joined = offers.join(taken, place, "left").join(used, ["repo", "pr"], "left").withColumn("on_line", on_line)
-    running = F.sum(free.cast("long")).over(Window.partitionBy("repo", "pr").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
-    slot = F.coalesce("used", F.lit(0)) + running
-    return joined.select(*place, "nth", F.when(free & (slot <= most), slot).alias("slot"))
+    # a number that is null comes first
+    least = F.when(F.max(F.col("nth").isNull().cast("int")) == 0, F.min("nth")).alias("first")
+    first = offers.groupBy(*place).agg(least).join(taken, place, "left_anti").join(used, ["repo", "pr"], "left")
+    slot = F.coalesce("used", F.lit(0)) + F.row_number().over(Window.partitionBy("repo", "pr").orderBy("first"))
+    granted = materialized(first.select(*[F.col(c).alias(f"of_{c}") for c in place], F.col("first").alias("of_nth"), slot.alias("slot")).where(F.col("slot") <= most))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*place, "nth")])
+    told = [*place, "nth"]
+    # offers that are alike share a line and a number: one of them has the slot
+    alike = F.row_number().over(Window.partitionBy(*place).orderBy("nth"))
+    hits = offers.select(told).join(granted, same).select(*told, F.when(alike == 1, F.col("slot")).alias("slot"))
+    return hits.unionByName(offers.select(told).join(granted, same, "left_anti").withColumn("slot", F.lit(None).cast("long")))
 
 
 def settled(ledger: DataFrame, results: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ids
 from tessera.operators import corpus, ledgers
 from tessera.plans.views import ctes, view
-from tessera.session import shared_dir
+from tessera.session import materialized, shared_dir
 from tessera.sources import buckets, corpus_files, digest_tree, schemas
 
 QUERIES: dict = {}
@@ -251,7 +251,7 @@ f AS (SELECT o.*, h.line IS NULL AND row_number() OVER (PARTITION BY o.repo, o.p
 s AS (SELECT *, used + sum(free::INT) OVER (PARTITION BY repo, pr ORDER BY nth) AS slot FROM f)
 SELECT repo, pr, path, line, nth, CASE WHEN free AND slot <= 3 THEN CAST(slot AS BIGINT) END AS slot FROM s""")
 def slot_ledger(spark, sf_dir):
-    offers = view(spark, sf_dir, "offers")
+    offers = materialized(view(spark, sf_dir, "offers"))  # numbered once
     return ledgers.slots(offers, offers.where("pr % 3 = 0 and line = 2").select("repo", "pr", "path", "line").distinct())
 
 
