@@ -86,6 +86,13 @@ def hunk_lines(hunks: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def new_lines(hunks: DataFrame, *key: str) -> DataFrame:
+    """(key.., path, line): the lines of hunk_lines that have a number, found inside each hunk's row, so nothing is moved or sorted."""
+    counted = F.filter("lines", lambda x: ~marker(x).isin("-", "\\"))
+    rows = hunks.select(*key, "path", "new_start", F.size(counted).alias("n")).where("n > 0")
+    return rows.select(*key, "path", F.explode(F.sequence(F.col("new_start").cast("long"), F.col("new_start") + F.col("n") - 1)).alias("line"))
+
+
 def added_lines(hunk: Column) -> Column:
     return F.size(F.filter(hunk, lambda x: x.startswith("+")))
 

@@ -228,3 +228,27 @@ def test_regressions_need_clean_runs(spark):
     base = spark.createDataFrame([(1, "b")], "run_id int, test string")
     runs = spark.createDataFrame([(1, True, True), (2, True, False)], "run_id int, head_ok boolean, base_ok boolean")
     assert [tuple(r) for r in evidence.regressions(head, base, runs).collect()] == [(1, "a")]
+
+
+def test_lines_of_the_new_file_are_found_without_moving_them(spark):
+    from tessera.operators import diffs
+
+    rows = [(1, "a", 5, ["+x", "-y", " z", "", "\\\\ no end", "+w"]), (2, "b", 1, ["-only"]), (3, "c", 9, []), (4, "d", 1, ["+1"] * 50)]
+    hunks = spark.createDataFrame(rows, "doc_id int, path string, new_start int, lines array<string>")
+    found = diffs.new_lines(hunks, "doc_id")
+    want = diffs.hunk_lines(hunks, "doc_id").where("line is not null").select("doc_id", "path", "line")
+    assert found.schema["line"].dataType == want.schema["line"].dataType
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 54
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_considered_hunks_are_rendered(spark, monkeypatch):
+    from tessera.operators import assembly
+    from tessera.plans import review_queries
+
+    seen, plain = [], assembly.rendered
+    monkeypatch.setattr(assembly, "rendered", lambda hunks, *a, **b: seen.append(hunks.groupBy("repo", "pr").count().agg({"count": "max"}).first()[0]) or plain(hunks, *a, **b))
+    rows = [(350 * i, "+a " * 9, "en", "s", 5) for i in range(1, 40)]
+    monkeypatch.setattr(review_queries, "view", lambda *a: spark.createDataFrame([(d, "r", 1, "src/m.py", "modified", 1, t, 3) for d, t, *_ in rows], "doc_id long, repo string, pr long, path string, status string, changes long, text string, new_start long"))
+    assert review_queries.packed_blocks(spark, "").count() == assembly.CANDIDATES
+    assert seen == [assembly.CANDIDATES] * 2
