@@ -215,7 +215,8 @@ class Codec:
         return rest
 
     def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text as int32."""
+        """Ids of each text as int32. A block's ids are complete before the first is given out: whoever encodes other
+        texts in between may clear the table."""
         for a in range(0, len(texts), 256):
             chunks = [self.chunks(t) for t in texts[a : a + 256]]
             table = self.table
@@ -227,8 +228,7 @@ class Codec:
                 if rest or held:
                     table = _Both({**held, **rest}, table)
             get = table.__getitem__
-            for own in chunks:
-                yield np.frombuffer(b"".join(map(get, own)), "<i4")
+            yield from [np.frombuffer(b"".join(map(get, own)), "<i4") for own in chunks]
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_many([text])).tolist()

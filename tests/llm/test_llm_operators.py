@@ -545,6 +545,14 @@ def test_bpe_table_is_bounded(vocabulary, monkeypatch):
     assert len(codec.table) <= 50 and [codec.decode(x).decode() for x in whole] == texts
 
 
+def test_bpe_table_is_shared_by_two_readers(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE", 2000)
+    codec = bpe.Codec(vocabulary.path("byte_bpe_multi_50k.tiktoken"), vocabulary.PATTERN)
+    roles, texts = [f"role{i % 7}" for i in range(1024)], [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(1024)]
+    both = [(codec.decode(a).decode(), codec.decode(b).decode()) for a, b in zip(codec.encode_many(roles), codec.encode_many(texts))]
+    assert both == list(zip(roles, texts))  # the table is cleared for a text's chunks while roles are still asked for
+
+
 def test_bpe_round_trip(spark, odd, vocabulary):
     docs, rows = odd
     path = vocabulary.path("byte_bpe_multi_50k.tiktoken")
