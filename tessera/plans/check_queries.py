@@ -8,6 +8,7 @@ from tessera.functions import text
 from tessera.operators import bm25, dense, ledgers, metrics, pairs
 from tessera.operators.places import parts
 from tessera.plans.views import TOKENS, ctes, view
+from tessera.session import materialized
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,15 +44,15 @@ asked AS (SELECT DISTINCT id AS query_id, unnest({TOKENS.format('diff_hunk')}) A
 
 
 def _serialised(spark, sf_dir):
-    rows = view(spark, sf_dir, "comments").where("body <> ''")
+    rows = materialized(view(spark, sf_dir, "comments").where("body <> ''").select("id", "turn", "path", "diff_hunk", "body"))
     queries = rows.where("turn = 1").select(F.col("id").alias("query_id"), F.col("diff_hunk").alias("query"))
     said = {"body_only": F.col("body"), "with_hunk": F.concat(F.coalesce(F.concat("path", F.lit(" ")), F.lit("")), "diff_hunk", F.lit(" "), "body")}
     gold = queries.select("query_id", F.col("query_id").alias("doc_id"))
     asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
     out = None
     for name, body in said.items():
-        docs = rows.select(F.col("id").alias("doc_id"), body.alias("text"))
-        places = bm25.gold_places(bm25.index(docs, only=asked), asked, gold, 20)
+        shares, rarity = bm25.share_arrays(rows.select(F.col("id").alias("doc_id"), body.alias("text")))
+        places = bm25.gold_places(shares, asked.join(rarity, "term"), gold, 20)
         recalls = metrics.recall_at(gold.join(places, "query_id", "left"), ks=(10, 20)).select(F.lit("reviewed").alias("variant"), F.lit("bm25").alias("retriever"), F.lit(name).alias("serialisation"), "n", "recall_10", "recall_20")
         out = recalls if out is None else out.unionByName(recalls)
     return out

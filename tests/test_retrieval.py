@@ -224,3 +224,48 @@ def test_gold_places_are_those_of_all_scores(spark):
     assert 20 < len(wanted) < 190
     for budgets in ((), (3,), (5, 40)):
         assert {tuple(x) for x in bm25.gold_places(postings, asked, gold, 20, budgets).collect()} == wanted
+
+
+def test_gold_places_move_no_row_for_a_query_and_a_document(spark):
+    """All queries share words with all documents, and few documents come before the gold one."""
+    r = random.Random(6)
+    said = [" ".join(r.choices([f"w{i}" for i in range(12)], k=20)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    gold = queries.select("query_id", F.col("query_id").alias("doc_id"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
+    postings = bm25.materialized(bm25.index(docs))
+    wanted = {tuple(x) for x in bm25.top_k(bm25.scores(postings, queries), 20).join(gold, ["query_id", "doc_id"]).select("query_id", "rank").collect()}
+    store, new = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def moved() -> int:
+        stages = store.stageList(None, False, False, new.new_array(new.jvm.double, 0), new.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    assert {tuple(x) for x in bm25.gold_places(postings, asked, gold, 20).collect()} == wanted
+    assert moved() - before < 400 * 400 / 2
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "a"), (3, None)], "doc_id long, text string")
+    shares, rarity = bm25.share_arrays(docs)
+    assert {r.term: round(r.weight, 9) for r in rarity.collect()} == {t: round(math.log1p((4 - df + 0.5) / (df + 0.5)), 9) for t, df in (("a", 2), ("b", 1), ("c", 1))}
+    got = {(r.doc_id, t): round(w, 9) for r in shares.collect() for t, w in zip(r.terms, r.weights)}
+    share = lambda tf, length: round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 1.25)), 9)
+    assert got == {(1, "a"): share(1, 4), (1, "b"): share(2, 4), (1, "c"): share(1, 4), (2, "a"): share(1, 1)}
+
+
+def test_documents_ahead_are_counted_over_blocks(monkeypatch):
+    import numpy as np
+
+    from tessera.operators import products
+
+    monkeypatch.setattr(products, "COUNTED", 7)
+    r = np.random.default_rng(1)
+    q, d = (r.random((9, 30)) < 0.4).astype(float), (r.random((50, 30)) < 0.4) * r.integers(1, 4, (50, 30)).astype(float)
+    d[20] = d[3]
+    own = np.array([3, 20, 5, 6, 49, 0, 7, 8, 33])
+    scores, (qr, qc), (dr, dc) = q @ d.T, np.nonzero(q), np.nonzero(d)
+    counted = products.ahead((qc, qr, q[qr, qc]), (dc, dr, d[dr, dc]), 9, 50, 99, scores[np.arange(9), own], own, np.arange(50))
+    assert counted.tolist() == [sum((s, -i) > (scores[j, own[j]], -own[j]) for i, s in enumerate(scores[j])) for j in range(9)]
