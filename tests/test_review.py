@@ -180,6 +180,21 @@ def test_output_is_split_into_lines_once(spark):
     assert [tuple(r) for r in evidence.failures(found).collect()] == [(1, "node-test-spec", "t", "failed", "a.js", 3, "bad")]
 
 
+def test_output_is_read_inside_its_row(spark):
+    """Nothing of a run's output is shuffled, and a failure's array is not computed for a filter of its own."""
+    rows = [(i, "unknown", out, "") for i, out in enumerate((PYTEST, JEST, VITEST, SPEC, TAP))]
+    found = evidence.failures(evidence.evidence(spark.createDataFrame(rows, "run_id int, framework string, stdout string, stderr string")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Filter (size(" not in plan
+    assert found.where("run_id = 0").count() == 3
+
+
+def test_output_of_a_known_framework_is_read_as_its_own(spark):
+    rows = [(i, framework, f"{PYTEST}\n{VITEST}", "") for i, framework in enumerate(("vitest", "pytest", "jest", None))]
+    found = evidence.evidence(spark.createDataFrame(rows, "run_id int, framework string, stdout string, stderr string"))
+    assert {r.run_id: r.parser for r in found.collect()} == {0: "vitest", 1: "pytest", 2: "pytest", 3: "pytest"}
+
+
 def test_output_is_bounded_and_never_fails(spark):
     many = "short test summary info\n" + "\n".join(f"FAILED t.py::t{i} - no" for i in range(4000)) + "\n== 4000 failed in 1s"
     r = random.Random(1)
